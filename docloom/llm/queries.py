@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .simhash import op7_simhash
 from .token_files import op3_token_files
 from .tokens import op2_token_counts
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_token_files": op3_token_files,
+    "op7_simhash": op7_simhash,
 }
 ORACLE: dict[str, str] = {}
