@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .decontaminate import op1_decontaminate
 from .simhash import op7_simhash
 from .token_files import op3_token_files
 from .tokens import op2_token_counts
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_token_counts": op2_token_counts,
     "op3_token_files": op3_token_files,
     "op7_simhash": op7_simhash,
