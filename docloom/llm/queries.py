@@ -6,11 +6,14 @@ from .decontaminate import op1_decontaminate
 from .simhash import op7_simhash
 from .token_files import op3_token_files
 from .tokens import op2_token_counts
+from .toxicity import op5_toxicity
+DEL op2_token_counts
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_counts": op2_token_counts,
     "op3_token_files": op3_token_files,
+    "op5_toxicity": op5_toxicity,
     "op7_simhash": op7_simhash,
 }
 ORACLE: dict[str, str] = {}
