@@ -7,7 +7,6 @@ from .simhash import op7_simhash
 from .token_files import op3_token_files
 from .tokens import op2_token_counts
 from .toxicity import op5_toxicity
-DEL op2_token_counts
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
