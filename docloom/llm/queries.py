@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op1_decontaminate
+from .secrets import op9_secrets
 from .simhash import op7_simhash
 from .token_files import op3_token_files
 from .tokens import op2_token_counts
@@ -14,5 +15,6 @@ QUERIES = {
     "op3_token_files": op3_token_files,
     "op5_toxicity": op5_toxicity,
     "op7_simhash": op7_simhash,
+    "op9_secrets": op9_secrets,
 }
 ORACLE: dict[str, str] = {}
