@@ -85,7 +85,7 @@ def open_output(uri: str):
     """An output stream; folders above it are made where the store has folders."""
     store, path = filesystem(uri)
     store.create_dir(path.rpartition("/")[0], recursive=True)
-    return store.open_output_stream(path)
+    return store.open_output_stream(path, compression=None)
 
 
 def open_input(uri: str):

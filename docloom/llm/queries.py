@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .decontaminate import op1_decontaminate
+from .mixing import op10_mixing
 from .secrets import op9_secrets
 from .simhash import op7_simhash
 from .token_files import op3_token_files
 from .tokens import op2_token_counts
 from .toxicity import op5_toxicity
+from .warc import op8_warc
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
@@ -15,6 +17,8 @@ QUERIES = {
     "op3_token_files": op3_token_files,
     "op5_toxicity": op5_toxicity,
     "op7_simhash": op7_simhash,
+    "op8_warc": op8_warc,
     "op9_secrets": op9_secrets,
+    "op10_mixing": op10_mixing,
 }
 ORACLE: dict[str, str] = {}
