@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op1_decontaminate
 from .mixing import op10_mixing
+from .quality import OP6_SQL, op6_quality
 from .secrets import op9_secrets
 from .simhash import op7_simhash
 from .token_files import op3_token_files
@@ -16,9 +17,10 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_token_files": op3_token_files,
     "op5_toxicity": op5_toxicity,
+    "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
     "op8_warc": op8_warc,
     "op9_secrets": op9_secrets,
     "op10_mixing": op10_mixing,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op6_quality": OP6_SQL}
