@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import op4_chat
 from .decontaminate import op1_decontaminate
 from .mixing import op10_mixing
 from .quality import OP6_SQL, op6_quality
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_counts": op2_token_counts,
     "op3_token_files": op3_token_files,
+    "op4_chat": op4_chat,
     "op5_toxicity": op5_toxicity,
     "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
