@@ -103,6 +103,14 @@ def links(distinct: DataFrame, n: int, limit: int) -> DataFrame:
     return keyed.repartition("t", "key").select("fp", "t", "key").mapInArrow(run, "a long, b long")
 
 
+def _grouped(prints: DataFrame, limit: int) -> DataFrame:
+    """(fp, root) of every distinct fingerprint of `prints` (id, fp)."""
+    distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    found = links(distinct.select("fp"), distinct.count(), limit)
+    roots = connected_components(found).toDF("fp", "root")
+    return distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, limit: int = 4) -> DataFrame:
     """(id, fingerprint, component_id) of each document.
 
@@ -116,15 +124,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty result. Fingerprints and links stay in tables; the driver sees counts only.
     """
     prints = materialize(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    found = links(distinct.select("fp"), distinct.count(), limit)
-    roots = connected_components(found).toDF("fp", "root")
-    rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = _grouped(prints, limit)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
     return prints.join(of, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, limit: int = 4) -> DataFrame:
+    """The documents, all columns, one of each group of near_duplicates(): that with the smallest id
+    (null last), of rows that share it that with the smallest text hash, of equal rows any."""
+    key = {"__dl_id": F.coalesce(F.col(id_col).cast("string"), F.lit("null")), "__dl_tie": F.xxhash64(text_col)}
+    keyed = docs.withColumns(key)
+    prints = materialize(fingerprints(keyed.select(F.struct(id_col, "__dl_id", "__dl_tie").alias("k"), text_col), "k", text_col, size), "fingerprints")
+    rooted = _grouped(prints.select(F.col("id")[id_col].alias("id"), "fp"), limit)
+    least = prints.groupBy("fp").agg(F.min(F.struct(F.col("id")[id_col].isNull().alias("no"), F.col("id").alias("k"))).alias("first"))
+    kept = rooted.join(least, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.k.__dl_id", "first.k.__dl_tie").distinct()
+    # The join and the removal of equal rows share one partitioning.
+    return keyed.join(kept, ["__dl_id", "__dl_tie"], "left_semi").dropDuplicates(["__dl_id", "__dl_tie"]).select(*docs.columns)
+
+
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprints and near-duplicate groups of all documents."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
