@@ -60,8 +60,11 @@ def policy_analysis(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     tagged = F.transform(sentences(F.col(text_col)), lambda s: F.struct(s.alias("s"), categories_of(s).alias("c")))
     staged = df.select(id_col, F.coalesce(tagged, F.array()).alias("__t"))
-    lists = [F.transform(F.filter("__t", lambda x, c=c: F.array_contains(x["c"], c)), lambda x: x["s"]).alias(c) for c in R.CATEGORY_ORDER]
-    return staged.select(id_col, *lists)
+
+    def listed(category: str) -> Column:
+        return F.transform(F.filter("__t", lambda x: F.array_contains(x["c"], category)), lambda x: x["s"]).alias(category)
+
+    return staged.select(id_col, *map(listed, R.CATEGORY_ORDER))
 
 
 def category_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_word: bool = False) -> DataFrame:
@@ -71,8 +74,11 @@ def category_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     found = F.transform(sentences(F.col(text_col)), lambda s: categories_of(s, whole_word))
     staged = df.select(id_col, F.flatten(found).alias("__c"))
-    counts = F.filter(F.array(*[F.struct(F.lit(c).alias("category"), F.size(F.filter("__c", lambda x, c=c: x == c)).cast("long").alias("n")) for c in R.CATEGORY_ORDER]), lambda x: x["n"] > 0)
-    return staged.select(id_col, F.inline(counts))
+
+    def counted(category: str) -> Column:
+        return F.struct(F.lit(category).alias("category"), F.size(F.filter("__c", lambda x: x == category)).cast("long").alias("n"))
+
+    return staged.select(id_col, F.inline(F.filter(F.array(*map(counted, R.CATEGORY_ORDER)), lambda x: x["n"] > 0)))
 
 
 def category_totals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

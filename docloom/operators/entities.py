@@ -134,7 +134,7 @@ def key_phrases(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def summary_column(text: Column, max_input: int = 4000, max_words: int = 120) -> Column:
     """Extractive summary of one text: sentences of its first max_input characters with the highest mean
-    word frequency, best first while they fit into max_words, set out in the order of the text."""
+    word frequency, best first as long as they sum to max_words at most (the first always), in the order of the text."""
     from .compare import run_counts
 
     short = T.truncate_text(text, max_input)
@@ -146,8 +146,9 @@ def summary_column(text: Column, max_input: int = 4000, max_words: int = 120) ->
         start = F.struct(F.lit(0).alias("used"), F.array().cast("array<struct<i:int,s:string>>").alias("out"))
 
         def take(s: Column, r: Column) -> Column:
-            fits = (s["used"] + r["n"] <= max_words) | (s["used"] == 0)
-            return F.when(fits, F.struct((s["used"] + r["n"]).alias("used"), F.concat(s["out"], F.array(F.struct((-r["back"]).alias("i"), r["s"].alias("s")))).alias("out"))).otherwise(s)
+            used = s["used"] + r["n"]
+            taken = F.concat(s["out"], F.array(F.struct((-r["back"]).alias("i"), r["s"].alias("s"))))
+            return F.struct(used.alias("used"), F.when((used <= max_words) | (s["used"] == 0), taken).otherwise(s["out"]).alias("out"))
 
         chosen = F.aggregate(ranked, start, take, lambda s: F.sort_array(s["out"]))
         return F.array_join(F.transform(chosen, lambda r: r["s"]), " ")

@@ -2,5 +2,425 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import rules as R
+from ..functions import text as T
+from ..operators import classify, compare, entities, explode, recommend, stats
+from ..session import fresh_path, table
+from ..sources import documents as docs
+from ..streaming import ingest
+from . import jobs
+from . import sql as S
+from .policy_docs import CTE, gazetteer, policy_docs
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query, with its SQL if SQL can express it."""
+
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return add
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+# ---- text functions: each over all policy texts or all documents -----------------------------
+
+
+def _text_query(name: str, f: Callable[[Column], Column], steps: list[str], source: Callable[[SparkSession, str], DataFrame] = policy_docs) -> None:
+    QUERIES[name] = lambda spark, sf_dir: source(spark, sf_dir).select("doc_id", f(F.col("text")).alias("text"))
+    ORACLE[name] = S.chain(steps, "policy_docs" if source is policy_docs else "documents")
+
+
+_text_query("t01_sanitize_text", T.sanitize_text, ["sanitize_text"], documents)
+_text_query("t02_preprocess_text", T.preprocess_text, ["preprocess_text"], documents)
+for _number, _name in enumerate(S.ORDER, 3):
+    _text_query(f"t{_number:02d}_{_name}", getattr(T, _name), S.PARTS.get(_name, [_name]))
+_text_query("t27_clean_document_compat", lambda c: T.clean_document(c, "compat"), S.COMPAT)
+_text_query("t27_clean_document_structured", lambda c: T.clean_document(c, "structured"), S.STRUCTURED)
+
+
+@query("t28_tokenize_words", "SELECT doc_id, array_to_string(" + S.words("text") + ", ' ') AS words FROM documents")
+def _(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.array_join(T.tokenize_words(F.col("text")), " ").alias("words"))
+
+
+@query("t29_truncate_text", "SELECT doc_id, substr(text, 1, 2000) AS text FROM documents")
+def _(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", T.truncate_text(F.col("text"), 2000).alias("text"))
+
+
+# ---- validity and previews -------------------------------------------------------------------
+
+
+@query("p1_valid_text", rf"SELECT doc_id, coalesce(length({S.strip('text')}) >= 100, false) AS valid, coalesce(length({S.strip('text')}) > 0, false) AS non_empty FROM documents")
+def _(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", T.valid_text(F.col("text"), 100).alias("valid"), T.non_empty(F.col("text")).alias("non_empty"))
+
+
+@query("p2_supported_file", r"SELECT page_id, regexp_matches(lower(url), '\.(pdf|docx|doc)$') AS supported, ends_with(url, '.pdf') AS pdf FROM pages")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.supported_file(F.col("url")).alias("supported"), T.supported_file(F.col("url"), True).alias("pdf"))
+
+
+@query("p4_valid_query", "SELECT event_id, coalesce(month(ts) BETWEEN 1 AND 12 AND value BETWEEN 0 AND 100 AND value - 10 >= 0 AND event_type IS NOT NULL, false) AS valid FROM events")
+def _(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    asked = e.select("event_id", F.col("event_type").alias("location"), F.month("ts").alias("month"), F.col("value").alias("temperature_c"), F.col("value").alias("humidity_pct"), (F.col("value") - 10).alias("wind_kmh"))
+    return asked.select("event_id", recommend.valid_query(asked).alias("valid"))
+
+
+@query("s3_assemble_pages", "SELECT conv_id, string_agg(coalesce(text, '') || chr(10), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+def _(spark, sf_dir):
+    return docs.assemble_pages(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text")
+
+
+@query("s3_assemble_joined", "SELECT conv_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+def _(spark, sf_dir):
+    return docs.assemble_pages(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text", mode="joined")
+
+
+@query("s4_store_documents", "WITH " + CTE + ", c AS (SELECT doc_id, text, " + S.STEPS["sanitize_text"]("text") + " AS done FROM policy_docs) SELECT CAST(doc_id AS VARCHAR) AS id, 'doc-' || doc_id || '.txt' AS filename, CAST(length(text) AS INTEGER) AS original_length, CAST(length(done) AS INTEGER) AS processed_length, round(CASE WHEN length(text) = 0 THEN 0 ELSE length(done) / length(text) END, 6) AS compression_ratio FROM c")
+def _(spark, sf_dir):
+    """Append to the store, then list it."""
+    path = fresh_path(spark, "store")
+    rows = policy_docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.concat(F.lit("doc-"), "doc_id", F.lit(".txt")).alias("filename"), F.col("text").alias("original_text"), T.sanitize_text(F.col("text")).alias("processed_text"))
+    docs.store_documents(rows, path, F.col("id"))
+    return docs.list_documents(docs.read_store(spark, path)).select("id", "filename", "metadata.original_length", "metadata.processed_length", F.round("metadata.compression_ratio", 6).alias("compression_ratio"))
+
+
+@query("s5_get_documents", "WITH " + CTE + " SELECT CAST(doc_id AS VARCHAR) AS id, text AS original_text, CAST(length(text) AS INTEGER) AS original_length FROM policy_docs WHERE doc_id IN (SELECT s_suppkey FROM supplier)")
+def _(spark, sf_dir):
+    """Store all texts, then look up those whose keys are suppliers'."""
+    path = fresh_path(spark, "store")
+    rows = policy_docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.lit("x").alias("filename"), F.col("text").alias("original_text"), F.col("text").alias("processed_text"))
+    docs.store_documents(rows, path, F.col("id"))
+    wanted = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("id"))
+    return docs.get_documents(docs.read_store(spark, path), wanted).select("id", "original_text", "metadata.original_length")
+
+
+@query("s7_preview_lines", "SELECT doc_id, array_to_string(string_split(text, chr(10))[1:3], chr(10)) AS preview, least(len(string_split(text, chr(10))), 3) AS preview_lines, len(string_split(text, chr(10))) AS total_lines FROM documents")
+def _(spark, sf_dir):
+    return docs.preview_lines(documents(spark, sf_dir), 3)
+
+
+@query("s8_preview_chars", "SELECT doc_id, CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '...' ELSE text END AS preview FROM documents")
+def _(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", T.preview_chars(F.col("text")).alias("preview"))
+
+
+@query("s9_split_paragraphs", "WITH " + CTE + f", l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: {S.strip('x')}), lambda x: x <> '') AS ps FROM policy_docs) SELECT doc_id, unnest(range(0, len(ps))) AS pos, unnest(ps) AS paragraph FROM l")
+def _(spark, sf_dir):
+    return explode.split_paragraphs(policy_docs(spark, sf_dir))
+
+
+# ---- sentences and sections ------------------------------------------------------------------
+
+
+@query("g1_split_sentences", f"WITH l AS (SELECT doc_id, {S.sentences('text')} AS ss FROM documents) SELECT doc_id, unnest(range(0, len(ss))) AS pos, unnest(ss) AS sentence FROM l")
+def _(spark, sf_dir):
+    return explode.split_sentences(documents(spark, sf_dir))
+
+
+@query("g2_split_policy_sections", S.SECTIONS + " SELECT doc_id, section1, section2 FROM sections")
+def _(spark, sf_dir):
+    return explode.split_policy_sections(policy_docs(spark, sf_dir))
+
+
+@query("g3_split_halves", "WITH " + CTE + f", l AS (SELECT doc_id, {S.sentences('text')} AS ss FROM policy_docs) SELECT doc_id, {S.halves('ss')[0]} AS section1, {S.halves('ss')[1]} AS section2 FROM l")
+def _(spark, sf_dir):
+    return explode.split_halves(policy_docs(spark, sf_dir))
+
+
+# ---- categories and impacts ------------------------------------------------------------------
+
+
+@query("c1_classify_sentences", S.CLASSIFIED + " SELECT doc_id, category, pos, sentence FROM classified")
+def _(spark, sf_dir):
+    return classify.classify_sentences(policy_docs(spark, sf_dir))
+
+
+@query("c1_classify_by_rules", "WITH " + CTE + f", l AS (SELECT doc_id, {S.sentences('text')} AS ss FROM policy_docs), s AS (SELECT doc_id, unnest(range(0, len(ss))) AS pos, unnest(ss) AS sentence FROM l) SELECT DISTINCT doc_id, r_name AS category, pos, sentence FROM s, nation JOIN region ON n_regionkey = r_regionkey WHERE contains(lower(sentence), lower(n_name))")
+def _(spark, sf_dir):
+    """The user's rule table: nations' names, by region."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    rules = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("category"), F.lower("n_name").alias("keyword"))
+    return classify.classify_by_rules(policy_docs(spark, sf_dir), rules)
+
+
+@query("c3_policy_analysis", "WITH " + CTE + f", l AS (SELECT doc_id, {S.sentences('text')} AS ss FROM policy_docs) SELECT doc_id, " + ", ".join(f"array_to_string(list_filter(ss, lambda s: {S.in_category('s', c)}), '|') AS {c}" for c in R.CATEGORY_ORDER) + " FROM l")
+def _(spark, sf_dir):
+    lists = classify.policy_analysis(policy_docs(spark, sf_dir))
+    return lists.select("doc_id", *[F.array_join(c, "|").alias(c) for c in R.CATEGORY_ORDER])
+
+
+@query("category_counts", S.CLASSIFIED + " SELECT doc_id, category, count(*) AS n FROM classified GROUP BY doc_id, category")
+def _(spark, sf_dir):
+    return classify.category_counts(policy_docs(spark, sf_dir))
+
+
+@query("c4_category_totals", S.CLASSIFIED + " SELECT category, count(DISTINCT doc_id) AS n_documents, count(*) AS n_sentences FROM classified GROUP BY category")
+def _(spark, sf_dir):
+    return classify.category_totals(policy_docs(spark, sf_dir))
+
+
+@query("c5_climate_impacts", "WITH " + CTE + " SELECT doc_id, " + ", ".join(f"round({S.impact('text', k)}, 6) AS {k}_impact" for k in R.IMPACTS) + " FROM policy_docs")
+def _(spark, sf_dir):
+    found = classify.climate_impacts(policy_docs(spark, sf_dir))
+    return found.select("doc_id", *[F.round(f"{k}_impact", 6).alias(f"{k}_impact") for k in R.IMPACTS])
+
+
+@query("c8_affected_regions", S.NAMES + " SELECT doc_id, array_to_string(list_sort(list(DISTINCT text)), '|') AS regions FROM names GROUP BY doc_id")
+def _(spark, sf_dir):
+    found = entities.name_entities(policy_docs(spark, sf_dir), gazetteer(spark, sf_dir))
+    return entities.affected_regions(found).select("doc_id", F.array_join("regions", "|").alias("regions"))
+
+
+@query("c9_keywords", f"SELECT doc_id, array_to_string({S.keywords('text')}, ' ') AS keywords FROM documents")
+def _(spark, sf_dir):
+    return entities.keywords(documents(spark, sf_dir)).select("doc_id", F.array_join("keywords", " ").alias("keywords"))
+
+
+@query("c10_shared_keywords", S.SECTIONS + f" SELECT doc_id, array_to_string(list_sort(list_intersect({S.keywords('section1')}, {S.keywords('section2')})), ' ') AS shared_keywords FROM sections")
+def _(spark, sf_dir):
+    shared = entities.shared_keywords(explode.split_policy_sections(policy_docs(spark, sf_dir)))
+    return shared.select("doc_id", F.array_join("shared_keywords", " ").alias("shared_keywords"))
+
+
+# ---- statistics ------------------------------------------------------------------------------
+
+
+@query("a1_document_statistics", S.STATS + " SELECT doc_id, word_count, sentence_count, round(word_count / greatest(sentence_count, 1), 2) AS average_words_per_sentence FROM stats")
+def _(spark, sf_dir):
+    return stats.document_statistics(documents(spark, sf_dir))
+
+
+@query("a2_raw_word_counts", rf"SELECT doc_id, len({S.words('text')}) AS words, len(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+(?:[''’-][\p{{L}}\p{{N}}]+)*')) AS nonpunct_words, len(list_filter({S.sentences('text')}, lambda s: {S.strip('s')} <> '')) AS sentences FROM documents")
+def _(spark, sf_dir):
+    t = F.col("text")
+    return documents(spark, sf_dir).select("doc_id", stats.word_count(t).alias("words"), stats.nonpunct_word_count(t).alias("nonpunct_words"), stats.model_sentence_count(t).alias("sentences"))
+
+
+@query("a4_overlap_counts", S.COMPARED + " SELECT id_a, id_b, part, n FROM (SELECT id_a, id_b, unnest(['Overlap', 'Unique A', 'Unique B']) AS part, unnest([len(overlap), len(unique_a), len(unique_b)]) AS n FROM compared)")
+def _(spark, sf_dir):
+    return compare.overlap_counts(compare.compare_tokens(_text_pairs(spark, sf_dir), ["id_a", "id_b"]), ["id_a", "id_b"])
+
+
+@query("a5_corpus_statistics", S.STATS + " SELECT lang, source, count(*) AS documents, sum(word_count) AS words, sum(sentence_count) AS sentences, round(avg(word_count), 6) AS average_words, grouping(lang, source) AS grouping FROM stats JOIN documents USING (doc_id) GROUP BY CUBE (lang, source)")
+def _(spark, sf_dir):
+    return stats.corpus_statistics(documents(spark, sf_dir), ["lang", "source"])
+
+
+@query("a6_display_metrics", S.STATS + " SELECT doc_id, round(word_count / 1000.0 * 100, 0) AS similarity_pct, round(sentence_count / 1000.0 * 100, 1) AS confidence_pct, round(word_count / greatest(sentence_count, 1), 1) AS average FROM stats")
+def _(spark, sf_dir):
+    clean = documents(spark, sf_dir).select("doc_id", T.preprocess_text(F.col("text")).alias("t"))
+    n = clean.select("doc_id", stats.word_count(F.col("t")).alias("w"), stats.sentence_count(F.col("t")).alias("s"))
+    return n.select("doc_id", stats.display_metrics(F.col("w") / 1000.0, F.col("s") / 1000.0, F.col("w") / F.greatest("s", F.lit(1))).alias("m")).select("doc_id", "m.*")
+
+
+# ---- comparison ------------------------------------------------------------------------------
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.neighbour_pairs(documents(spark, sf_dir), ["lang", "source"])
+
+
+def _text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = documents(spark, sf_dir).select("doc_id", "text")
+    sides = _pairs(spark, sf_dir).join(d.toDF("id_a", "text_a"), "id_a")
+    return sides.join(d.toDF("id_b", "text_b"), "id_b")
+
+
+def _joined(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.withColumns({c: F.array_join(c, " ") for c in columns})
+
+
+@query("j1_compare_tokens", S.COMPARED + " SELECT id_a, id_b, array_to_string(overlap, ' ') AS overlap, array_to_string(unique_a, ' ') AS unique_a, array_to_string(unique_b, ' ') AS unique_b FROM compared")
+def _(spark, sf_dir):
+    return _joined(compare.compare_tokens(_text_pairs(spark, sf_dir), ["id_a", "id_b"]), ["overlap", "unique_a", "unique_b"])
+
+
+@query("j2_text_similarity", S.PAIRS + ", " + S.tf_idf("documents") + " SELECT id_a, id_b, round(similarity, 6) AS similarity FROM alike")
+def _(spark, sf_dir):
+    found = compare.text_similarity(documents(spark, sf_dir), _pairs(spark, sf_dir))
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@query("j2_vector_similarity", "SELECT a.vec_id AS id_a, b.vec_id AS id_b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def _(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    a, b = e.select(F.col("vec_id").alias("id_a"), F.col("embedding").alias("va")), e.select(F.col("vec_id").alias("id_b"), F.col("embedding").alias("vb"))
+    return a.join(b, F.col("id_b") == F.col("id_a") + 1).select("id_a", "id_b", F.round(compare.vector_cosine(F.col("va"), F.col("vb")), 6).alias("similarity"))
+
+
+@query("j3_entity_overlap", S.NAMES + ", q AS (SELECT doc_id AS id_a, doc_id + 1 AS id_b FROM policy_docs), e AS (SELECT DISTINCT doc_id, lower(text) AS t FROM names) SELECT id_a, id_b, coalesce((SELECT string_agg(a.t, '|' ORDER BY a.t) FROM e a JOIN e b ON a.t = b.t WHERE a.doc_id = id_a AND b.doc_id = id_b), '') AS overlap FROM q")
+def _(spark, sf_dir):
+    d = policy_docs(spark, sf_dir)
+    found = entities.name_entities(d, gazetteer(spark, sf_dir))
+    asked = d.select(F.col("doc_id").alias("id_a"), (F.col("doc_id") + 1).alias("id_b"))
+    return entities.entity_overlap(asked, found).withColumn("overlap", F.array_join("overlap", "|"))
+
+
+@query("j4_compare_policy", S.POLICY_PAIRS)
+def _(spark, sf_dir):
+    found = compare.compare_policy(documents(spark, sf_dir), _pairs(spark, sf_dir))
+    return _joined(found.withColumn("similarity", F.round("similarity", 6)), ["overlap", "unique_a", "unique_b"]).select("id_a", "id_b", "similarity", "overlap", "unique_a", "unique_b")
+
+
+@query("j5_pairs", "SELECT a.o_orderkey AS id_a, b.l_linenumber AS id_b FROM orders a JOIN lineitem b ON a.o_orderkey = b.l_orderkey")
+def _(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderkey").alias("doc_id"))
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("doc_id"))
+    return compare.pairs(o, line, ["k"])
+
+
+@query("j5_pairs_by_token", f"WITH w AS (SELECT DISTINCT doc_id, unnest({S.words('text')}) AS term FROM documents), r AS (SELECT term FROM w GROUP BY term HAVING count(*) BETWEEN 2 AND 50), k AS (SELECT w.* FROM w JOIN r USING (term)) SELECT a.doc_id AS id_a, b.doc_id AS id_b, count(*) AS n FROM k a JOIN k b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL HAVING count(*) >= 20")
+def _(spark, sf_dir):
+    return compare.pairs_by_token(documents(spark, sf_dir), 20)
+
+
+@query("j6_section_similarity", S.SECTION_SIMILARITY)
+def _(spark, sf_dir):
+    found = compare.section_similarity(policy_docs(spark, sf_dir)).withColumn("similarity", F.round("similarity", 6))
+    return _joined(found, ["overlap", "unique_a", "unique_b"])
+
+
+# ---- entities, phrases, summaries ------------------------------------------------------------
+
+
+@query("n2_extract_entities", S.ENTITIES + ' SELECT doc_id, text, label, "start", "end" FROM entities')
+def _(spark, sf_dir):
+    return entities.extract_entities(policy_docs(spark, sf_dir), gazetteer(spark, sf_dir), offsets=True)
+
+
+@query("n1_extract_entities", S.ENTITIES + " SELECT doc_id, text, label FROM entities")
+def _(spark, sf_dir):
+    return entities.extract_entities(policy_docs(spark, sf_dir), gazetteer(spark, sf_dir))
+
+
+@query("n3_top_entities", S.ENTITIES + ", c AS (SELECT label, lower(text) AS text, count(*) AS n FROM entities GROUP BY 1, 2) SELECT label, text, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, text) AS rank FROM c) WHERE rank <= 10")
+def _(spark, sf_dir):
+    return entities.top_entities(entities.extract_entities(policy_docs(spark, sf_dir), gazetteer(spark, sf_dir)), 10)
+
+
+@query("n4_key_phrases")
+def _(spark, sf_dir):
+    return entities.key_phrases(policy_docs(spark, sf_dir))
+
+
+@query("u1_summarize", S.SUMMARIES)
+def _(spark, sf_dir):
+    return entities.summarize(documents(spark, sf_dir))
+
+
+# ---- recommender -----------------------------------------------------------------------------
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.month("o_orderdate").alias("month"), F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("priority"))
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query for each nation: the order whose key follows the nation's key times 100, at that price."""
+    keys = table(spark, sf_dir, "nation").select((F.col("n_nationkey") * 100 + 1).cast("long").alias("id"), F.col("n_nationkey").alias("query_id"))
+    return _orders(spark, sf_dir).join(keys, "id").select("query_id", "status", "month", "price")
+
+
+@query("r1_fit_scaler", "SELECT round(avg(o_totalprice), 4) AS price_mean, round(stddev_pop(o_totalprice), 4) AS price_std FROM orders")
+def _(spark, sf_dir):
+    return recommend.fit_scaler(_orders(spark, sf_dir), ["price"]).select(F.round("price_mean", 4).alias("price_mean"), F.round("price_std", 4).alias("price_std"))
+
+
+@query("r2_fit_categories", "SELECT DISTINCT 'status' AS \"column\", o_orderstatus AS value FROM orders UNION ALL SELECT DISTINCT 'month', CAST(month(o_orderdate) AS VARCHAR) FROM orders")
+def _(spark, sf_dir):
+    return recommend.fit_categories(_orders(spark, sf_dir), ["status", "month"])
+
+
+@query("r4_top_similar", S.RECOMMENDED + " SELECT query_id, id, round(similarity, 6) AS similarity, rank FROM best")
+def _(spark, sf_dir):
+    scored = recommend.similarity(_asked(spark, sf_dir), _orders(spark, sf_dir), ["status", "month"], ["price"], "id")
+    return recommend.top_similar(scored).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("r6_recommend", S.RECOMMENDED + S.VOTED + ", t AS (SELECT query_id, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY rank) AS top FROM best GROUP BY query_id) SELECT query_id, predicted, round(confidence, 6) AS confidence, top FROM voted JOIN t USING (query_id)")
+def _(spark, sf_dir):
+    found = recommend.recommend(_asked(spark, sf_dir), _orders(spark, sf_dir), ["status", "month"], ["price"], "priority")
+    return found.select("query_id", "predicted", F.round("confidence", 6).alias("confidence"), F.array_join(F.transform("top", lambda r: r["id"].cast("string")), " ").alias("top"))
+
+
+@query("r7_knn_classify", S.KNN)
+def _(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return recommend.knn_classify(e.filter("vec_id % 100 = 0"), e).select("query_id", "predicted", F.round("confidence", 6).alias("confidence"))
+
+
+# ---- jobs ------------------------------------------------------------------------------------
+
+
+@query("f1_preprocess_job", S.STATS + f" SELECT doc_id, clean AS text, word_count, sentence_count, round(word_count / greatest(sentence_count, 1), 2) AS average FROM stats JOIN documents d USING (doc_id) WHERE length({S.strip('d.text')}) > 0")
+def _(spark, sf_dir):
+    return jobs.preprocess_job(documents(spark, sf_dir)).select("doc_id", "text", "statistics.word_count", "statistics.sentence_count", F.col("statistics.average_words_per_sentence").alias("average"))
+
+
+@query("f2_full_analysis")
+def _(spark, sf_dir):
+    hist = _orders(spark, sf_dir)
+    asked = _asked(spark, sf_dir).filter("query_id = 0")
+    found = jobs.full_analysis(policy_docs(spark, sf_dir), gazetteer(spark, sf_dir), hist, asked, cat_cols=["status", "month"], num_cols=["price"], label_col="priority")
+    return found.select("doc_id", F.round("similarity", 6).alias("similarity"), F.array_join("overlap", " ").alias("overlap"), "summary1", "summary2", F.to_json("entities").alias("entities"), F.to_json("recommendation").alias("recommendation"))
+
+
+@query("f3_policy_report")
+def _(spark, sf_dir):
+    found = jobs.policy_report(policy_docs(spark, sf_dir), gazetteer(spark, sf_dir))
+    return found.select("doc_id", *[F.size(c).alias(c) for c in R.CATEGORY_ORDER], "summary", "word_count", "entities")
+
+
+@query("f4_text_report")
+def _(spark, sf_dir):
+    return jobs.text_report(policy_docs(spark, sf_dir), gazetteer(spark, sf_dir))
+
+
+@query("f5_ner_job", S.entities_of(["preprocess_text", "sanitize_text"]) + " SELECT doc_id, text, label FROM entities")
+def _(spark, sf_dir):
+    return jobs.ner_job(policy_docs(spark, sf_dir), gazetteer(spark, sf_dir))
+
+
+@query("f5_summarize_job", S.summaries_of(["preprocess_text", "sanitize_text"]))
+def _(spark, sf_dir):
+    return jobs.summarize_job(policy_docs(spark, sf_dir))
+
+
+def _uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = policy_docs(spark, sf_dir)
+    return d.select("doc_id", F.concat(F.lit("doc-"), "doc_id").alias("filename"), "text", F.timestamp_seconds(F.lit(86400)).alias("uploaded_at"))
+
+
+@query("f6_ingest_job", S.ingested("doc_id"))
+def _(spark, sf_dir):
+    path = fresh_path(spark, "ingest")
+    jobs.ingest_job(_uploads(spark, sf_dir), path)
+    return docs.list_documents(docs.read_store(spark, path)).select("id", "filename", "metadata.original_length", "metadata.processed_length")
+
+
+@query("f7_ingest_stream", S.ingested("doc_id"))
+def _(spark, sf_dir):
+    """The same as a stream that takes everything that has arrived."""
+    landed, path, state = (fresh_path(spark, n) for n in ("landed", "stream", "state"))
+    _uploads(spark, sf_dir).write.parquet(landed)
+    ingest.start_ingest(ingest.read_uploads(spark, landed), path, state).awaitTermination()
+    return docs.list_documents(docs.read_store(spark, path)).select("id", "filename", "metadata.original_length", "metadata.processed_length")
