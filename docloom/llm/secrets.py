@@ -47,7 +47,8 @@ _BIND = re.compile(
     re.ASCII | re.VERBOSE,
 )
 _QUOTED = re.compile(r"""(?:[rbuf]{0,2})("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)""", re.ASCII)
-_BARE = re.compile(r"[A-Za-z0-9+/_.=@%~^&*!?$-]+", re.ASCII)
+#: A bare literal; = only as padding at its end, so that chains of assignments give short literals.
+_BARE = re.compile(r"[A-Za-z0-9+/_.@%~^&*!?$-]+={0,2}", re.ASCII)
 _PLUS = re.compile(r"[ \t]*\+[ \t]*(?=[rbuf]{0,2}[\"'])")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _IDENTIFIER = re.compile(rf"{_NAME}$", re.ASCII)
