@@ -1,0 +1,59 @@
+"""Folding, matching and held-out accuracy."""
+
+import zlib
+
+from docloom.llm import toxicity as X
+
+SF = "/root/testdata/sf0.1"
+
+
+def test_fold():
+    assert X.fold("Yоu 1d10t, Ｉdiot! m0r0n!! p@thetic") == " you idiot idiot moron pathetic "
+    assert X.fold("") == "  " and X.fold("w​orthless") == " worthless "
+    assert "a" * 40 in X.fold("a" * 40) and X.fold("no!! 12345 a1b2c3d4e5f60718293a4b5c6d7e") == " no abcdefabcde ".replace("abcdefabcde", X.fold("a1b2c3d4e5f60718293a4b5c6d7e").strip())
+
+
+def test_words_exceptions_and_stems():
+    lex = X.Lexicon({" clown ": 3.0, " moro": 2.0, " moron ": 5.0}, ["clown fish"])
+    assert lex.features("a clown here") == (3.0, 3.0, 3)
+    assert lex.features("the clown fish swims") == (0, 0.0, 4)
+    assert lex.features("clown fish, clown") == (3.0, 3.0, 3)
+    assert lex.features("moron morose clowns")[:2] == (7.0, 5.0)
+    assert lex.features("") == (0, 0.0, 0)
+
+
+def test_needed_drops_beginnings_that_say_no_more():
+    assert set(X.needed({" idio": (1.0, 10), " idiot ": (1.0, 10), " wor": (1.0, 40), " worth ": (1.0, 10)})) == {" idiot ", " wor", " worth "}
+
+
+def test_held_out_is_crc32(spark):
+    rows = spark.range(50).select("id", X.held_out(X.F.col("id")).alias("h")).collect()
+    assert all(r.h == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in rows)
+
+
+def test_accuracy_on_held_out_documents(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = X.learn(docs, labels)
+    rows = X.score_documents(docs, model).join(labels.select("doc_id", "toxic"), "doc_id").filter("held_out").collect()
+    hit = sum(r.toxic and r.predicted for r in rows)
+    assert hit / sum(r.toxic for r in rows) > 0.85 and hit / sum(r.predicted for r in rows) > 0.9
+    assert X.learn(docs, labels).coefficients == model.coefficients, "reruns agree"
+
+
+def test_labels_of_held_out_rows_change_nothing(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    turned = labels.withColumn("toxic", X.F.when(X.held_out(X.F.col("doc_id")), 1 - X.F.col("toxic")).otherwise(X.F.col("toxic")))
+    a, b = X.learn(docs, labels), X.learn(docs, turned)
+    assert a.weights == b.weights and a.coefficients == b.coefficients
+
+
+def test_edge_cases(spark, awkward, nothing):
+    no_labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
+    model = X.learn(awkward, no_labels)
+    assert model.coefficients == X.DEFAULT
+    rows = X.score_documents(awkward, model).collect()
+    assert len(rows) == awkward.count() and all(0 <= r.score <= 1 and r.predicted == 0 for r in rows)
+    d = spark.createDataFrame([(1, "you st00pid worthless m0ron"), (2, "a fine day")], "doc_id long, text string")
+    assert [r.predicted for r in X.score_documents(d, model).orderBy("doc_id").collect()] == [1, 0]
+    assert X.drop_toxic(awkward, model).columns == awkward.columns and X.drop_toxic(d, model).count() == 1
+    assert X.score_documents(nothing, model).count() == 0
