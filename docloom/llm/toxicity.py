@@ -142,7 +142,7 @@ def _term_counts(rows: DataFrame) -> DataFrame:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for term in terms(text or ""):
                     held.setdefault(term, [0, 0])[toxic] += 1
-                if len(held) > 500_000:
+                if len(held) > 200_000:
                     yield from full()
         if held:
             yield from full()

@@ -33,6 +33,7 @@ def test_mix(spark, monkeypatch):
     monkeypatch.setattr(M, "FAN_IN", 4)
     rows, d = documents(spark)
     got = M.mix(d).collect()
+    assert {r.doc_id: r.size for r in got} == {i: len(t.split()) for i, t, _ in rows}
     source, sizes, taken, largest = {i: s for i, _, s in rows}, defaultdict(int), defaultdict(int), defaultdict(int)
     for r in got:
         s = source[r.doc_id]
