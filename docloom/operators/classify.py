@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from .explode import contains_any, split_sentences
 
-#: Bytes up to which a user's rule table is broadcast; a larger one is joined by its keywords' words.
-RULES_BROADCAST = 8 << 20
 
 
 def categories_of(sentence: Column, whole_word: bool = False) -> Column:

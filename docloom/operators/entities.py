@@ -18,8 +18,8 @@ PATTERNS = {
     "CARDINAL": r"\b\d[\d,]*(?:\.\d+)?\b",
 }
 _ANY = "(?i)" + "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Longest name of a gazetteer in words, and bytes of names that go into one pass.
-NAME_WORDS, NAME_BLOCK = 4, 200_000
+#: Longest name of a gazetteer in words.
+NAME_WORDS = 4
 _TOKEN = r"[\p{L}\p{N}]+"
 
 
