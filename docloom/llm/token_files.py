@@ -58,7 +58,7 @@ def train_dictionary(docs: DataFrame, definition: str, width: int, id_col: str,
         encoder = kept(key, lambda: Encoder(sent.value, width))
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([encoder.encode(t)[:SAMPLE_BYTES] for t in texts], pa.binary())], ["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([encoder.text(t)[:SAMPLE_BYTES] for t in texts], pa.binary())], ["ids"])
 
     share = hash_fraction(docs.count(), SAMPLE_DOCS)
     sample = docs.filter(in_hash_sample(F.col(id_col), share)).select(text_col).mapInArrow(run, "ids binary")
@@ -104,7 +104,7 @@ def write_token_files(docs: DataFrame, definition: str, folder: str, id_col: str
                     part, path = task_file(folder, ".dltok")
                     out = open_output(path)
                     out.write(struct.pack(HEADER, MAGIC, width, 0, digest))
-                ids = encoder.encode(text or "") + end
+                ids = encoder.text(text or "") + end
                 frame = press.compress(ids)
                 out.write(frame)
                 index.append((number or 0, at, len(frame), number is None, len(ids) // width))

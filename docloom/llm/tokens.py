@@ -9,14 +9,14 @@ the library gives for a piece is kept in a table of bounded size in each Python
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: Entries that a worker's table of pieces holds before it starts anew.
-PIECES = 300_000
+PIECES = 800_000
 
 _AFTER_SPACE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
@@ -75,57 +75,124 @@ def proven_whole(tokenizer) -> frozenset[str]:
 
 
 class Bounded(dict):
-    """piece -> value, computed when missing; starts anew when full."""
+    """piece -> value, computed when missing. When full it becomes the older generation and starts
+    anew; what is still used is carried over."""
 
     def __init__(self, compute, most: int = PIECES) -> None:
         super().__init__()
-        self.compute, self.most = compute, most
+        self.compute, self.most, self.old = compute, most, {}
 
     def __missing__(self, key: str):
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.compute(key)
+        self[key] = value
         return value
 
 
-class Counter:
+#: What the byte-level rule splits by, as the library states it; only used on code points below
+#: U+0250, whose classes all versions of Unicode share. Others go through the library's own splitter.
+_RULE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_OTHER = re.compile(r"[^\x20-\x7e\n\t\u00a1-\u024f]")
+
+
+#: Signs that stand together as one pre-token behind a word. No apostrophe, which may begin another,
+#: and no sign of a special token.
+_SIGNS = '.,;:!?|%&$*#"()[]{}'
+
+
+class Splitter:
+    """Cuts a piece into pre-tokens, and writes a pre-token in the byte-level alphabet."""
+
+    def __init__(self, tokenizer) -> None:
+        import regex
+
+        self.pre_tokenizer, self.find = tokenizer.pre_tokenizer, regex.compile(_RULE).findall
+        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.table = {b: c for c, b in byte_alphabet().items()}
+
+    def words(self, piece: str) -> list[str] | None:
+        """The pre-tokens; None if the piece holds a special token."""
+        for s in self.special:
+            if s in piece:
+                return None
+        if _OTHER.search(piece):
+            return [piece[a:b] for _, (a, b) in self.pre_tokenizer.pre_tokenize_str(piece)]
+        return self.find(piece)
+
+    def spelled(self, word: str) -> str:
+        return word.encode().decode("latin-1").translate(self.table)
+
+
+class Worker:
+    """What texts are made of, summed over their pieces: a base of Counter and Encoder."""
+
+    def __init__(self, definition: str) -> None:
+        self.tokenizer = load_tokenizer(definition)
+        self.splitter = Splitter(self.tokenizer)
+        self.tokenize = self.tokenizer.model.tokenize
+        # Whether no special token can be made of letters and those signs.
+        self.plain = not any(all(c.isalpha() or c in _SIGNS for c in s) for s in self.splitter.special)
+        self.spaced = Bounded(self.after_space)
+        self.bare = Bounded(self.word, PIECES // 8)
+
+    def after_space(self, rest: str):
+        """The piece that is a space and `rest`. Most are ASCII letters, perhaps with signs behind them:
+        one pre-token, or two."""
+        if self.plain and rest.isascii():
+            if rest.isalpha():
+                return self.word(" " + rest, "Ġ" + rest)
+            word = rest.rstrip(_SIGNS)
+            if word.isalpha():
+                return self.add([self.spaced[word], self.bare[rest[len(word) :]]])
+        return self.piece(" " + rest)
+
+    def piece(self, piece: str):
+        words = self.splitter.words(piece)
+        if words is None:
+            return self.whole_piece(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        if len(words) == 1:
+            return self.word(words[0])
+        return self.add([self.spaced[w[1:]] if w[0] == " " else self.bare[w] for w in words])
+
+    def text(self, text: str):
+        first, *rest = pieces(text)
+        return self.add([self.piece(first), *map(self.spaced.__getitem__, rest)])
+
+
+class Counter(Worker):
     """Counts the tokens of texts in one worker."""
 
+    add, whole_piece = staticmethod(sum), staticmethod(len)
+
     def __init__(self, definition: str, whole: frozenset[str]) -> None:
-        self.tokenizer, self.whole = load_tokenizer(definition), whole
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.merged = Bounded(lambda word: len(self.tokenizer.model.tokenize(word)))
-        self.spaced = Bounded(lambda piece: self.piece(" " + piece))
-
-    def piece(self, piece: str) -> int:
-        if any(s in piece for s in self.special):
-            return len(self.tokenizer.encode(piece, add_special_tokens=False).ids)
-        words = [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece)]
-        rest = [w for w in words if w not in self.whole]
-        return len(words) - len(rest) + sum(map(self.merged.__getitem__, rest))
-
-    def count(self, text: str) -> int:
-        first, *rest = pieces(text)
-        return self.piece(first) + sum(map(self.spaced.__getitem__, rest))
+        super().__init__(definition)
+        alphabet = byte_alphabet()
+        self.whole = frozenset(bytes(alphabet[c] for c in token).decode() for token in whole)
 
+    def word(self, word: str, spelled: str = "") -> int:
+        return 1 if word in self.whole else len(self.tokenize(spelled or self.splitter.spelled(word)))
 
-class Encoder:
+
+class Encoder(Worker):
     """Gives texts' ids as little-endian bytes of `width` bytes an id in one worker."""
 
+    add = staticmethod(b"".join)
+
     def __init__(self, definition: str, width: int) -> None:
         import numpy as np
 
-        self.tokenizer, self.dtype = load_tokenizer(definition), np.dtype(f"<u{width}")
-        self.spaced = Bounded(lambda piece: self.piece(" " + piece))
+        super().__init__(definition)
+        self.dtype, self.code = np.dtype(f"<u{width}"), "H" if width == 2 else "I"
 
-    def piece(self, piece: str) -> bytes:
-        import numpy as np
+    def whole_piece(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
-        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        first, *rest = pieces(text)
-        return self.piece(first) + b"".join(map(self.spaced.__getitem__, rest))
+    def word(self, word: str, spelled: str = "") -> bytes:
+        return self.whole_piece([t.id for t in self.tokenize(spelled or self.splitter.spelled(word))])
 
 
 #: What a Python worker keeps between its tasks, by the tokenizer's hash; one entry.
@@ -161,7 +228,7 @@ def count_tokens(docs: DataFrame, definition: str, id_col: str = "doc_id", text_
         counter = kept(key, lambda: Counter(*sent.value))
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")
-            counts = [counter.count(t) for t in texts.to_pylist()]
+            counts = [counter.text(t) for t in texts.to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pc.binary_length(texts).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())],
                 [id_col, "n_bytes", "n_tokens", "over_limit"],
