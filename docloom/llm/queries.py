@@ -11,7 +11,7 @@ from .simhash import op7_simhash
 from .token_files import op3_token_files
 from .tokens import op2_token_counts
 from .toxicity import op5_toxicity
-from .warc import op8_warc
+from .warc import OP8_SQL, op8_warc
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_mixing": op10_mixing,
 }
-ORACLE: dict[str, str] = {"op6_quality": OP6_SQL}
+ORACLE: dict[str, str] = {"op6_quality": OP6_SQL, "op8_warc": OP8_SQL}

@@ -2,6 +2,8 @@
 
 import gzip
 
+import duckdb
+
 from docloom.llm import warc as W
 from docloom.llm.common import fresh_path, open_input
 
@@ -46,3 +48,10 @@ def test_records_are_plain_warc(spark):
     text = "".join(texts)
     assert text.count("WARC/1.1\r\n") == 2 and text.count("payload\r\n\r\n") == 1 and "WARC-Refers-To-Target-URI: http://x/" in text
     assert W.digest_of(b"") == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
+
+
+def test_sql(spark):
+    con = duckdb.connect()
+    con.execute("CREATE VIEW pages AS SELECT * FROM '/root/testdata/sf0.01/pages.parquet'")
+    got = sorted(map(tuple, W.op8_warc(spark, "/root/testdata/sf0.01").collect()))
+    assert got == sorted(con.execute(W.OP8_SQL).fetchall())
