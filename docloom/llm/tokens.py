@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Entries that a worker's table of pieces holds before it starts anew.
-PIECES = 500_000
+PIECES = 800_000
 
 _AFTER_SPACE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
