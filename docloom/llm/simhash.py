@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -133,10 +133,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, limit: int = 4) -> DataFrame:
     """The documents, all columns, one of each group of near_duplicates(): that with the smallest id
     (null last), of rows that share it that with the smallest text hash, of equal rows any."""
+    return keep_first(docs, id_col, text_col, lambda keyed: fingerprints(keyed, "k", text_col, size), lambda _, prints: _grouped(prints.select(F.col("id")[id_col].alias("id"), "fp"), limit))
+
+
+def keep_first(docs: DataFrame, id_col: str, text_col: str, marked: Callable[[DataFrame], DataFrame], grouped: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """One document of each group, as keep_one() chooses it. `marked` gives (id, fp) of rows (k, text), `grouped` (fp, root) of both."""
     key = {"__dl_id": F.coalesce(F.col(id_col).cast("string"), F.lit("null")), "__dl_tie": F.xxhash64(text_col)}
     keyed = docs.withColumns(key)
-    prints = materialize(fingerprints(keyed.select(F.struct(id_col, "__dl_id", "__dl_tie").alias("k"), text_col), "k", text_col, size), "fingerprints")
-    rooted = _grouped(prints.select(F.col("id")[id_col].alias("id"), "fp"), limit)
+    rows = keyed.select(F.struct(id_col, "__dl_id", "__dl_tie").alias("k"), text_col)
+    prints = materialize(marked(rows), "fingerprints")
+    rooted = grouped(rows, prints)
     least = prints.groupBy("fp").agg(F.min(F.struct(F.col("id")[id_col].isNull().alias("no"), F.col("id").alias("k"))).alias("first"))
     kept = rooted.join(least, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.k.__dl_id", "first.k.__dl_tie").distinct()
     # The join and the removal of equal rows share one partitioning.
