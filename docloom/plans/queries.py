@@ -340,6 +340,11 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orders(spark, sf_dir).join(keys, "id").select("query_id", "status", "month", "price")
 
 
+def _hundredths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated set of searches: every order whose key is divisible by 100."""
+    return _orders(spark, sf_dir).filter("id % 100 = 0").select(F.col("id").alias("query_id"), "status", "month", "price")
+
+
 @query("r1_fit_scaler", "SELECT round(avg(o_totalprice), 4) AS price_mean, round(stddev_pop(o_totalprice), 4) AS price_std FROM orders")
 def _(spark, sf_dir):
     return recommend.fit_scaler(_orders(spark, sf_dir), ["price"]).select(F.round("price_mean", 4).alias("price_mean"), F.round("price_std", 4).alias("price_std"))
@@ -350,18 +355,40 @@ def _(spark, sf_dir):
     return recommend.fit_categories(_orders(spark, sf_dir), ["status", "month"])
 
 
-@query("r4_top_similar", S.RECOMMENDED + " SELECT query_id, id, round(similarity, 6) AS similarity, rank FROM best")
-def _(spark, sf_dir):
-    scored = recommend.similarity(_asked(spark, sf_dir), _orders(spark, sf_dir), ["status", "month"], ["price"], "id")
+def _top_similar(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
+    scored = recommend.similarity(asked, _orders(spark, sf_dir), ["status", "month"], ["price"], "id")
     return recommend.top_similar(scored).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("r6_recommend", S.RECOMMENDED + S.VOTED + ", t AS (SELECT query_id, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY rank) AS top FROM best GROUP BY query_id) SELECT query_id, predicted, round(confidence, 6) AS confidence, top FROM voted JOIN t USING (query_id)")
-def _(spark, sf_dir):
-    found = recommend.recommend(_asked(spark, sf_dir), _orders(spark, sf_dir), ["status", "month"], ["price"], "priority")
+def _recommend(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
+    found = recommend.recommend(asked, _orders(spark, sf_dir), ["status", "month"], ["price"], "priority")
     return found.select("query_id", "predicted", F.round("confidence", 6).alias("confidence"), F.array_join(F.transform("top", lambda r: r["id"].cast("string")), " ").alias("top"))
 
 
+_BEST = " SELECT query_id, id, round(similarity, 6) AS similarity, rank FROM best"
+_ADVICE = S.VOTED + ", t AS (SELECT query_id, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY rank) AS top FROM best GROUP BY query_id) SELECT query_id, predicted, round(confidence, 6) AS confidence, top FROM voted JOIN t USING (query_id)"
+
+
+@query("r4_top_similar", S.RECOMMENDED + _BEST)
+def _(spark, sf_dir):
+    return _top_similar(spark, sf_dir, _asked(spark, sf_dir))
+
+
+@query("r4_top_similar_all", S.RECOMMENDED_ALL + _BEST)
+def _(spark, sf_dir):
+    return _top_similar(spark, sf_dir, _hundredths(spark, sf_dir))
+
+
+@query("r6_recommend", S.RECOMMENDED + _ADVICE)
+def _(spark, sf_dir):
+    return _recommend(spark, sf_dir, _asked(spark, sf_dir))
+
+
+@query("r6_recommend_all", S.RECOMMENDED_ALL + _ADVICE)
+def _(spark, sf_dir):
+    return _recommend(spark, sf_dir, _hundredths(spark, sf_dir))
+
+
 @query("r7_knn_classify", S.KNN)
 def _(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")

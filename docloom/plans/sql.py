@@ -265,6 +265,8 @@ st AS (SELECT avg(price) AS m, stddev_pop(price) AS d FROM h), z AS (SELECT h.*,
 asked AS (SELECT n_nationkey AS query_id, z.* EXCLUDE (id) FROM nation JOIN z ON id = n_nationkey * 100 + 1),
 sc AS (SELECT query_id, z.id, z.priority, (CAST(a.status = z.status AS INTEGER) + CAST(a.month = z.month AS INTEGER) + a.zp * z.zp) / (sqrt(2 + a.zp * a.zp) * sqrt(2 + z.zp * z.zp)) AS similarity FROM asked a, z),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id DESC) AS rank FROM sc) WHERE rank <= 5)"""
+#: The same with every order whose key is divisible by 100 as a query, its key as query_id.
+RECOMMENDED_ALL = RECOMMENDED.replace("SELECT n_nationkey AS query_id, z.* EXCLUDE (id) FROM nation JOIN z ON id = n_nationkey * 100 + 1", "SELECT id AS query_id, z.* EXCLUDE (id) FROM z WHERE id % 100 = 0")
 VOTED = ", vt AS (SELECT query_id, priority, sum(similarity) AS s, min(rank) AS r FROM best GROUP BY ALL), voted AS (SELECT query_id, priority AS predicted, s / CASE WHEN total = 0 THEN 1 ELSE total END AS confidence FROM (SELECT *, sum(s) OVER (PARTITION BY query_id) AS total, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, r) AS k FROM vt) WHERE k = 1)"
 
 KNN = """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
