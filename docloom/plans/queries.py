@@ -293,6 +293,19 @@ def _(spark, sf_dir):
     return compare.pairs_by_token(documents(spark, sf_dir), 20)
 
 
+_CLASSES = f"w AS (SELECT doc_id, list_sort(list_distinct({S.words('text')})) AS s FROM documents), c AS (SELECT s, min(doc_id) AS id FROM w WHERE len(s) > 0 GROUP BY s)"
+
+
+@query("j5_word_set_classes", f"WITH {_CLASSES} SELECT doc_id, id AS class_id FROM w JOIN c USING (s)")
+def _(spark, sf_dir):
+    return compare.word_set_classes(documents(spark, sf_dir))
+
+
+@query("j5_pairs_by_all_tokens", f"WITH {_CLASSES}, k AS (SELECT id, unnest(s) AS term FROM c) SELECT a.id AS id_a, b.id AS id_b, count(*) AS n FROM k a JOIN k b ON a.term = b.term AND a.id < b.id GROUP BY ALL HAVING count(*) >= 20")
+def _(spark, sf_dir):
+    return compare.pairs_by_all_tokens(documents(spark, sf_dir), 20)
+
+
 @query("j6_section_similarity", S.SECTION_SIMILARITY)
 def _(spark, sf_dir):
     found = compare.section_similarity(policy_docs(spark, sf_dir)).withColumn("similarity", F.round("similarity", 6))
