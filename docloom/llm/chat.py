@@ -21,7 +21,9 @@ _QUOTE = re.compile(r"[ \t]{0,3}((?:>[ \t]?)+)(.*)", re.DOTALL)
 _SAID = re.compile(r"(?i)^\s*(?:on\b.*\bwrote|am\b.*\bschrieb\b.*|le\b.*\ba écrit|el\b.*\bescribió|.{1,80}\b(?:wrote|said|writes))\s*:\s*$")
 _SPACE = re.compile(r"\s+")
 
-PARSED = "conv_id long, turn long, role string, body string, own array<long>, quotes array<struct<level:int,place:int,hash:long>>"
+_SENTENCE = re.compile(r"(?<=[.!?])\s+")
+
+PARSED = "conv_id long, turn long, role string, body string, own array<long>, quotes array<struct<level:int,place:int,hash:long>>, pieces array<struct<level:int,place:int,hash:long,length:int>>"
 
 
 def normal(text: str) -> str:
@@ -29,27 +31,46 @@ def normal(text: str) -> str:
     return _SPACE.sub(" ", text).strip().casefold()
 
 
-def passages(lines: list[str]) -> list[str]:
-    """Normalised paragraphs of a run of lines and, if there are several, the whole; no empty ones."""
+def paragraphs(lines: list[str]) -> list[list[str]]:
+    """Runs of lines that aren't blank."""
     found, held = [], []
     for line in [*lines, ""]:
         if line.strip():
             held.append(line)
         elif held:
-            found.append(normal(" ".join(held)))
+            found.append(held)
             held = []
+    return found
+
+
+def passages(lines: list[str]) -> list[str]:
+    """Normalised paragraphs of a run of lines and, if there are several, the whole; no empty ones."""
+    found = [normal(" ".join(p)) for p in paragraphs(lines)]
     return found + [normal(" ".join(lines))] * (len(found) > 1)
 
 
+def pieces(paragraph: list[str]) -> list[str]:
+    """Normalised lines and sentences of a paragraph: what a trimmed quote may keep of it, wrapped as it was or not."""
+    found = [normal(line) for line in paragraph] + _SENTENCE.split(normal(" ".join(paragraph)))
+    return [p for p in dict.fromkeys(found) if p]
+
+
 def parse_quotes(text: str) -> tuple[str, list[tuple[int, str]]]:
     """(text without quotes, [(level, normalised passage)]) in order. Level 1 is what the message
     itself quotes, level 2 what the quoted message quoted, and so on. A line of deeper level ends
     a passage; a > that follows text in a line is no quote."""
-    own, quotes, held, level = [], [], [], 0
+    return _parse(text)[:2]
+
+
+def _parse(text: str) -> tuple[str, list[tuple[int, str]], list[list[str]]]:
+    """parse_quotes() and the pieces of each quoted paragraph; none for a run of several paragraphs."""
+    own, quotes, parts, held, level = [], [], [], [], 0
 
     def close() -> None:
         if level:
             quotes.extend((level, p) for p in passages(held))
+            parts.extend(pieces(p) for p in paragraphs(held))
+            parts.extend([] for _ in range(len(quotes) - len(parts)))
         held.clear()
 
     for line in text.split("\n"):
@@ -71,7 +92,7 @@ def parse_quotes(text: str) -> tuple[str, list[tuple[int, str]]]:
             own.append(line)
     close()
     body = re.sub(r"\n{3,}", "\n\n", "\n".join(own)).strip() if quotes else text
-    return body, quotes
+    return body, quotes, parts
 
 
 def _hash(passage: str) -> int:
@@ -82,18 +103,21 @@ def _hash(passage: str) -> int:
 
 
 def parse_messages(messages: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
-    """Each message's own text, the hashes of its own passages and those of its quotes. Narrow."""
+    """Each message's own text, the hashes of its own passages and pieces and those of its quotes. Narrow."""
+    piece = pa.struct([("level", pa.int32()), ("place", pa.int32()), ("hash", pa.int64()), ("length", pa.int32())])
     note = pa.struct([("level", pa.int32()), ("place", pa.int32()), ("hash", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bodies, owns, notes = [], [], []
+            bodies, owns, notes, kept = [], [], [], []
             for t in batch.column(3).to_pylist():
-                body, quotes = parse_quotes(t or "")
+                body, quotes, parts = _parse(t or "")
                 bodies.append(body)
-                owns.append(sorted({_hash(p) for p in passages(body.split("\n"))}))
+                lines = body.split("\n")
+                owns.append(sorted({_hash(p) for p in [*passages(lines), *(x for held in paragraphs(lines) for x in pieces(held))]}))
+                kept.append([{"level": level, "place": i, "hash": _hash(x), "length": len(x)} for i, (level, p) in enumerate(quotes) for x in dict.fromkeys([p, *parts[i]])])
                 notes.append([{"level": level, "place": i, "hash": _hash(p)} for i, (level, p) in enumerate(quotes)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(bodies, pa.string()), pa.array(owns, pa.list_(pa.int64())), pa.array(notes, pa.list_(note))], ["conv_id", "turn", "role", "body", "own", "quotes"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(bodies, pa.string()), pa.array(owns, pa.list_(pa.int64())), pa.array(notes, pa.list_(note)), pa.array(kept, pa.list_(piece))], ["conv_id", "turn", "role", "body", "own", "quotes", "pieces"])
 
     chosen = messages.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).alias("text"))
     return chosen.mapInArrow(run, PARSED)
@@ -103,11 +127,12 @@ def quote_links(parsed: DataFrame) -> DataFrame:
     """(conv_id, turn, level, place, from_conv, from_turn) of every quoted passage whose origin is known.
 
     The origin is the first message of the same conversation, before the quoting one, that says the
-    passage itself; else the first of any other conversation. Passages that nobody quotes drop out
+    passage itself; else the first of any other conversation. Of a passage that nobody says whole, the
+    longest line or sentence with an origin counts, as of a trimmed quote. Passages that nobody quotes drop out
     by a semi join, and the rest are reduced with map-side minima by hash, so a passage that
     thousands of messages share is one row before it meets its quotes.
     """
-    quoted = materialize(parsed.filter(F.size("quotes") > 0).select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.*"), "quotes")
+    quoted = materialize(parsed.filter(F.size("quotes") > 0).select("conv_id", "turn", F.explode("pieces").alias("q")).select("conv_id", "turn", "q.*"), "quotes")
     said = parsed.select("conv_id", "turn", F.explode("own").alias("hash")).join(quoted.select("hash").distinct(), "hash", "left_semi")
     near = said.groupBy("hash", "conv_id").agg(F.min("turn").alias("near_turn"))
     # The first two conversations of each passage: one of them is another than the quoting one.
@@ -116,7 +141,9 @@ def quote_links(parsed: DataFrame) -> DataFrame:
     inside = F.col("near_turn") < F.col("turn")
     other = F.when(~F.col("first.conv_id").eqNullSafe(F.col("conv_id")), F.col("first")).when(~F.col("last.conv_id").eqNullSafe(F.col("conv_id")), F.col("last"))
     origin = F.when(inside, F.struct(F.col("conv_id"), F.col("near_turn"))).otherwise(other)
-    return linked.withColumn("o", origin).filter("o is not null").select("conv_id", "turn", "level", "place", F.col("o.conv_id").alias("from_conv"), F.col("o.near_turn").alias("from_turn"))
+    whole = F.min(F.struct(-F.col("length"), "hash", "o")).alias("best")
+    chosen = linked.withColumn("o", origin).filter("o is not null").groupBy("conv_id", "turn", "level", "place").agg(whole).withColumn("o", F.col("best.o"))
+    return chosen.select("conv_id", "turn", "level", "place", F.col("o.conv_id").alias("from_conv"), F.col("o.near_turn").alias("from_turn"))
 
 
 def threads(replies: DataFrame) -> DataFrame:
