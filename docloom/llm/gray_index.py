@@ -13,8 +13,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Children of a node, and pairs of nodes that a walk holds at once.
-FANOUT, HELD = 8, 1 << 14
+#: Children of a node, pairs of nodes that a walk holds at once, members from which neighbours are linked first.
+FANOUT, HELD, MANY = 8, 1 << 14, 256
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -72,8 +72,15 @@ def link_all(codes: np.ndarray, limit: int) -> np.ndarray:
     labels = Labels(len(codes))
     if len(codes) < 2:
         return labels.up
+    if len(codes) >= MANY:
+        link_neighbours(labels, codes, limit)
     tree = levels(codes)
     top = len(tree) - 1
+    # For each level, the least label of each node and whether it is its only one, as of some step of
+    # the walk; labels only merge, so old ones prune less, never wrongly. They are made anew when as
+    # many pairs as members have passed.
+    state: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
+    passed = 0
     # Each entry: level, left nodes, right nodes, bits already compared, differences so far.
     zero = np.zeros(1, np.int64)
     work = [(top, zero, zero, np.zeros(1, np.uint64), np.zeros(1, np.uint8))]
@@ -82,14 +89,16 @@ def link_all(codes: np.ndarray, limit: int) -> np.ndarray:
         if len(left) > HELD:
             work += [(k, *(x[at : at + HELD] for x in (left, right, seen, apart))) for at in range(0, len(left), HELD)]
             continue
-        level = tree[k]
+        level, passed = tree[k], passed + len(left)
         both = level.mask[left] & level.mask[right]
         apart = apart + np.bitwise_count((level.pattern[left] ^ level.pattern[right]) & both & ~seen)
         keep = (apart <= limit) & ((left != right) | (k > 0))
         if k:
             # Two nodes whose members are all of one component already have nothing to add.
-            least = np.minimum.reduceat(labels.up, level.first)
-            one = least == np.maximum.reduceat(labels.up, level.first)
+            if k not in state or passed - state[k][2] >= len(codes):
+                low = np.minimum.reduceat(labels.up, level.first)
+                state[k] = (low, low == np.maximum.reduceat(labels.up, level.first), passed)
+            least, one, _ = state[k]
             keep &= ~(one[left] & one[right] & (least[left] == least[right]))
         left, right, both, apart = left[keep], right[keep], both[keep], apart[keep]
         whole = apart + (64 - np.bitwise_count(both)) <= limit
@@ -110,6 +119,17 @@ def link_all(codes: np.ndarray, limit: int) -> np.ndarray:
     return labels.up
 
 
+def link_neighbours(labels: Labels, codes: np.ndarray, limit: int) -> None:
+    """Link codes that are next to each other in Gray order under some rotation of their bits: this alone
+    makes one component of most of a dense group, whose pairs of nodes the walk then drops at the top."""
+    for turn in range(0, 64, 8):
+        turned = codes if not turn else (codes << np.uint64(turn)) | (codes >> np.uint64(64 - turn))
+        order = np.argsort(gray_rank(turned))
+        a, b = order[:-1], order[1:]
+        near = np.bitwise_count(codes[a] ^ codes[b]) <= limit
+        labels.link(a[near], b[near])
+
+
 def take_whole(labels: Labels, level: Level, left: np.ndarray, right: np.ndarray) -> None:
     """Link everything below each pair: all of a node's members to its first, and both firsts."""
     labels.link(level.first[left], level.first[right])

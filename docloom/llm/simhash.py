@@ -15,32 +15,42 @@ from .common import materialize
 from .components import connected_components
 from .gray_index import gray_rank, link_all
 
-#: Shingles whose bits are counted at once, and fingerprints that should share a key of a table.
-COUNTED, SHARED = 1 << 15, 256
+#: Shingles whose bits are counted at once, fingerprints that should share a key of a table, and the most
+#: of a key that one task takes; larger keys are split.
+COUNTED, SHARED, GROUP = 1 << 15, 256, 1 << 15
 
 
-def fingerprint(text: bytes, size: int = 4) -> int:
-    """The SimHash of a UTF-8 text: A-Z lower-cased, ASCII white space between words, a shingle for
-    each run of `size` words, repeats included. Fewer words make one shingle, none give 0."""
+def shingle_hashes(text: bytes, size: int) -> np.ndarray:
+    """XXH64 (seed 42) of each of a UTF-8 text's shingles, repeats included: A-Z lower-cased, ASCII white
+    space between words, one for each run of `size` words. Fewer words make one shingle, none give none."""
     import xxhash
 
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= size:
-        return xxhash.xxh64_intdigest(joined, 42)
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: len(words) - size + 1].tolist()
     digest, view = xxhash.xxh64_digest, memoryview(joined)
+    hashes = b"".join([digest(view[a:b], 42) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)])
+    return np.frombuffer(hashes, ">u8").astype(np.uint64)
+
+
+def bits_of(hashes: np.ndarray) -> int:
+    """The SimHash of shingle hashes: bits set in over half of them; 0 without any."""
     counts = np.zeros(64, np.int64)
-    stops = ends[size - 1 :].tolist()
-    for at in range(0, len(starts), COUNTED):
-        hashes = b"".join([digest(view[a:b], 42) for a, b in zip(starts[at : at + COUNTED], stops[at : at + COUNTED], strict=True)])
-        bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(starts)).tobytes(), "big")
+    for at in range(0, len(hashes), COUNTED):
+        part = hashes[at : at + COUNTED].astype(">u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: bytes, size: int = 4) -> int:
+    """The SimHash of a UTF-8 text; 0 without words."""
+    return bits_of(shingle_hashes(text, size))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
@@ -70,37 +80,66 @@ def banding(n: int, limit: int) -> list[list[int]]:
     return made
 
 
-def links(distinct: DataFrame, n: int, limit: int) -> DataFrame:
+def links(distinct: DataFrame, n: int, limit: int, group: int = GROUP) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that join all within `limit` bits into the same components.
 
     Every fingerprint goes once to each table of banding(); those with the same key meet in one
-    task, sorted by Gray rank, where the hierarchical index links them. A group of g gives at most
-    g - 1 links, whatever the number of its pairs, so large groups of near copies don't square.
+    task, where the hierarchical index in Gray order links them. A key of more than `group` members is dealt
+    into parts by a hash, and each pair of parts is a group of its own, so every two members still
+    meet and no task gets more than two parts at once. A group of g gives at most g - 1 links, whatever the
+    number of its pairs, so large groups of near copies don't square. Tasks stream their sorted
+    rows and hold one group.
     """
     masks = [sum(((1 << bits) - 1) << at for at, bits in table) for table in banding(n, limit)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("t", "key"))
+    if n > group:
+        parts = F.ceil(F.col("n") / (group // 2)).cast("int")
+        large = materialize(keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group).select("t", "key", parts.alias("parts")), "large-keys")
+        own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+        # The pairs of parts that hold one's own: (0, own), ..., (own, own), ..., (own, parts - 1); (own, own) is within the others.
+        pairs = F.filter(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.when(p != own, F.least(p, own) * F.col("parts") + F.greatest(p, own))), lambda x: x.isNotNull())
+        keyed = keyed.join(large, ["t", "key"], "left").select("fp", "t", "key", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(pairs)).alias("unit"))
+    else:
+        keyed = keyed.withColumn("unit", F.lit(0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Three numbers for each row of the task; groups are cut out of them by table and key.
-        held = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(3)] for b in batches if b.num_rows]
-        if not held:
-            return
-        fp, table, key = (np.concatenate([h[i] for h in held]) for i in range(3))
-        codes = fp.view(np.uint64)
-        order = np.lexsort((gray_rank(codes), key, table))
-        codes, table, key = codes[order], table[order], key[order]
-        cuts = np.flatnonzero((table[1:] != table[:-1]) | (key[1:] != key[:-1])) + 1
-        starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(codes)]])
-        more = ends - starts > 1
-        for a, b in zip(starts[more].tolist(), ends[more].tolist(), strict=True):
-            group = codes[a:b]
-            up = link_all(group, limit)
-            linked = np.flatnonzero(up != np.arange(len(up)))
-            if len(linked):
-                yield pa.RecordBatch.from_arrays([pa.array(group[linked].view(np.int64)), pa.array(group[up[linked]].view(np.int64))], ["a", "b"])
-
-    return keyed.repartition("t", "key").select("fp", "t", "key").mapInArrow(run, "a long, b long")
+        def linked(columns: list[np.ndarray], cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Links of the groups between the cuts."""
+            codes, (starts, ends) = columns[0].view(np.uint64), (cuts[:-1], cuts[1:])
+            more = ends - starts > 1
+            below, above = [], []
+            for a, b in zip(starts[more].tolist(), ends[more].tolist(), strict=True):
+                members = codes[a:b]
+                members = members[np.argsort(gray_rank(members))]
+                up = link_all(members, limit)
+                hit = np.flatnonzero(up != np.arange(len(up)))
+                if len(hit):
+                    below.append(members[hit])
+                    above.append(members[up[hit]])
+            if below:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (below, above)], ["a", "b"])
+
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if held and all(x[0] == now[i][0] == now[i][-1] for i, x in enumerate(held[-1]) if i):
+                held.append(now)  # still the group that the rows before ended in
+                continue
+            rows = [np.concatenate([h[i] for h in held] + [now[i]]) for i in range(4)]
+            cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in rows[1:]], axis=0)) + 1
+            done = cuts[-1] if len(cuts) else 0
+            yield from linked([x[:done] for x in rows], np.concatenate([[0], cuts])) if done else ()
+            held = [[x[done:] for x in rows]]
+        if held:
+            rows = [np.concatenate([h[i] for h in held]) for i in range(4)]
+            cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in rows[1:]], axis=0)) + 1
+            yield from linked(rows, np.concatenate([[0], cuts, [len(rows[0])]]))
+
+    sorted_rows = keyed.repartition("t", "key", "unit").sortWithinPartitions("t", "key", "unit").select("fp", "t", "key", "unit")
+    return sorted_rows.mapInArrow(run, "a long, b long")
 
 
 def _grouped(prints: DataFrame, limit: int) -> DataFrame:
@@ -138,7 +177,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
 
 def keep_first(docs: DataFrame, id_col: str, text_col: str, marked: Callable[[DataFrame], DataFrame], grouped: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     """One document of each group, as keep_one() chooses it. `marked` gives (id, fp) of rows (k, text), `grouped` (fp, root) of both."""
-    key = {"__dl_id": F.coalesce(F.col(id_col).cast("string"), F.lit("null")), "__dl_tie": F.xxhash64(text_col)}
+    # No id is written as the one that stands for null.
+    key = {"__dl_id": F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("")), "__dl_tie": F.xxhash64(text_col)}
     keyed = docs.withColumns(key)
     rows = keyed.select(F.struct(id_col, "__dl_id", "__dl_tie").alias("k"), text_col)
     prints = materialize(marked(rows), "fingerprints")

@@ -131,3 +131,30 @@ def test_large_group_of_copies_gives_few_links(spark):
     d = spark.range(3000).selectExpr("id AS doc_id", "concat('one two three four five six seven ', id % 3) AS text")
     r = simhash.near_duplicates(d).collect()
     assert len(r) == 3000 and len({x.component_id for x in r}) <= 3
+
+
+def test_split_keys_miss_no_pair(spark):
+    rng = np.random.default_rng(3)
+    codes = clustered(rng, 400, 3)
+    d = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "fp long")
+    wanted = plain_labels(codes.tolist(), 4)
+    for group in (8, 64, 1 << 15):
+        found = connected_components(simhash.links(d, len(codes), 4, group)).collect()
+        root = {r.node: r.root for r in found}
+        got = [root.get(int(c), int(c)) for c in codes.view(np.int64)]
+        assert len(set(zip(got, wanted, strict=True))) == len(set(got)) == len(set(wanted))
+
+
+def test_dense_group_in_one_key(monkeypatch):
+    rng = np.random.default_rng(4)
+    c = np.full(600, 77, np.uint64)
+    for _ in range(5):
+        c = c ^ (np.uint64(1) << rng.integers(0, 64, 600).astype(np.uint64))
+    c = np.unique(c)
+    c = c[np.argsort(gray_rank(c))]
+    assert link_all(c, 4).tolist() == plain_labels(c, 4)
+
+
+def test_null_id_is_no_string_id(spark):
+    d = spark.createDataFrame([(None, "a b c d e f"), ("null", "g h i j k l"), ("", "m n o p q r")], "doc_id string, text string")
+    assert simhash.keep_one(d).count() == 3
