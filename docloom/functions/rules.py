@@ -1,12 +1,14 @@
 """Fixed values of the text functions: patterns, replacements and word lists, as data.
 
-Patterns are written so that Java's and RE2's regular expressions read them alike; \\1 is a group.
+\\1 is a group. A number before a unit is matched by its last digit alone, so that long runs of digits
+take linear time.
 """
 
 from __future__ import annotations
 
-#: Rewrites of one text function: (pattern, replacement, ignore case), applied in order.
-Rules = list[tuple[str, str, bool]]
+#: Rewrites of one text function, applied in order: (pattern, replacement, ignore case, needles). Every
+#: match holds one of the needles, in lower case; a text without any is passed over. No needles: all texts.
+Rules = list[tuple[str, str, bool, tuple[str, ...]]]
 
 # ---- fixed values -------------------------------------------------------------------------
 
@@ -19,78 +21,85 @@ MONTHS = ["january", "february", "march", "april", "may", "june", "july", "augus
 
 NUMBER_WORDS = {"twenty": "20", "thirty": "30", "forty": "40", "fifty": "50", "sixty": "60", "seventy": "70", "eighty": "80", "ninety": "90", "hundred": "100", "thousand": "1000", "million": "1000000", "billion": "1000000000"}
 
-PERCENTAGES: Rules = [(r"(\d+)\s*%", r"\1%", False), (r"(\d+)\s+percent", r"\1%", True)]
+PERCENTAGES: Rules = [(r"(\d)\s*%", r"\1%", False, ("%",)), (r"(\d)\s+percent", r"\1%", True, ("percent",))]
 
 YEARS: Rules = [
-    (r"\byear\s+(\d{4})\b", r"\1", True),
-    (r"\bby\s+the\s+year\s+(\d{4})\b", r"by \1", True),
-    (r"\bin\s+'([0-4]\d)\b", r"in 20\1", False),
-    (r"\bin\s+'([5-9]\d)\b", r"in 19\1", False),
+    (r"\byear\s+(\d{4})\b", r"\1", True, ("year",)),
+    (r"\bby\s+the\s+year\s+(\d{4})\b", r"by \1", True, ("year",)),
+    (r"\bin\s+'([0-4]\d)\b", r"in 20\1", False, ("'",)),
+    (r"\bin\s+'([5-9]\d)\b", r"in 19\1", False, ("'",)),
 ]
 
 CURRENCIES: Rules = [
-    (r"\$(\d+)bn\b", r"\1,000,000,000 USD", True),
-    (r"\$(\d+)m\b", r"\1,000,000 USD", True),
-    (r"(\d+)\s+billion\s+USD", r"\1,000,000,000 USD", True),
-    (r"Rs\.?\s*(\d+)\s+million", r"\1,000,000 INR", True),
+    (r"\$(\d+)bn\b", r"\1,000,000,000 USD", True, ("$",)),
+    (r"\$(\d+)m\b", r"\1,000,000 USD", True, ("$",)),
+    (r"(\d)\s+billion\s+USD", r"\1,000,000,000 USD", True, ("billion",)),
+    (r"Rs\.?\s*(\d+)\s+million", r"\1,000,000 INR", True, ("million",)),
 ]
 
 EMISSION_UNITS: Rules = [
-    (r"(\d+)\s*MtCO2e?\b", r"\1 million tonnes CO2e", True),
-    (r"(\d+)\s*GtCO2e?\b", r"\1 billion tonnes CO2e", True),
-    (r"\bkWh\b", "kWh", True),
-    (r"\bMWh\b", "MWh", True),
-    (r"\bgigatonnes?\b", "Gt", True),
+    (r"(\d)\s*MtCO2e?\b", r"\1 million tonnes CO2e", True, ("mtco2",)),
+    (r"(\d)\s*GtCO2e?\b", r"\1 billion tonnes CO2e", True, ("gtco2",)),
+    (r"\bkWh\b", "kWh", True, ("kwh",)),
+    (r"\bMWh\b", "MWh", True, ("mwh",)),
+    (r"\bgigatonnes?\b", "Gt", True, ("gigatonne",)),
 ]
 
 MISSING_VALUES: Rules = [
-    (r"reduce\s+emissions\s+by\s+___?%", "reduce emissions by MISSING%", True),
-    (r"around\s+(\d+)%", r"≈\1%", True),
-    (r"less\s+than\s+(\d+)%", r"<\1%", True),
-    (r"more\s+than\s+(\d+)%", r">\1%", True),
-    (r"(\d+)[–-](\d+)%", r"\1-\2%", False),
-    (r"(\d+)[–-]___%", r"\1-MISSING%", False),
+    (r"reduce\s+emissions\s+by\s+___?%", "reduce emissions by MISSING%", True, ("emissions",)),
+    (r"around\s+(\d+)%", r"≈\1%", True, ("around",)),
+    (r"less\s+than\s+(\d+)%", r"<\1%", True, ("less",)),
+    (r"more\s+than\s+(\d+)%", r">\1%", True, ("more",)),
+    (r"(\d)[–-](\d+)%", r"\1-\2%", False, ("%",)),
+    (r"(\d)[–-]___%", r"\1-MISSING%", False, ("%",)),
 ]
 
 CAPTIONS: Rules = [
-    (r"\b(figure|table|chart|graph)\s+\d+[.:]\s*[^\n]*", "", True),
-    (r"\b(fig|tab)\.\s*\d+[.:]\s*[^\n]*", "", True),
-    (r"\(see\s+(figure|table|chart)\s+\d+\)", "", True),
+    (r"\b(figure|table|chart|graph)\s+\d+[.:]\s*[^\n]*", "", True, ("figure", "table", "chart", "graph")),
+    (r"\b(fig|tab)\.\s*\d+[.:]\s*[^\n]*", "", True, ("fig.", "tab.")),
+    (r"\(see\s+(figure|table|chart)\s+\d+\)", "", True, ("(see",)),
 ]
 
 SENTENCE_BOUNDARIES: Rules = [
-    (r"([.!?])([A-Z])", r"\1 \2", False),
-    (r"[.]{2,}", ".", False),
-    (r"[!]{2,}", "!", False),
-    (r"[?]{2,}", "?", False),
-    (r"([a-zA-Z])\s*\n\s*([A-Z])", r"\1. \2", False),
+    (r"([.!?])([A-Z])", r"\1 \2", False, ()),
+    (r"[.]{2,}", ".", False, ("..",)),
+    (r"[!]{2,}", "!", False, ("!!",)),
+    (r"[?]{2,}", "?", False, ("??",)),
+    (r"([a-zA-Z])[^\S\n]*\n\s*([A-Z])", r"\1. \2", False, ("\n",)),
 ]
 
-SECTION_HEADINGS = [r"\b(introduction|executive\s+summary)\b", r"\b(objectives?|goals?|targets?)\b", r"\b(mitigation|adaptation)\b", r"\b(implementation|monitoring)\b", r"\b(conclusion|summary)\b", r"\b(annex|appendix)\b"]
+SECTION_HEADINGS = [
+    (r"\b(introduction|executive\s+summary)\b", ("introduction", "executive")),
+    (r"\b(objectives?|goals?|targets?)\b", ("objective", "goal", "target")),
+    (r"\b(mitigation|adaptation)\b", ("mitigation", "adaptation")),
+    (r"\b(implementation|monitoring)\b", ("implementation", "monitoring")),
+    (r"\b(conclusion|summary)\b", ("conclusion", "summary")),
+    (r"\b(annex|appendix)\b", ("annex", "appendix")),
+]
 
-FOOTNOTES: Rules = [(r"\[\d+\]", "", False), (r"\(\d+\)", "", False)]
+FOOTNOTES: Rules = [(r"\[\d+\]", "", False, ("[",)), (r"\(\d+\)", "", False, ("(",))]
 
 TERMS: Rules = [
-    (r"\bcarbon\s+dioxide\b", "CO2", True),
-    (r"\bmethane\b", "CH4", True),
-    (r"\bnitrous\s+oxide\b", "N2O", True),
-    (r"\bgreenhouse\s+gas(es)?\b", "GHG", True),
-    (r"\bemission\s+reduction(s)?\b", "mitigation", True),
-    (r"\bclimate\s+change\s+adaptation\b", "adaptation", True),
-    (r"\brenewable\s+energy\b", "renewable energy", True),
-    (r"\benergy\s+efficiency\b", "energy efficiency", True),
-    (r"\bnational(ly)?\s+determined\s+contribution(s)?\b", "NDC", True),
-    (r"\bparis\s+agreement\b", "Paris Agreement", True),
-    (r"\bkyoto\s+protocol\b", "Kyoto Protocol", True),
+    (r"\bcarbon\s+dioxide\b", "CO2", True, ("carbon",)),
+    (r"\bmethane\b", "CH4", True, ("methane",)),
+    (r"\bnitrous\s+oxide\b", "N2O", True, ("nitrous",)),
+    (r"\bgreenhouse\s+gas(es)?\b", "GHG", True, ("greenhouse",)),
+    (r"\bemission\s+reduction(s)?\b", "mitigation", True, ("emission",)),
+    (r"\bclimate\s+change\s+adaptation\b", "adaptation", True, ("climate",)),
+    (r"\brenewable\s+energy\b", "renewable energy", True, ("renewable",)),
+    (r"\benergy\s+efficiency\b", "energy efficiency", True, ("efficiency",)),
+    (r"\bnational(ly)?\s+determined\s+contribution(s)?\b", "NDC", True, ("determined",)),
+    (r"\bparis\s+agreement\b", "Paris Agreement", True, ("paris",)),
+    (r"\bkyoto\s+protocol\b", "Kyoto Protocol", True, ("kyoto",)),
 ]
 
 BOILERPLATE: Rules = [
-    (r"\bhereby\s+acknowledge(s)?\b", "", True),
-    (r"\bthereof\s+and\s+thereto\b", "", True),
+    (r"\bhereby\s+acknowledge(s)?\b", "", True, ("hereby",)),
+    (r"\bthereof\s+and\s+thereto\b", "", True, ("thereof",)),
     # The line break that ends a recital stays.
-    (r"\bwhereas\b[^\n]*(\n)", r"\1", True),
-    (r"\bnow\s+therefore\b", "", True),
-    (r"\bin\s+witness\s+whereof\b", "", True),
+    (r"\bwhereas\b[^\n]*(\n)", r"\1", True, ("whereas",)),
+    (r"\bnow\s+therefore\b", "", True, ("therefore",)),
+    (r"\bin\s+witness\s+whereof\b", "", True, ("witness",)),
 ]
 
 COUNTRIES = ["united states", "european union", "china", "india", "brazil", "russia", "japan"]
@@ -136,24 +145,24 @@ def date_rules() -> Rules:
     names = [(name, f"{i:02d}") for i, name in enumerate(MONTHS, 1)]
     made: Rules = []
     for name, mm in names:
-        made += [(rf"(^|[^\d])(\d)(st|nd|rd|th)?\s+{name}\s+(\d{{4}})", rf"\1\4-{mm}-0\2", True), (rf"(\d{{2}})(st|nd|rd|th)?\s+{name}\s+(\d{{4}})", rf"\3-{mm}-\1", True)]
+        made += [(rf"(^|[^\d])(\d)(st|nd|rd|th)?\s+{name}\s+(\d{{4}})", rf"\1\4-{mm}-0\2", True, (name,)), (rf"(\d{{2}})(st|nd|rd|th)?\s+{name}\s+(\d{{4}})", rf"\3-{mm}-\1", True, (name,))]
     for name, mm in names:
-        made += [(rf"{name}\s+(\d),?\s+(\d{{4}})", rf"\2-{mm}-0\1", True), (rf"{name}\s+(\d{{2}}),?\s+(\d{{4}})", rf"\2-{mm}-\1", True)]
-    return made + [(rf"(\d{{4}}),?\s+{name}", rf"\1-{mm}", True) for name, mm in names]
+        made += [(rf"{name}\s+(\d),?\s+(\d{{4}})", rf"\2-{mm}-0\1", True, (name,)), (rf"{name}\s+(\d{{2}}),?\s+(\d{{4}})", rf"\2-{mm}-\1", True, (name,))]
+    return made + [(rf"(\d{{4}}),?\s+{name}", rf"\1-{mm}", True, (name,)) for name, mm in names]
 
 
 def number_word_rules() -> Rules:
-    return [(rf"\b{word}\b", digits, True) for word, digits in NUMBER_WORDS.items()]
+    return [(rf"\b{word}\b", digits, True, (word,)) for word, digits in NUMBER_WORDS.items()]
 
 
 def heading_rules() -> Rules:
     """A heading at the start of a line is set apart; (?m) holds for the pattern."""
-    return [(f"(?m)^({p})", "\n=== \\1 ===\n", True) for p in SECTION_HEADINGS]
+    return [(f"(?m)^({p})", "\n=== \\1 ===\n", True, needles) for p, needles in SECTION_HEADINGS]
 
 
 def country_rules() -> Rules:
-    return [(rf"\b{c}\b", c.title(), True) for c in COUNTRIES] + [(r"\b(\d{1,2})/(\d{1,2})/(\d{4})\b", r"\3-\2-\1", False)]
+    return [(rf"\b{c}\b", c.title(), True, (c,)) for c in COUNTRIES] + [(r"\b(\d{1,2})/(\d{1,2})/(\d{4})\b", r"\3-\2-\1", False, ("/",))]
 
 
 #: From an annex or a list of references to the next blank line or the end; the blank line stays.
-ANNEXES: Rules = [(r"(?s)\bannex\s+[a-z]\b.*?(\n\n|\z)", r"\1", True), (r"(?s)\b(references?|bibliography)\s*\n.*?(\n\n|\z)", r"\2", True), *FOOTNOTES]
+ANNEXES: Rules = [(r"(?s)\bannex\s+[a-z]\b.*?(\n\n|\z)", r"\1", True, ("annex",)), (r"(?s)\b(references?|bibliography)\s*\n.*?(\n\n|\z)", r"\2", True, ("reference", "bibliography")), *FOOTNOTES]

@@ -12,30 +12,68 @@ from . import rules as R
 
 #: White space and word characters of all of Unicode; a line ends at \n alone.
 UNICODE = "(?Ud)"
+#: The white space that \\s stands for there.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 SENTENCE_END = r"(?<=[.!?])\s+"
 
 
 def replace(text: Column, pattern: str, by: str, any_case: bool = False) -> Column:
     """regexp_replace with \\1 for groups, Unicode classes and, if any_case, Unicode case."""
-    java = re.sub(r"\\(\d)", r"$\1", by.replace("$", "\\$"))
-    return F.regexp_replace(text, ("(?iu)" if any_case else "") + UNICODE + pattern, java)
+    return F.regexp_replace(text, *_java(pattern, by, any_case))
+
+
+def _java(pattern: str, by: str, any_case: bool) -> tuple[str, str]:
+    return ("(?iu)" if any_case else "") + UNICODE + pattern, re.sub(r"\\(\d)", r"$\1", by.replace("$", "\\$"))
 
 
 def rewrite(text: Column, rules: R.Rules) -> Column:
-    """All rules in order."""
-    for pattern, by, any_case in rules:
-        text = replace(text, pattern, by, any_case)
-    return text
+    """All rules in order. Rules are a constant array that is gone through for each text, so that plans stay
+    small however many there are; one without a needle in the text is passed over, as plain searches cost little."""
+
+    def row(pattern: str, by: str, any_case: bool, needles: tuple[str, ...]) -> Column:
+        java, replacement = _java(pattern, by, any_case)
+        return F.struct(F.lit(java).alias("p"), F.lit(replacement).alias("b"), F.array(*map(F.lit, needles or ("",))).alias("n"))
+
+    listed = F.array(*[row(*r) for r in rules])
+
+    def step(low: Column) -> Callable[[Column, Column], Column]:
+        return lambda t, r: F.when(F.exists(r["n"], lambda n: F.contains(low, n)), F.regexp_replace(t, r["p"], r["b"])).otherwise(t)
+
+    return once(text, lambda t: once(folded(t), lambda low: F.reduce(listed, t, step(low))))
+
+
+def folded(text: Column) -> Column:
+    """Lower case, with the few letters that ignoring case also takes for s, i and k."""
+    return F.lower(F.translate(text, "\u017f\u0131\u0130\u212a", "siik"))
 
 
 def strip(text: Column) -> Column:
     """Without white space at both ends."""
-    return replace(text, r"^\s+|\s+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), where value is worked out once however often `use` names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
+def running_sums(values: Column) -> Column:
+    """Sums of an int array up to each place: each pass adds what stands 1, 2, 4, ... places before, so
+    n values take log2(n) passes. Sums must fit an int."""
+    for k in range(31):
+        step = 1 << k
+        values = once(values, lambda s, step=step: F.when(F.size(s) > step, F.transform(s, lambda v, i: v + F.coalesce(F.get(s, i - step), F.lit(0)))).otherwise(s))
+    return values
+
+
+def runs(items: Column, key: Callable[[Column], Column] = lambda x: x) -> Column:
+    """Runs of equal keys in a sorted array: (at, n), the place of the first and their number."""
+
+    def of(s: Column) -> Column:
+        first = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (key(F.get(s, i - 1)) != key(x)), i)), lambda i: i.isNotNull())
+        return once(first, lambda at: F.transform(at, lambda i, k: F.struct(i.alias("at"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).alias("n"))))
+
+    return once(items, of)
 
 
 def first_by_key(items: Column, key: Callable[[Column], Column]) -> Column:
@@ -60,7 +98,8 @@ def sanitize_text(text: Column) -> Column:
 def preprocess_text(text: Column) -> Column:
     """Single spaces, no special characters, one space on both sides of every . ! and ?"""
     kept = replace(strip(replace(text, r"\s+", " ")), r"[^\w\s.,;?!-]", "")
-    return strip(replace(kept, r"\s*([.!?])\s*", r" \1 "))
+    # White space before a mark begins where the one before it ends, so long gaps are looked at once.
+    return strip(replace(kept, r"(?:(?<!\s)\s+)?([.!?])\s*", r" \1 "))
 
 
 def lower_keep_acronyms(text: Column) -> Column:
@@ -88,7 +127,8 @@ def remove_headers_footers(text: Column) -> Column:
 
 
 def join_hyphenated(text: Column) -> Column:
-    return replace(text, r"(\w+)-\s*\n\s*(\w+)", r"\1\2")
+    """Words cut by a hyphen at the end of a line, as one."""
+    return replace(text, r"(\w)-[^\S\n]*\n\s*(\w+)", r"\1\2")
 
 
 def clean_special_characters(text: Column) -> Column:
@@ -106,10 +146,8 @@ def normalize_years(text: Column) -> Column:
 
 
 def normalize_dates(text: Column) -> Column:
-    """Day, month and year in either order, or year and month, to yyyy-mm-dd and yyyy-mm.
-    Texts without a month's name, most of all, pass by in one look."""
-    named = text.rlike("(?iu)" + "|".join(R.MONTHS))
-    return F.when(named, rewrite(text, R.date_rules())).otherwise(text)
+    """Day, month and year in either order, or year and month, to yyyy-mm-dd and yyyy-mm."""
+    return rewrite(text, R.date_rules())
 
 
 def normalize_currency(text: Column) -> Column:

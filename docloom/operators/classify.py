@@ -9,7 +9,6 @@ from ..functions import rules as R
 from .explode import contains_any, split_sentences
 
 
-
 def categories_of(sentence: Column, whole_word: bool = False) -> Column:
     """Array of the sentence's categories, in the order of the report."""
     lower = F.lower(sentence)
@@ -23,32 +22,40 @@ def classify_sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return split.select(id_col, F.explode(categories_of(F.col("sentence"), whole_word)).alias("category"), "pos", "sentence")
 
 
-def classify_by_rules(df: DataFrame, rules: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classify_by_rules(df: DataFrame, rules: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 500, blocks: int = 20) -> DataFrame:
     """(id, category, pos, sentence) by a table of (category, keyword): the keyword is in the lower-cased sentence.
 
-    The rule table is a query set: its keywords, in blocks of bounded size, are looked for in every
-    sentence by expressions, one pass a block; no pair of rows is ever made.
+    The rule table is a query set: its keywords, `block` of them in a constant array, are looked for in
+    every sentence, and what a block finds is added to the row, so a sentence is one row of each of its
+    categories however many keywords there are; repeated rows of df stay. After `blocks` arrays
+    the rows go through a table in the shared folder, so a plan holds no more. Null keywords match nothing.
     """
-    from functools import reduce
-
-    made, held, size = [], {}, 0
-
-    def scan(block: dict[str, list[str]]) -> DataFrame:
-        lower = F.lower("sentence")
-        tests = F.filter(F.array(*[F.when(contains_any(lower, words), F.lit(c)) for c, words in block.items()]), lambda c: c.isNotNull())
-        return split_sentences(df, id_col, text_col).select(id_col, F.explode(tests).alias("category"), "pos", "sentence")
-
-    for category, keyword in rules.select("category", "keyword").distinct().orderBy("category", "keyword").toLocalIterator():
-        if size >= 500:
-            made.append(scan(held))
-            held, size = {}, 0
+    from ..session import fresh_path
+
+    lower = F.lower("sentence")
+
+    def scan(rows: DataFrame, held: dict[str, list[str]]) -> DataFrame:
+        def test(category: str, words: list[str]) -> Column:
+            return F.when(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.col("__low"), w)), F.lit(category))
+
+        found = F.filter(F.array(*[test(c, words) for c, words in held.items()]), lambda c: c.isNotNull())
+        return rows.withColumn("__c", F.array_union("__c", found))
+
+    rows = split_sentences(df, id_col, text_col).withColumns({"__low": lower, "__c": F.array().cast("array<string>")})
+    held: dict[str, list[str]] = {}
+    size = scanned = 0
+    for category, keyword in rules.select("category", "keyword").filter("keyword is not null").distinct().orderBy("category", "keyword").toLocalIterator():
+        if size == block:
+            rows, held, size, scanned = scan(rows, held), {}, 0, scanned + 1
+            if scanned % blocks == 0:
+                path = fresh_path(df.sparkSession, "classified")
+                rows.write.parquet(path)
+                rows = df.sparkSession.read.schema(rows.schema).parquet(path)
         held.setdefault(category, []).append(keyword)
         size += 1
     if held:
-        made.append(scan(held))
-    if not made:
-        return split_sentences(df, id_col, text_col).select(id_col, F.lit("").alias("category"), "pos", "sentence").limit(0)
-    return made[0] if len(made) == 1 else reduce(DataFrame.union, made).distinct()
+        rows = scan(rows, held)
+    return rows.select(id_col, F.explode(F.array_sort("__c")).alias("category"), "pos", "sentence")
 
 
 def policy_analysis(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

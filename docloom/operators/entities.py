@@ -18,8 +18,6 @@ PATTERNS = {
     "CARDINAL": r"\b\d[\d,]*(?:\.\d+)?\b",
 }
 _ANY = "(?i)" + "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Longest name of a gazetteer in words.
-NAME_WORDS = 4
 _TOKEN = r"[\p{L}\p{N}]+"
 
 
@@ -30,19 +28,24 @@ def _label(text: Column) -> Column:
     return made
 
 
-def _spans(text: Column, pattern: str) -> Column:
-    """Array of (start, end, text) of a pattern's matches. Matches and what stands between them
-    alternate, so a running sum of their lengths gives the places."""
+def _matches(text: Column, pattern: str) -> Column:
+    """Struct of a pattern's matches m and of what stands before each, g."""
     found, between = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
+    return T.once(found, lambda m: F.struct(m.alias("m"), F.slice(between, F.lit(1), F.size(m)).alias("g")))
+
+
+def _ends(matches: Column) -> Column:
+    """Where each match ends: matches and gaps alternate, so their lengths add up to the places."""
+    return T.running_sums(F.zip_with(matches["g"], matches["m"], lambda g, m: F.length(g) + F.length(m)))
+
 
-    def step(s: Column, x: Column) -> Column:
-        begin = s["at"] + x["gap"]
-        end = begin + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("text")))).alias("out"))
+def _spans(text: Column, pattern: str) -> Column:
+    """Array of (start, end, text) of a pattern's matches."""
+
+    def of(x: Column) -> Column:
+        return T.once(_ends(x), lambda ends: F.transform(x["m"], lambda m, i: F.struct((F.get(ends, i) - F.length(m)).alias("start"), F.get(ends, i).alias("end"), m.alias("text"))))
 
-    pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, b: F.struct(m.alias("m"), F.coalesce(F.length(b), F.lit(0)).alias("gap")))
-    return F.aggregate(pairs, start, step, lambda s: s["out"])
+    return T.once(_matches(text, pattern), of)
 
 
 def pattern_entities(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -52,22 +55,32 @@ def pattern_entities(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def name_entities(df: DataFrame, gazetteer: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, label, start, end) of the gazetteer's names (name, label), in any case, longest first at a place.
+    """(id, text, label, start, end) of the gazetteer's names (name, label), in any case and of any number of
+    words; a name inside a longer one is given too. Signs at the ends of a name don't count.
 
-    Every run of 1 to NAME_WORDS words is looked up by an equi-join with the names; Spark broadcasts
-    the gazetteer if its size allows and shuffles otherwise.
+    A word that begins some name is found by an equi-join with the names' first words; the runs of words from
+    there, of the lengths that such names have, are joined to the names. Spark broadcasts either table if
+    its size allows and shuffles otherwise. Each word is a row with the words that follow it, as many
+    as the longest name has; texts aren't carried along.
     """
-    tokens = df.select(id_col, F.col(text_col).alias("__s"), _spans(F.col(text_col), _TOKEN).alias("w"))
-
-    def runs(k: int) -> Column:
-        starts = F.slice("w", F.lit(1), F.greatest(F.size("w") - (k - 1), F.lit(0)))
-        return F.transform(starts, lambda t, i: F.struct(i.alias("pos"), F.lit(k).alias("k"), t["start"].alias("start"), F.get("w", i + (k - 1))["end"].alias("end")))
-
-    grams = tokens.select(id_col, "__s", F.explode(F.flatten(F.array(*[runs(k) for k in range(1, NAME_WORDS + 1)]))).alias("g"))
-    piece = F.col("__s").substr(F.col("g.start") + 1, F.col("g.end") - F.col("g.start"))
-    keyed = grams.select(id_col, piece.alias("text"), F.lower(piece).alias("__key"), F.col("g.start").cast("long").alias("start"), F.col("g.end").cast("long").alias("end"))
-    names = gazetteer.select(F.lower("name").alias("__key"), F.col("label")).groupBy("__key").agg(F.min("label").alias("label"))
-    return keyed.join(names, "__key").select(id_col, "text", "label", "start", "end")
+    key = F.regexp_replace(F.lower("name"), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    parts = gazetteer.select(key.alias("__key"), "label").withColumn("__w", F.regexp_extract_all("__key", F.lit(f"({_TOKEN})"), F.lit(1))).filter(F.size("__w") > 0)
+    names = parts.groupBy("__key").agg(F.min("label").alias("label"))
+    begins = parts.groupBy(F.get("__w", F.lit(0)).alias("__first")).agg(F.collect_set(F.size("__w")).alias("__sizes"))
+    longest = parts.agg(F.max(F.size("__w"))).first()[0] or 0
+
+    def words(x: Column) -> Column:
+        """(start, next) of each word: next is the word, what follows it, the next word, and so on."""
+        row = F.flatten(F.zip_with(x["g"], x["m"], lambda g, m: F.array(g, m)))
+        both = F.struct(_ends(x).alias("e"), row.alias("r"))
+        return T.once(both, lambda b: F.transform(x["m"], lambda m, i: F.struct((F.get(b["e"], i) - F.length(m)).alias("start"), F.slice(b["r"], 2 * i + 2, max(2 * longest - 1, 1)).alias("next"))))
+
+    tokens = df.select(id_col, F.explode(T.once(_matches(F.col(text_col), _TOKEN), words)).alias("__t")).select(id_col, "__t.*")
+    begun = tokens.withColumn("__first", F.lower(F.get("next", F.lit(0)))).join(begins, "__first")
+    sized = begun.select(id_col, "start", "next", F.explode("__sizes").alias("__k")).filter(F.size("next") >= 2 * F.col("__k") - 1)
+    runs = sized.select(id_col, "start", F.array_join(F.slice("next", F.lit(1), 2 * F.col("__k") - 1), "").alias("text"))
+    found = runs.withColumn("__key", F.lower("text")).join(names, "__key")
+    return found.select(id_col, "text", "label", F.col("start").cast("long").alias("start"), (F.col("start") + F.length("text")).cast("long").alias("end"))
 
 
 def extract_entities(df: DataFrame, gazetteer: DataFrame, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False) -> DataFrame:
@@ -120,6 +133,20 @@ def entity_overlap(pairs: DataFrame, entities: DataFrame, id_col: str = "doc_id"
     return sides.select("id_a", "id_b", F.array_sort(F.array_intersect(F.coalesce("a", empty), F.coalesce("b", empty))).alias("overlap"))
 
 
+def compare_entities(df: DataFrame, pairs: DataFrame, gazetteer: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_a, id_b, similarity, overlap, word_count_a, word_count_b) of pairs whose both texts aren't blank: TF-IDF
+    cosine, common entities, and words that aren't punctuation."""
+    from .compare import text_similarity
+    from .stats import nonpunct_word_count
+
+    there = df.filter(T.non_empty(F.col(text_col))).select(id_col, F.col(text_col).alias("text"))
+    counts = there.select(id_col, nonpunct_word_count(F.col("text")).alias("n"))
+    asked = pairs.select("id_a", "id_b").join(counts.toDF("id_a", "word_count_a"), "id_a").join(counts.toDF("id_b", "word_count_b"), "id_b")
+    keys = asked.select("id_a", "id_b")
+    shared = entity_overlap(keys, extract_entities(there, gazetteer, id_col, "text"), id_col)
+    return asked.join(text_similarity(there, keys, id_col, "text"), ["id_a", "id_b"]).join(shared, ["id_a", "id_b"]).select("id_a", "id_b", "similarity", "overlap", "word_count_a", "word_count_b")
+
+
 def key_phrases(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, phrase, score, n): runs of words between stop words and punctuation. A phrase scores the sum of
     its words' mean phrase lengths in the document, divided by its own length's count of words."""
@@ -132,35 +159,33 @@ def key_phrases(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return degree.groupBy(id_col, "phrase").agg(F.round(F.avg("mean"), 6).alias("score"), F.max("n").alias("n"))
 
 
-def summary_column(text: Column, max_input: int = 4000, max_words: int = 120) -> Column:
-    """Extractive summary of one text: sentences of its first max_input characters with the highest mean
-    word frequency, best first as long as they sum to max_words at most (the first always), in the order of the text."""
-    from .compare import run_counts
-
-    short = T.truncate_text(text, max_input)
-
-    def of(x: Column) -> Column:
-        counts, parts = x["counts"], x["parts"]
-        scored = F.transform(parts, lambda s, i: F.struct(_mean_count(s, counts).alias("score"), (-i).alias("back"), F.size(T.tokenize_words(s)).alias("n"), s.alias("s")))
-        ranked = F.filter(F.sort_array(scored, asc=False), lambda r: r["n"] > 0)
-        start = F.struct(F.lit(0).alias("used"), F.array().cast("array<struct<i:int,s:string>>").alias("out"))
+def summary_column(text: Column, max_input: int | None = 4000, max_words: int = 120, min_words: int = 0) -> Column:
+    """Extractive summary of one text: the sentences with the highest mean word frequency, best first as
+    long as they sum to max_words at most (the first always, and any while there are fewer than min_words),
+    in the order of the text. Only the first max_input characters are read; None: all. Words meet by
+    sorting, so time is that of a sort."""
 
-        def take(s: Column, r: Column) -> Column:
-            used = s["used"] + r["n"]
-            taken = F.concat(s["out"], F.array(F.struct((-r["back"]).alias("i"), r["s"].alias("s"))))
-            return F.struct(used.alias("used"), F.when((used <= max_words) | (s["used"] == 0), taken).otherwise(s["out"]).alias("out"))
+    def of(parts: Column) -> Column:
+        words = F.flatten(F.transform(parts, lambda s, i: F.transform(T.tokenize_words(s), lambda w: F.struct(w.alias("w"), i.alias("i")))))
+        return T.once(F.sort_array(words), lambda w: T.once(F.sort_array(counted(w)), lambda c: T.once(ranked(c), lambda r: shown(parts, r))))
 
-        chosen = F.aggregate(ranked, start, take, lambda s: F.sort_array(s["out"]))
-        return F.array_join(F.transform(chosen, lambda r: r["s"]), " ")
+    def counted(w: Column) -> Column:
+        """(i, c) for each word: its sentence and its count in the text."""
+        return F.flatten(F.transform(T.runs(w, lambda x: x["w"]), lambda r: F.transform(F.slice(w, r["at"] + 1, r["n"]), lambda x: F.struct(x["i"].alias("i"), r["n"].alias("c")))))
 
-    return T.once(F.struct(T.sentences(short).alias("parts"), run_counts(T.tokenize_words(short)).alias("counts")), of)
+    def ranked(c: Column) -> Column:
+        """(score, -i, words) of the sentences that have words, best first."""
+        mean = F.transform(T.runs(c, lambda x: x["i"]), lambda r: F.struct(F.round(F.aggregate(F.slice(c, r["at"] + 1, r["n"]), F.lit(0).cast("long"), lambda s, x: s + x["c"]) / r["n"], 6).alias("score"), (-F.get(c, r["at"])["i"]).alias("back"), r["n"].alias("n")))
+        return F.sort_array(mean, asc=False)
 
+    def shown(parts: Column, r: Column) -> Column:
+        used = T.running_sums(F.transform(r, lambda x: x["n"]))
+        fine = T.once(used, lambda u: F.filter(F.transform(r, lambda x, k: F.when((k == 0) | (F.get(u, k) <= max_words) | (F.get(u, k) - x["n"] < min_words), -x["back"])), lambda i: i.isNotNull()))
+        return F.array_join(F.transform(F.sort_array(fine), lambda i: F.get(parts, i)), " ")
 
-def _mean_count(sentence: Column, counts: Column) -> Column:
-    """Mean count of a sentence's words, to 6 places; 0 without words."""
-    return T.once(T.tokenize_words(sentence), lambda w: F.when(F.size(w) > 0, F.round(F.aggregate(w, F.lit(0.0), lambda s, x: s + F.element_at(counts, x)) / F.size(w), 6)).otherwise(0.0))
+    return T.once(T.sentences(text if max_input is None else T.truncate_text(text, max_input)), of)
 
 
-def summarize(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_input: int = 4000, max_words: int = 120) -> DataFrame:
-    """(id, summary). Narrow: max_input bounds the work of a row."""
-    return df.select(id_col, summary_column(F.col(text_col), max_input, max_words).alias("summary"))
+def summarize(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_input: int | None = 4000, max_words: int = 120, min_words: int = 0) -> DataFrame:
+    """(id, summary) by summary_column(). Narrow."""
+    return df.select(id_col, summary_column(F.col(text_col), max_input, max_words, min_words).alias("summary"))

@@ -37,15 +37,16 @@ def policy_sections(text: Column) -> Column:
 
 
 def contains_any(lower: Column, words: list[str], whole_word: bool = False) -> Column:
-    """True if any of the words is in the lower-cased text, as a substring or as whole words."""
+    """True if any of the words is in the lower-cased text, as a substring or as whole words. The tests
+    form a balanced tree, so many words don't nest deeply."""
     import re
 
     if whole_word:
         return lower.rlike(T.UNICODE + r"\b(?:" + "|".join(re.escape(w) for w in words) + r")\b")
-    found = F.lit(False)
-    for w in words:
-        found = found | lower.contains(w)
-    return found
+    tests = [lower.contains(w) for w in words] or [F.lit(False)]
+    while len(tests) > 1:
+        tests = [tests[i] | tests[i + 1] if i + 1 < len(tests) else tests[i] for i in range(0, len(tests), 2)]
+    return tests[0]
 
 
 def split_halves(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -27,18 +27,27 @@ def model_sentence_count(text: Column) -> Column:
     return F.size(F.filter(T.sentences(text), lambda s: T.strip(s) != ""))
 
 
+def counts(text: Column) -> Column:
+    """Struct of word_count and sentence_count of the preprocessed text, which is made once; null counts as empty."""
+    return T.once(T.preprocess_text(F.coalesce(text, F.lit(""))), lambda t: F.struct(word_count(t).alias("word_count"), sentence_count(t).alias("sentence_count")))
+
+
 def document_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, word_count, sentence_count, average_words_per_sentence) of the preprocessed text. Narrow."""
-    clean = df.select(id_col, T.preprocess_text(F.coalesce(F.col(text_col), F.lit(""))).alias("__t"))
-    counted = clean.select(id_col, word_count(F.col("__t")).alias("word_count"), sentence_count(F.col("__t")).alias("sentence_count"))
-    return counted.withColumn("average_words_per_sentence", F.round(F.col("word_count") / F.greatest(F.col("sentence_count"), F.lit(1)), 2))
+
+    def row(c: Column) -> Column:
+        average = F.round(c["word_count"] / F.greatest(c["sentence_count"], F.lit(1)), 2)
+        return F.struct(c["word_count"].alias("word_count"), c["sentence_count"].alias("sentence_count"), average.alias("average_words_per_sentence"))
+
+    return df.select(id_col, F.inline(F.transform(F.array(counts(F.col(text_col))), row)))
 
 
 def corpus_statistics(df: DataFrame, keys: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Sums and averages of document_statistics() over every combination of the keys, with map-side sums."""
-    clean = df.select(*keys, T.preprocess_text(F.coalesce(F.col(text_col), F.lit(""))).alias("__t"))
-    counted = clean.select(*keys, word_count(F.col("__t")).alias("w"), sentence_count(F.col("__t")).alias("s"))
-    return counted.cube(*keys).agg(F.count(F.lit(1)).alias("documents"), F.sum("w").alias("words"), F.sum("s").alias("sentences"), F.round(F.avg("w"), 6).alias("average_words"), F.grouping_id().alias("grouping"))
+    """Sums and averages of document_statistics() over every combination of the keys. Documents are summed
+    by all keys first, so the combinations are made of few rows, not of all documents."""
+    counted = df.select(*keys, counts(F.col(text_col)).alias("__c"))
+    first = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("d"), F.sum("__c.word_count").alias("w"), F.sum("__c.sentence_count").alias("s"))
+    return first.cube(*keys).agg(F.sum("d").alias("documents"), F.sum("w").alias("words"), F.sum("s").alias("sentences"), F.round(F.sum("w") / F.sum("d"), 6).alias("average_words"), F.grouping_id().alias("grouping"))
 
 
 def display_metrics(similarity: Column, confidence: Column, average: Column) -> Column:

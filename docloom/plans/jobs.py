@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import classify, compare, entities, explode, recommend, stats
 from ..sources import documents as docs
 
+#: Least words of a summary, of texts that have so many.
+LEAST_WORDS = 40
+
 
 def preprocess_job(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, statistics) of documents with any text. Narrow."""
-    clean = df.filter(T.non_empty(F.col(text_col))).select(id_col, T.preprocess_text(F.col(text_col)).alias("text"))
-    words, ends = stats.word_count(F.col("text")), stats.sentence_count(F.col("text"))
-    record = F.struct(words.alias("word_count"), ends.alias("sentence_count"), F.round(words / F.greatest(ends, F.lit(1)), 2).alias("average_words_per_sentence"))
-    return clean.select(id_col, "text", record.alias("statistics"))
+    def row(t: Column) -> Column:
+        words, ends = stats.word_count(t), stats.sentence_count(t)
+        record = F.struct(words.alias("word_count"), ends.alias("sentence_count"), F.round(words / F.greatest(ends, F.lit(1)), 2).alias("average_words_per_sentence"))
+        return F.struct(t.alias("text"), record.alias("statistics"))
+
+    return df.filter(T.non_empty(F.col(text_col))).select(id_col, F.inline(F.transform(F.array(T.preprocess_text(F.col(text_col))), row)))
 
 
 def cleaned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -29,7 +34,7 @@ def full_analysis(df: DataFrame, gazetteer: DataFrame, hist: DataFrame, query: D
     text = cleaned(df, id_col, text_col)
     sections = explode.split_policy_sections(text, id_col)
     compared = compare.section_similarity(text, id_col)
-    summaries = sections.select(id_col, entities.summary_column(F.col("section1")).alias("summary1"), entities.summary_column(F.col("section2")).alias("summary2"))
+    summaries = sections.select(id_col, entities.summary_column(F.col("section1"), min_words=LEAST_WORDS).alias("summary1"), entities.summary_column(F.col("section2"), min_words=LEAST_WORDS).alias("summary2"))
     found = entities.extract_entities(text, gazetteer, id_col, offsets=True)
     named = found.groupBy(id_col).agg(F.transform(F.sort_array(F.collect_list(F.struct("start", "label", "text"))), lambda e: F.struct(e["text"].alias("text"), e["label"].alias("label"))).alias("entities"))
     advice = recommend.recommend(query, hist, list(cat_cols), list(num_cols), label_col).select(F.struct("predicted", "confidence", "top", "message").alias("recommendation"))
@@ -42,7 +47,7 @@ def policy_report(df: DataFrame, gazetteer: DataFrame, id_col: str = "doc_id", t
     """(id, twelve lists, summary, word_count, entities) of raw texts."""
     text = F.col(text_col)
     tagged = classify.policy_analysis(df, id_col, text_col)
-    plain = df.select(id_col, entities.summary_column(text).alias("summary"), stats.word_count(text).alias("word_count"))
+    plain = df.select(id_col, entities.summary_column(text, min_words=LEAST_WORDS).alias("summary"), stats.word_count(text).alias("word_count"))
     named = _entity_lists(entities.extract_entities(df, gazetteer, id_col, text_col, offsets=True), id_col)
     return tagged.join(plain, id_col).join(named, id_col, "left")
 
@@ -67,7 +72,7 @@ def ner_job(df: DataFrame, gazetteer: DataFrame, id_col: str = "doc_id", text_co
 
 def summarize_job(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Summaries of the preprocessed and sanitised texts."""
-    return entities.summarize(cleaned(df, id_col, text_col), id_col)
+    return entities.summarize(cleaned(df, id_col, text_col), id_col, min_words=LEAST_WORDS)
 
 
 def ingest_columns(df: DataFrame, id_col: str = "doc_id", name_col: str = "filename", text_col: str = "text", mode: str = "structured") -> DataFrame:

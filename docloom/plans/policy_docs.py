@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..session import table
 
-#: Text of a row with customer key k and lower-case nation name nat.
+#: Text of a row with customer key k and lower-case nation name nat. Between them the variants hold
+#: something for every rule of the text functions.
 TEXT = """
 'Report for ' || nat || chr(10) || 'Page ' || CAST(1 + k % 40 AS STRING) || ' of 40' || chr(10)
  || 'The ' || nat || ' government will reduce emissions by ' || CAST(k % 90 AS STRING)
@@ -18,12 +19,20 @@ TEXT = """
       WHEN 3 THEN 'Warming and heat increase with higher rainfall and severe wind storms.'
       WHEN 4 THEN 'Cooling will reduce temperature while lower humidity and mild wind follow.'
       ELSE 'Table 2: Carbon dioxide by transport sector.' END
+ || CASE k % 11 WHEN 0 THEN ' A plant emits ' || CAST(k % 70 AS STRING) || ' MtCO2e and 3 GtCO2, with 40 kwh and two gigatonnes more.'
+      WHEN 1 THEN ' Around 20% of forty villages, less than 30% of ninety towns and 10-20% of a million people ask to reduce emissions by __%, in 5-___% of cases.'
+      WHEN 2 THEN chr(10) || 'Introduction' || chr(10) || 'the targets follow.Next come results...' || chr(10) || 'Monitoring works well!! Does it??' || chr(10) || 'annex b of the plan' || chr(10) || 'goes on here' || chr(10) || chr(10) || 'It stays [12] and (3).'
+      WHEN 3 THEN ' Whereas the parties met,' || chr(10) || 'they hereby acknowledge it, and now therefore act in witness whereof on 12/31/2030 in united states and china.'
+      WHEN 4 THEN ' Methane and nitrous oxide are greenhouse gases; emission reductions need energy efficiency in ' || chr(39) || '25.' || chr(10) || 'References' || chr(10) || 'a list of works' || chr(10) || chr(10) || 'after it'
+      WHEN 5 THEN ' Rs. 7 million and 4 billion usd were spent on a coop-' || chr(10) || '  eration; $9m came later.'
+      ELSE '' END
  || chr(10) || chr(10)
  || CASE WHEN k % 2 = 0 THEN 'This policy framework began on ' || CAST(1 + k % 28 AS STRING) || ' March 2031.'
       ELSE 'The plan ended on December ' || CAST(1 + k % 28 AS STRING) || ', 2032.' END
  || CASE WHEN k % 3 = 0 THEN chr(10) || chr(10)
       || 'This measure repeats itself for everyone. This measure repeats itself for everyone.'
       ELSE '' END
+ || CASE WHEN k % 7 = 0 THEN chr(10) || chr(10) || 'A paragraph that comes back.' || chr(10) || chr(10) || 'short' || chr(10) || chr(10) || 'A  Paragraph that comes BACK.' ELSE '' END
 """
 
 CTE = f"p AS (SELECT c_custkey AS k, lower(n_name) AS nat FROM customer JOIN nation ON c_nationkey = n_nationkey), policy_docs AS (SELECT k AS doc_id, {TEXT} AS text FROM p)"

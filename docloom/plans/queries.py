@@ -84,6 +84,53 @@ def _(spark, sf_dir):
     return asked.select("event_id", recommend.valid_query(asked).alias("valid"))
 
 
+#: Events as rows of the weather table, in Spark and in SQL.
+_SAMPLE = ["event_type AS location", "CAST(month(ts) AS INT) AS month", "CAST(value AS DOUBLE) AS temperature_c", "CAST(event_id % 100 AS INT) AS humidity_pct", "CAST(value AS DOUBLE) * 2 AS wind_kmh", "CASE WHEN value > 50 THEN 'Sunny' ELSE 'Cloudy' END AS condition"]
+
+
+@query("s1_read_samples", f"SELECT location, month, humidity_pct, condition, count(*) AS n, round(sum(temperature_c), 2) AS temperature, round(sum(wind_kmh), 2) AS wind FROM (SELECT {', '.join(_SAMPLE)} FROM events) GROUP BY ALL")
+def _(spark, sf_dir):
+    """Events written as CSV and read back as samples."""
+    path = fresh_path(spark, "samples")
+    table(spark, sf_dir, "events").selectExpr(*_SAMPLE).write.csv(path, header=True)
+    found = docs.read_samples(spark, path).groupBy("location", "month", "humidity_pct", "condition")
+    return found.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("temperature_c"), 2).alias("temperature"), F.round(F.sum("wind_kmh"), 2).alias("wind"))
+
+
+@query("s2_scan_documents", "SELECT 'doc-' || doc_id AS filename, text FROM documents")
+def _(spark, sf_dir):
+    """Documents written as a table of files and scanned by their suffix."""
+    path = fresh_path(spark, "scan")
+    documents(spark, sf_dir).select(F.concat(F.lit("doc-"), "doc_id").alias("filename"), "text").write.parquet(path)
+    return docs.scan_documents(spark, path)
+
+
+@query("s10_export_text", "SELECT coalesce(line, '') AS line, count(*) AS n FROM (SELECT unnest(string_split(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), chr(10))) AS line FROM documents) GROUP BY ALL")
+def _(spark, sf_dir):
+    """Documents exported as text files; the files' lines and how often each is there."""
+    path = fresh_path(spark, "export")
+    docs.export_text(documents(spark, sf_dir), path)
+    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s11_load_or_fit_model", "SELECT 'status' AS feature, o_orderstatus AS value, CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS std FROM orders GROUP BY o_orderstatus UNION ALL SELECT 'price', NULL, round(avg(o_totalprice), 4), round(stddev_pop(o_totalprice), 4) FROM orders")
+def _(spark, sf_dir):
+    """A model fitted and saved on first use, then loaded again: what it knows."""
+    path = fresh_path(spark, "model")
+    recommend.load_or_fit_model(spark, _orders(spark, sf_dir), ["status"], ["price"], path)
+    scaler, known = recommend.load_or_fit_model(spark, _orders(spark, sf_dir).limit(0), ["status"], ["price"], path)
+    none = F.lit(None)
+    fitted = scaler.select(F.lit("price").alias("feature"), none.cast("string").alias("value"), F.round("price_mean", 4).alias("mean"), F.round("price_std", 4).alias("std"))
+    return known.select(F.col("column").alias("feature"), "value", none.cast("double").alias("mean"), none.cast("double").alias("std")).union(fitted)
+
+
+@query("s3_assemble_nonempty", "SELECT conv_id, coalesce(string_agg(text || chr(10), '' ORDER BY turn) FILTER (WHERE text <> ''), '') AS text FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN '' ELSE text END AS text FROM conversations) GROUP BY conv_id")
+def _(spark, sf_dir):
+    """Every third part is empty here."""
+    parts = table(spark, sf_dir, "conversations").withColumn("text", F.when(F.col("turn") % 3 == 1, "").otherwise(F.col("text")))
+    return docs.assemble_pages(parts, ["conv_id"], "turn", "text", mode="nonempty")
+
+
 @query("s3_assemble_pages", "SELECT conv_id, string_agg(coalesce(text, '') || chr(10), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
 def _(spark, sf_dir):
     return docs.assemble_pages(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text")
@@ -195,6 +242,13 @@ def _(spark, sf_dir):
     return entities.keywords(documents(spark, sf_dir)).select("doc_id", F.array_join("keywords", " ").alias("keywords"))
 
 
+@query("c9_keywords_with_entities", S.ENTITIES + f", pk AS (SELECT doc_id, {S.keywords('text')} AS ks FROM policy_docs), ek AS (SELECT doc_id, list(lower(text)) AS es FROM entities WHERE label IN ('ORG', 'GPE', 'DATE', 'MONEY') GROUP BY doc_id) SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(ks, coalesce(es, [])))), '|') AS keywords FROM pk LEFT JOIN ek USING (doc_id)")
+def _(spark, sf_dir):
+    d = policy_docs(spark, sf_dir)
+    found = entities.keywords(d, entities.extract_entities(d, gazetteer(spark, sf_dir)))
+    return found.select("doc_id", F.array_join("keywords", "|").alias("keywords"))
+
+
 @query("c10_shared_keywords", S.SECTIONS + f" SELECT doc_id, array_to_string(list_sort(list_intersect({S.keywords('section1')}, {S.keywords('section2')})), ' ') AS shared_keywords FROM sections")
 def _(spark, sf_dir):
     shared = entities.shared_keywords(explode.split_policy_sections(policy_docs(spark, sf_dir)))
@@ -275,6 +329,15 @@ def _(spark, sf_dir):
     return entities.entity_overlap(asked, found).withColumn("overlap", F.array_join("overlap", "|"))
 
 
+@query("j3_compare_entities", S.ENTITY_PAIRS)
+def _(spark, sf_dir):
+    """Neighbouring policy texts: cosine, common entities, word counts."""
+    d = policy_docs(spark, sf_dir)
+    asked = d.select(F.col("doc_id").alias("id_a"), (F.col("doc_id") + 1).alias("id_b"))
+    found = entities.compare_entities(d, asked, gazetteer(spark, sf_dir))
+    return found.select("id_a", "id_b", F.round("similarity", 6).alias("similarity"), F.array_join("overlap", "|").alias("overlap"), "word_count_a", "word_count_b")
+
+
 @query("j4_compare_policy", S.POLICY_PAIRS)
 def _(spark, sf_dir):
     found = compare.compare_policy(documents(spark, sf_dir), _pairs(spark, sf_dir))
@@ -288,11 +351,6 @@ def _(spark, sf_dir):
     return compare.pairs(o, line, ["k"])
 
 
-@query("j5_pairs_by_token", f"WITH w AS (SELECT DISTINCT doc_id, unnest({S.words('text')}) AS term FROM documents), r AS (SELECT term FROM w GROUP BY term HAVING count(*) BETWEEN 2 AND 50), k AS (SELECT w.* FROM w JOIN r USING (term)) SELECT a.doc_id AS id_a, b.doc_id AS id_b, count(*) AS n FROM k a JOIN k b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL HAVING count(*) >= 20")
-def _(spark, sf_dir):
-    return compare.pairs_by_token(documents(spark, sf_dir), 20)
-
-
 _CLASSES = f"w AS (SELECT doc_id, list_sort(list_distinct({S.words('text')})) AS s FROM documents), c AS (SELECT s, min(doc_id) AS id FROM w WHERE len(s) > 0 GROUP BY s)"
 
 
@@ -301,6 +359,11 @@ def _(spark, sf_dir):
     return compare.word_set_classes(documents(spark, sf_dir))
 
 
+@query("j5_pairs_by_token", f"WITH {_CLASSES}, k AS (SELECT id, len(s) AS size, unnest(s) AS term FROM c) SELECT a.id AS id_a, b.id AS id_b, count(*) AS n FROM k a JOIN k b ON a.term = b.term AND a.id < b.id GROUP BY a.id, b.id HAVING count(*) * 9 >= 4 * (min(a.size) + min(b.size))")
+def _(spark, sf_dir):
+    return compare.pairs_by_token(documents(spark, sf_dir))
+
+
 @query("j5_pairs_by_all_tokens", f"WITH {_CLASSES}, k AS (SELECT id, unnest(s) AS term FROM c) SELECT a.id AS id_a, b.id AS id_b, count(*) AS n FROM k a JOIN k b ON a.term = b.term AND a.id < b.id GROUP BY ALL HAVING count(*) >= 20")
 def _(spark, sf_dir):
     return compare.pairs_by_all_tokens(documents(spark, sf_dir), 20)
@@ -330,14 +393,20 @@ def _(spark, sf_dir):
     return entities.top_entities(entities.extract_entities(policy_docs(spark, sf_dir), gazetteer(spark, sf_dir)), 10)
 
 
-@query("n4_key_phrases")
+@query("n4_key_phrases", S.PHRASES)
 def _(spark, sf_dir):
     return entities.key_phrases(policy_docs(spark, sf_dir))
 
 
 @query("u1_summarize", S.SUMMARIES)
 def _(spark, sf_dir):
-    return entities.summarize(documents(spark, sf_dir))
+    return entities.summarize(documents(spark, sf_dir), min_words=jobs.LEAST_WORDS)
+
+
+@query("u1_summarize_whole", S.WHOLE_SUMMARIES)
+def _(spark, sf_dir):
+    """Every sentence of the whole text may stand in the summary."""
+    return entities.summarize(documents(spark, sf_dir), max_input=None, min_words=jobs.LEAST_WORDS)
 
 
 # ---- recommender -----------------------------------------------------------------------------
@@ -348,16 +417,16 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A query for each nation: the order whose key follows the nation's key times 100, at that price."""
-    keys = table(spark, sf_dir, "nation").select((F.col("n_nationkey") * 100 + 1).cast("long").alias("id"), F.col("n_nationkey").alias("query_id"))
-    return _orders(spark, sf_dir).join(keys, "id").select("query_id", "status", "month", "price")
-
-
-def _hundredths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stated set of searches: every order whose key is divisible by 100."""
     return _orders(spark, sf_dir).filter("id % 100 = 0").select(F.col("id").alias("query_id"), "status", "month", "price")
 
 
+def _fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one fixed query of a full analysis: the first nation's order, the one whose key follows the nation's times 100."""
+    keys = table(spark, sf_dir, "nation").filter("n_nationkey = 0").select((F.col("n_nationkey") * 100 + 1).cast("long").alias("id"), F.col("n_nationkey").alias("query_id"))
+    return _orders(spark, sf_dir).join(keys, "id").select("query_id", "status", "month", "price")
+
+
 @query("r1_fit_scaler", "SELECT round(avg(o_totalprice), 4) AS price_mean, round(stddev_pop(o_totalprice), 4) AS price_std FROM orders")
 def _(spark, sf_dir):
     return recommend.fit_scaler(_orders(spark, sf_dir), ["price"]).select(F.round("price_mean", 4).alias("price_mean"), F.round("price_std", 4).alias("price_std"))
@@ -368,38 +437,24 @@ def _(spark, sf_dir):
     return recommend.fit_categories(_orders(spark, sf_dir), ["status", "month"])
 
 
-def _top_similar(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
-    scored = recommend.similarity(asked, _orders(spark, sf_dir), ["status", "month"], ["price"], "id")
-    return recommend.top_similar(scored).withColumn("similarity", F.round("similarity", 6))
-
-
-def _recommend(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
-    found = recommend.recommend(asked, _orders(spark, sf_dir), ["status", "month"], ["price"], "priority")
-    return found.select("query_id", "predicted", F.round("confidence", 6).alias("confidence"), F.array_join(F.transform("top", lambda r: r["id"].cast("string")), " ").alias("top"))
-
-
-_BEST = " SELECT query_id, id, round(similarity, 6) AS similarity, rank FROM best"
 _ADVICE = S.VOTED + ", t AS (SELECT query_id, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY rank) AS top FROM best GROUP BY query_id) SELECT query_id, predicted, round(confidence, 6) AS confidence, top FROM voted JOIN t USING (query_id)"
 
 
-@query("r4_top_similar", S.RECOMMENDED + _BEST)
+@query("r4_top_similar", S.RECOMMENDED + " SELECT query_id, id, round(similarity, 6) AS similarity, rank FROM best")
 def _(spark, sf_dir):
-    return _top_similar(spark, sf_dir, _asked(spark, sf_dir))
-
-
-@query("r4_top_similar_all", S.RECOMMENDED_ALL + _BEST)
-def _(spark, sf_dir):
-    return _top_similar(spark, sf_dir, _hundredths(spark, sf_dir))
+    scored = recommend.similarity(_asked(spark, sf_dir), _orders(spark, sf_dir), ["status", "month"], ["price"], "id")
+    return recommend.top_similar(scored).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("r6_recommend", S.RECOMMENDED + _ADVICE)
 def _(spark, sf_dir):
-    return _recommend(spark, sf_dir, _asked(spark, sf_dir))
+    found = recommend.recommend(_asked(spark, sf_dir), _orders(spark, sf_dir), ["status", "month"], ["price"], "priority")
+    return found.select("query_id", "predicted", F.round("confidence", 6).alias("confidence"), F.array_join(F.transform("top", lambda r: r["id"].cast("string")), " ").alias("top"))
 
 
-@query("r6_recommend_all", S.RECOMMENDED_ALL + _ADVICE)
-def _(spark, sf_dir):
-    return _recommend(spark, sf_dir, _hundredths(spark, sf_dir))
+# The names under which every hundredth order was searched at first.
+for _name in ("r4_top_similar", "r6_recommend"):
+    QUERIES[f"{_name}_all"], ORACLE[f"{_name}_all"] = QUERIES[_name], ORACLE[_name]
 
 
 @query("r7_knn_classify", S.KNN)
@@ -416,21 +471,23 @@ def _(spark, sf_dir):
     return jobs.preprocess_job(documents(spark, sf_dir)).select("doc_id", "text", "statistics.word_count", "statistics.sentence_count", F.col("statistics.average_words_per_sentence").alias("average"))
 
 
-@query("f2_full_analysis")
+@query("f2_full_analysis", S.full_analysis())
 def _(spark, sf_dir):
     hist = _orders(spark, sf_dir)
-    asked = _asked(spark, sf_dir).filter("query_id = 0")
-    found = jobs.full_analysis(policy_docs(spark, sf_dir), gazetteer(spark, sf_dir), hist, asked, cat_cols=["status", "month"], num_cols=["price"], label_col="priority")
-    return found.select("doc_id", F.round("similarity", 6).alias("similarity"), F.array_join("overlap", " ").alias("overlap"), "summary1", "summary2", F.to_json("entities").alias("entities"), F.to_json("recommendation").alias("recommendation"))
+    found = jobs.full_analysis(policy_docs(spark, sf_dir), gazetteer(spark, sf_dir), hist, _fixed(spark, sf_dir), cat_cols=["status", "month"], num_cols=["price"], label_col="priority")
+    named = F.array_join(F.transform("entities", lambda e: F.concat(e["label"], F.lit(":"), e["text"])), "|")
+    advice = F.col("recommendation")
+    top = F.array_join(F.transform(advice["top"], lambda r: r["id"].cast("string")), " ")
+    return found.select("doc_id", F.round("similarity", 6).alias("similarity"), F.array_join("overlap", " ").alias("overlap"), "summary1", "summary2", named.alias("entities"), advice["predicted"].alias("predicted"), F.round(advice["confidence"], 6).alias("confidence"), top.alias("top"))
 
 
-@query("f3_policy_report")
+@query("f3_policy_report", S.POLICY_REPORT)
 def _(spark, sf_dir):
     found = jobs.policy_report(policy_docs(spark, sf_dir), gazetteer(spark, sf_dir))
     return found.select("doc_id", *[F.size(c).alias(c) for c in R.CATEGORY_ORDER], "summary", "word_count", "entities")
 
 
-@query("f4_text_report")
+@query("f4_text_report", S.TEXT_REPORT)
 def _(spark, sf_dir):
     return jobs.text_report(policy_docs(spark, sf_dir), gazetteer(spark, sf_dir))
 

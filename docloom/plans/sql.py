@@ -5,12 +5,16 @@ Written against DuckDB's own functions: RE2 patterns without look-around, list f
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from ..functions import rules as R
-from ..operators.entities import NAME_WORDS, PATTERNS
+from ..functions.rules import STOP_WORDS
+from . import sql_rules as R
 from .policy_docs import CTE
 
+#: Words of the longest name of nations and regions, and more.
+NAME_WORDS = 6
+
 Step = Callable[[str], str]
 
 
@@ -26,7 +30,7 @@ def sub(x: str, pattern: str, by: str, any_case: bool = False) -> str:
     return f"regexp_replace({x}, {lit(pattern)}, {lit(by)}, '{'gi' if any_case else 'g'}')"
 
 
-def rewrite(rules: R.Rules) -> Step:
+def rewrite(rules: list[R.Rule]) -> Step:
     def step(x: str) -> str:
         for pattern, by, any_case in rules:
             x = sub(x, pattern, by, any_case)
@@ -61,9 +65,8 @@ def _preprocess(x: str) -> str:
 
 
 def _acronyms(x: str) -> str:
-    plain = [a for a in R.ACRONYMS if a.isalnum()]
     parts = f"regexp_extract_all({x}, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+')"
-    return f"(SELECT array_to_string(list_transform(l, lambda w, i: CASE WHEN list_contains({array(plain)}, w) OR (w = 'REDD' AND starts_with(coalesce(l[i + 1], ''), '+')) THEN w ELSE lower(w) END), '') FROM (SELECT {parts} AS l))"
+    return f"(SELECT array_to_string(list_transform(l, lambda w, i: CASE WHEN list_contains({array(R.ACRONYMS)}, w) OR (w = 'REDD' AND starts_with(coalesce(l[i + 1], ''), '+')) THEN w ELSE lower(w) END), '') FROM (SELECT {parts} AS l))"
 
 
 def _headers(x: str) -> str:
@@ -99,20 +102,20 @@ STEPS: dict[str, Step] = {
     "clean_special_characters": _special,
     "normalize_percentages": rewrite(R.PERCENTAGES),
     "normalize_years": rewrite(R.YEARS),
-    "normalize_dates": rewrite(R.date_rules()),
+    "normalize_dates": rewrite(R.dates()),
     "normalize_currency": rewrite(R.CURRENCIES),
     "normalize_emission_units": rewrite(R.EMISSION_UNITS),
-    "convert_written_numbers": rewrite(R.number_word_rules()),
+    "convert_written_numbers": rewrite(R.WRITTEN_NUMBERS),
     "handle_missing_values": rewrite(R.MISSING_VALUES),
     "remove_captions": rewrite(R.CAPTIONS),
     "dedup_sentences": lambda x: _first_by_key(x, f"regexp_split_to_array({x}, '[.!?]+')", "length(s) > 10", "'. '"),
     "fix_sentence_boundaries": rewrite(R.SENTENCE_BOUNDARIES),
-    "mark_sections": rewrite(R.heading_rules()),
+    "mark_sections": rewrite(R.HEADINGS),
     "dedup_paragraphs": lambda x: _first_by_key(x, f"string_split({x}, chr(10) || chr(10))", f"length({key('s')}) > 20", "chr(10) || chr(10)"),
     "remove_annexes_references": rewrite(R.ANNEXES),
     "standardize_terms": rewrite(R.TERMS),
     "remove_legal_boilerplate": rewrite(R.BOILERPLATE),
-    "entity_tagging_prep": rewrite(R.country_rules()),
+    "entity_tagging_prep": rewrite(R.COUNTRIES),
     "final_cleanup": lambda x: f"trim({sub(sub(x, r'\s+', ' '), r'([.!?])\s*([A-Z])', r'\1 \2')})",
 }
 #: Composed functions by their parts.
@@ -159,12 +162,12 @@ SECTIONS = f"WITH {CTE}, sp AS (SELECT doc_id, list_filter(string_split(text, ch
 
 
 def in_category(s: str, category: str) -> str:
-    if category == R.TARGET_CATEGORY:
+    if R.CATEGORIES[category] is None:
         return f"regexp_matches({s}, {lit(R.TARGET_YEAR)})"
     return contains_any(f"lower({s})", R.CATEGORIES[category])
 
 
-CLASSIFIED = f"WITH {CTE}, l AS (SELECT doc_id, {sentences('text')} AS ss FROM policy_docs), one AS (SELECT doc_id, unnest(range(0, len(ss))) AS pos, unnest(ss) AS sentence FROM l), classified AS (" + " UNION ALL ".join(f"SELECT doc_id, {lit(c)} AS category, pos, sentence FROM one WHERE {in_category('sentence', c)}" for c in R.CATEGORY_ORDER) + ")"
+CLASSIFIED = f"WITH {CTE}, l AS (SELECT doc_id, {sentences('text')} AS ss FROM policy_docs), one AS (SELECT doc_id, unnest(range(0, len(ss))) AS pos, unnest(ss) AS sentence FROM l), classified AS (" + " UNION ALL ".join(f"SELECT doc_id, {lit(c)} AS category, pos, sentence FROM one WHERE {in_category('sentence', c)}" for c in R.CATEGORIES) + ")"
 
 
 def impact(x: str, kind: str) -> str:
@@ -175,7 +178,7 @@ def impact(x: str, kind: str) -> str:
 
 
 def keywords(x: str) -> str:
-    return f"list_sort(list_distinct(list_filter(regexp_extract_all(lower({x}), '\\p{{L}}+'), lambda w: NOT list_contains({array(R.STOP_WORDS)}, w))))"
+    return f"list_sort(list_distinct(list_filter(regexp_extract_all(lower({x}), '\\p{{L}}+'), lambda w: NOT list_contains({array(STOP_WORDS)}, w))))"
 
 
 STATS = f"WITH c AS (SELECT doc_id, {_preprocess('text')} AS clean FROM documents), stats AS (SELECT doc_id, clean, len({words('clean')}) AS word_count, len(regexp_split_to_array(clean, '[.!?]+')) AS sentence_count FROM c)"
@@ -218,7 +221,7 @@ def spans(source: str, pattern: str, out: str) -> str:
 
 
 def _label(x: str) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches({x}, {lit(f'(?i)^(?:{p})$')}) THEN {lit(label)}" for label, p in PATTERNS.items()) + " ELSE 'CARDINAL' END"
+    return "CASE " + " ".join(f"WHEN regexp_matches({x}, {lit(f'(?i)^(?:{p})$')}) THEN {lit(label)}" for label, p in R.ENTITIES.items()) + " ELSE 'CARDINAL' END"
 
 
 def names_of(source: str) -> str:
@@ -229,7 +232,7 @@ names AS (SELECT doc_id, text, 'GPE' AS label, s AS "start", e AS "end" FROM ({r
 
 
 def _entities(source: str) -> str:
-    pattern = "(?i)" + "|".join(f"(?:{p})" for p in PATTERNS.values())
+    pattern = "(?i)" + "|".join(f"(?:{p})" for p in R.ENTITIES.values())
     return f"""{spans(source, pattern, 'f')}, {names_of(source)},
 entities AS (SELECT doc_id, t AS text, {_label('t')} AS label, s AS "start", e AS "end" FROM f UNION ALL SELECT * FROM names)"""
 
@@ -242,31 +245,38 @@ def entities_of(steps: list[str]) -> str:
     return f"WITH {CTE}, {steps_ctes(steps, 'policy_docs', 'done')}, {_entities('done')}"
 
 
-def _summaries(source: str, max_input: int = 4000, max_words: int = 120) -> str:
-    return f"""sh AS (SELECT doc_id, substr(text, 1, {max_input}) AS x FROM {source}),
+def _summary_ctes(source: str, max_input: int | None = 4000, max_words: int = 120, min_words: int = 40) -> str:
+    """CTEs up to summaries (doc_id, summary) of (doc_id, text) of `source`."""
+    read = "text" if max_input is None else f"substr(text, 1, {max_input})"
+    return f"""sh AS (SELECT doc_id, {read} AS x FROM {source}),
 su AS (SELECT doc_id, unnest({words('x')}) AS term FROM sh), sf AS (SELECT doc_id, term, count(*) AS c FROM su GROUP BY ALL),
 sl AS (SELECT doc_id, {sentences('x')} AS ss FROM sh), ses AS (SELECT doc_id, unnest(range(0, len(ss))) AS pos, unnest(ss) AS s FROM sl),
 sw AS (SELECT doc_id, pos, unnest({words('s')}) AS term FROM ses),
 sc AS (SELECT doc_id, pos, round(sum(c) / count(*), 6) AS score, count(*) AS n FROM sw JOIN sf USING (doc_id, term) GROUP BY ALL),
-sr AS (SELECT doc_id, pos, row_number() OVER o AS r, sum(n) OVER o AS used FROM sc WINDOW o AS (PARTITION BY doc_id ORDER BY score DESC, pos ROWS UNBOUNDED PRECEDING)),
-sx AS (SELECT doc_id, string_agg(s, ' ' ORDER BY pos) AS summary FROM sr JOIN ses USING (doc_id, pos) WHERE r = 1 OR used <= {max_words} GROUP BY doc_id)
-SELECT doc_id, coalesce(summary, '') AS summary FROM sh LEFT JOIN sx USING (doc_id)"""
+sr AS (SELECT doc_id, pos, n, row_number() OVER o AS r, sum(n) OVER o AS used FROM sc WINDOW o AS (PARTITION BY doc_id ORDER BY score DESC, pos ROWS UNBOUNDED PRECEDING)),
+sx AS (SELECT doc_id, string_agg(s, ' ' ORDER BY pos) AS summary FROM sr JOIN ses USING (doc_id, pos) WHERE r = 1 OR used <= {max_words} OR used - n < {min_words} GROUP BY doc_id),
+summaries AS (SELECT doc_id, coalesce(summary, '') AS summary FROM sh LEFT JOIN sx USING (doc_id))"""
 
 
-SUMMARIES = "WITH " + _summaries("documents")
+SUMMARIES = f"WITH {_summary_ctes('documents')} SELECT doc_id, summary FROM summaries"
+WHOLE_SUMMARIES = f"WITH {_summary_ctes('documents', None)} SELECT doc_id, summary FROM summaries"
 
 
 def summaries_of(steps: list[str]) -> str:
-    return f"WITH {CTE}, {steps_ctes(steps, 'policy_docs', 'done')}, {_summaries('done')}"
+    return f"WITH {CTE}, {steps_ctes(steps, 'policy_docs', 'done')}, {_summary_ctes('done')} SELECT doc_id, summary FROM summaries"
 
 
-RECOMMENDED = """WITH h AS (SELECT o_orderkey AS id, o_orderstatus AS status, CAST(month(o_orderdate) AS VARCHAR) AS month, o_totalprice AS price, o_orderpriority AS priority FROM orders),
-st AS (SELECT avg(price) AS m, stddev_pop(price) AS d FROM h), z AS (SELECT h.*, (price - m) / d AS zp FROM h, st),
-asked AS (SELECT n_nationkey AS query_id, z.* EXCLUDE (id) FROM nation JOIN z ON id = n_nationkey * 100 + 1),
+def recommended(asked: str) -> str:
+    """CTEs up to best: the five best orders of each query; `asked` is a query over z that gives query_id and its columns."""
+    return f"""WITH h AS (SELECT o_orderkey AS id, o_orderstatus AS status, CAST(month(o_orderdate) AS VARCHAR) AS month, o_totalprice AS price, o_orderpriority AS priority FROM orders),
+st AS (SELECT avg(price) AS m, stddev_pop(price) AS d FROM h), z AS (SELECT h.*, (price - m) / d AS zp FROM h, st), asked AS ({asked}),
 sc AS (SELECT query_id, z.id, z.priority, (CAST(a.status = z.status AS INTEGER) + CAST(a.month = z.month AS INTEGER) + a.zp * z.zp) / (sqrt(2 + a.zp * a.zp) * sqrt(2 + z.zp * z.zp)) AS similarity FROM asked a, z),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id DESC) AS rank FROM sc) WHERE rank <= 5)"""
-#: The same with every order whose key is divisible by 100 as a query, its key as query_id.
-RECOMMENDED_ALL = RECOMMENDED.replace("SELECT n_nationkey AS query_id, z.* EXCLUDE (id) FROM nation JOIN z ON id = n_nationkey * 100 + 1", "SELECT id AS query_id, z.* EXCLUDE (id) FROM z WHERE id % 100 = 0")
+
+
+#: Every order whose key is divisible by 100 is a query, its key the query's id; and the one fixed query of a full analysis.
+RECOMMENDED = recommended("SELECT id AS query_id, z.* EXCLUDE (id) FROM z WHERE id % 100 = 0")
+FIXED = recommended("SELECT n_nationkey AS query_id, z.* EXCLUDE (id) FROM nation JOIN z ON id = n_nationkey * 100 + 1 WHERE n_nationkey = 0")
 VOTED = ", vt AS (SELECT query_id, priority, sum(similarity) AS s, min(rank) AS r FROM best GROUP BY ALL), voted AS (SELECT query_id, priority AS predicted, s / CASE WHEN total = 0 THEN 1 ELSE total END AS confidence FROM (SELECT *, sum(s) OVER (PARTITION BY query_id) AS total, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, r) AS k FROM vt) WHERE k = 1)"
 
 KNN = """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
@@ -278,3 +288,53 @@ SELECT query_id, label AS predicted, round(s / CASE WHEN total = 0 THEN 1 ELSE t
 
 def ingested(key_col: str) -> str:
     return f"WITH {CTE}, {steps_ctes(STRUCTURED, 'policy_docs', 'done')} SELECT CAST(p.{key_col} AS VARCHAR) AS id, 'doc-' || p.{key_col} AS filename, CAST(length(p.text) AS INTEGER) AS original_length, CAST(length(done.text) AS INTEGER) AS processed_length FROM policy_docs p JOIN done USING (doc_id)"
+
+
+# ---- reports ---------------------------------------------------------------------------------
+
+#: Entities of a document as label:text in the order of their places, joined by |.
+_LISTED = """listed AS (SELECT doc_id, string_agg(label || ':' || text, '|' ORDER BY "start", label, text) AS entities FROM entities GROUP BY doc_id)"""
+
+
+def phrases_of(source: str) -> str:
+    """CTE phrases (doc_id, phrase, score, n): runs of words between stop words and signs, which become a mark first."""
+    parts = "[\\p{L}\\p{N}]+|[\\s''-]+|[^\\p{L}\\p{N}\\s''-]+"
+    marked = f"array_to_string(list_transform(regexp_extract_all(lower(text), '{parts}'), lambda x: CASE WHEN list_contains({array(STOP_WORDS)}, x) OR regexp_matches(x, '^[^\\p{{L}}\\p{{N}}\\s''-]') THEN chr(1) ELSE x END), '')"
+    return f"""pm AS (SELECT doc_id, unnest(list_filter(list_transform(string_split({marked}, chr(1)), lambda p: trim({sub('p', r'\s+', ' ')})), lambda p: regexp_matches(p, '\\p{{L}}'))) AS phrase FROM {source}),
+pn AS (SELECT doc_id, phrase, count(*) AS n FROM pm GROUP BY ALL),
+pw AS (SELECT doc_id, phrase, n, len(string_split(phrase, ' ')) AS k, unnest(string_split(phrase, ' ')) AS word FROM pn),
+pd AS (SELECT *, sum(k * n) OVER w / sum(n) OVER w AS mean FROM pw WINDOW w AS (PARTITION BY doc_id, word)),
+phrases AS (SELECT doc_id, phrase, round(avg(mean), 6) AS score, max(n) AS n FROM pd GROUP BY doc_id, phrase)"""
+
+
+PHRASES = f"WITH {CTE}, {phrases_of('policy_docs')} SELECT doc_id, phrase, score, n FROM phrases"
+
+POLICY_REPORT = f"""WITH {CTE}, {_entities('policy_docs')}, {_LISTED}, {_summary_ctes('policy_docs')}, l AS (SELECT doc_id, {sentences('text')} AS ss, len({words('text')}) AS word_count FROM policy_docs)
+SELECT doc_id, {', '.join(f"len(list_filter(ss, lambda s: {in_category('s', c)})) AS {c}" for c in R.CATEGORIES)}, summary, word_count, entities FROM l JOIN summaries USING (doc_id) LEFT JOIN listed USING (doc_id)"""
+
+NONPUNCT = "[\\p{L}\\p{N}]+(?:[''’-][\\p{L}\\p{N}]+)*"
+TEXT_REPORT = f"""WITH {CTE}, {_entities('policy_docs')}, {_LISTED}, {phrases_of('policy_docs')}, pl AS (SELECT doc_id, string_agg(phrase, '|' ORDER BY phrase) AS phrases FROM phrases GROUP BY doc_id)
+SELECT doc_id, len(regexp_extract_all(text, '{NONPUNCT}')) AS word_count, len(list_filter({sentences('text')}, lambda s: {strip('s')} <> '')) AS sentence_count, entities, phrases FROM policy_docs LEFT JOIN listed USING (doc_id) LEFT JOIN pl USING (doc_id)"""
+
+#: Neighbouring policy texts, by entities, words and cosine.
+ENTITY_PAIRS = f"""WITH {CTE}, there AS (SELECT * FROM policy_docs WHERE length({strip('text')}) > 0), pairs AS (SELECT a.doc_id AS id_a, b.doc_id AS id_b FROM there a JOIN there b ON b.doc_id = a.doc_id + 1),
+{tf_idf('there')}, {_entities('there')}, en AS (SELECT DISTINCT doc_id, lower(text) AS t FROM entities),
+sh AS (SELECT id_a, id_b, string_agg(a.t, '|' ORDER BY a.t) AS overlap FROM pairs JOIN en a ON a.doc_id = id_a JOIN en b ON b.doc_id = id_b AND b.t = a.t GROUP BY ALL),
+wn AS (SELECT doc_id, len(regexp_extract_all(text, '{NONPUNCT}')) AS n FROM there)
+SELECT id_a, id_b, round(similarity, 6) AS similarity, coalesce(overlap, '') AS overlap, a.n AS word_count_a, b.n AS word_count_b FROM alike LEFT JOIN sh USING (id_a, id_b) JOIN wn a ON a.doc_id = id_a JOIN wn b ON b.doc_id = id_b"""
+
+
+def full_analysis() -> str:
+    """Sections, summaries and entities of the cleaned texts, and the recommendation for the fixed query."""
+    sections = SECTIONS[len(f"WITH {CTE}, ") :].replace("FROM policy_docs", "FROM done")
+    summaries = []
+    for i in "12":
+        ctes = _summary_ctes(f"(SELECT doc_id, section{i} AS text FROM sections)")
+        for name in ("sh", "su", "sf", "sl", "ses", "sw", "sc", "sr", "sx", "summaries"):
+            ctes = re.sub(rf"\b{name}\b", f"{name}{i}", ctes)
+        summaries.append(ctes)
+    similar = SECTION_SIMILARITY[len(SECTIONS) + 2 :].replace("\nSELECT doc_id, round", ", ss AS (SELECT doc_id, round", 1) + ")"
+    advice = FIXED[len("WITH ") :] + VOTED + ", tops AS (SELECT query_id, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY rank) AS top FROM best GROUP BY query_id)"
+    return f"""WITH {CTE}, {steps_ctes(['preprocess_text', 'sanitize_text'], 'policy_docs', 'done')}, {sections}, {similar}, {', '.join(summaries)}, {_entities('done')}, {_LISTED}, {advice}
+SELECT doc_id, ss.similarity, ss.overlap, summaries1.summary AS summary1, summaries2.summary AS summary2, entities, predicted, round(confidence, 6) AS confidence, top
+FROM ss JOIN summaries1 USING (doc_id) JOIN summaries2 USING (doc_id) LEFT JOIN listed USING (doc_id), voted JOIN tops USING (query_id)"""
