@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -15,14 +16,51 @@ from ..session import fresh_path
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Paths of the tables that materialize() wrote inside each open scratch(), outermost first.
+_SCRATCH: list[list[str]] = []
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False, instead_of: DataFrame | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends there.
 
-    Unlike cached or locally checkpointed data the files outlive any executor.
+    Unlike cached or locally checkpointed data the files outlive any executor. The table goes when
+    the innermost scratch() ends, or, if it is to be kept, the one around that; `instead_of` is an earlier such table
+    that nothing needs once this one is written: it goes at once.
     """
-    path = fresh_path(df.sparkSession, name)
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if len(_SCRATCH) > keep:
+        _SCRATCH[-1 - keep].append(path)
+    if instead_of is not None:
+        discard(instead_of)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._docloom_path = path
+    return made
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table of materialize()."""
+    delete(df.sparkSession, df._docloom_path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialised inside and not kept are deleted at the end: what is made of them must be
+    written, or have come to the driver, by then."""
+    made: list[str] = []
+    _SCRATCH.append(made)
+    try:
+        yield
+    finally:
+        _SCRATCH.pop()
+        for path in made:
+            delete(spark, path)
 
 
 def hash_fraction(total: int, wanted: int) -> float:
@@ -32,14 +70,15 @@ def hash_fraction(total: int, wanted: int) -> float:
 
 def in_hash_sample(key: Column, share: float, salt: int = 17) -> Column:
     """True for about that share of keys; the same keys on every run."""
-    return F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))
+    return F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
 
 
 def global_rank(df: DataFrame, by: Sequence[Column], out: str) -> DataFrame:
     """Add the 0-based rank of each row in the order of `by`, without a single-task sort.
 
     Rows are range-partitioned and numbered inside their partition; the partitions' sizes, one
-    row each, give the offsets. Equal keys may fall in any order, but get different ranks.
+    row each, give the offsets. Equal keys may fall in any order, but get different ranks; where many rows may be
+    equal, `by` should end with something that tells them apart, so that they can be spread.
     """
     part, place = "__dl_part", "__dl_place"
     placed = materialize(

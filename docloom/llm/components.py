@@ -35,12 +35,12 @@ def connected_components(links: DataFrame) -> DataFrame:
     `links` has columns a and b of one orderable type, no nulls. Each step groups by node with
     map-side minima, so a hub's links are never gathered; the joins that hand them on are plain
     equi-joins, whose hot keys adaptive execution splits. Steps, about log(n) of them, end in
-    tables in the shared folder, so a lost executor costs one step at most.
+    tables in the shared folder, so a lost executor costs one step at most; a step's table replaces the one before.
     """
     now = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "links")
     seen = _print(now)
     while seen[0]:
-        now = materialize(_star(_star(now, True), False), "links")
+        now = materialize(_star(_star(now, True), False), "links", instead_of=now)
         if (then := _print(now)) == seen:
             break
         seen = then
