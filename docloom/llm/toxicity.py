@@ -1,7 +1,7 @@
 """Toxicity by a weighted lexicon: folded text, Aho-Corasick matching, exception phrases, length-normalised score.
 
-Folding undoes what hides a word: upper case, accents' compatibility forms, look-alike letters of
-other scripts, digits and signs for letters inside words. A lexicon entry is a whole word or the
+Folding undoes what hides a word: upper case, accents, compatibility forms, look-alike letters of other
+scripts, digits and signs for letters inside words, marks between letters. A lexicon entry is a whole word or the
 beginning of words; entries and weights come from a built-in list and from labelled documents.
 """
 
@@ -10,8 +10,10 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -19,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, hash_fraction, in_hash_sample
+from .common import hash_fraction, in_hash_sample, materialize, scratch
 from .tokens import kept
 
-#: The model is fitted on about this many labelled rows, and the lexicon holds at most this many learned entries.
-TRAIN_ROWS, ENTRIES = 20_000, 5_000
+#: The model is fitted on about this many labelled rows; this alone bounds the learned entries.
+TRAIN_ROWS = 20_000
 #: Lengths of learned word beginnings, and how many labelled documents, and standard errors, an entry must have.
 STEMS, LEAST_DOCS, LEAST_Z = range(4, 9), 8, 4.0
 #: Weight of the entries below.
@@ -41,26 +43,31 @@ _SIGN = str.maketrans(SIGNS)
 _MIXED = re.compile(r"(?<![\w@$!|€])(?=[\w@$!|€]*[^\W\d_])[\w@$!|€]*[0134578@$!|€][\w@$!|€]*")
 _END_SIGNS = re.compile(r"[!|]+$")
 _GAP = re.compile(r"[\W\d_]+")
-_ZERO_WIDTH = re.compile("[­​-‍⁠﻿]")
+_ZERO_WIDTH = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]")
+_ACCENT = re.compile("[\u0300-\u036f]+")
+#: Letters with single marks between them, among them a run of one or two letters, as in i.d.iot.
+_PARTED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_]++[.\-_*·])++[^\W\d_]++")
+_MARK = re.compile(r"[.\-_*·]")
 
 
 def _unmix(found: re.Match) -> str:
-    """Signs in letters' places as letters; signs at the end, as in 'no!!', stay; so do words of few letters and long ones, as hashes are."""
+    """Signs in letters' places as letters; signs at the end, as in 'no!!', stay."""
     word = found[0]
     end = _END_SIGNS.search(word)
     body = word[: end.start()] if end else word
-    if len(body) > 24 or sum(map(str.isalpha, body)) * 3 < len(body):
-        return word
     return body.translate(_SIGN) + word[len(body) :]
 
 
 def fold(text: str) -> str:
-    """Folded words with one space before, between and after them."""
+    """Folded words with one space before, between and after them. Words that marks cut into short pieces
+    stand once more at the end, in one piece."""
     if not text.isascii():
-        text = _ZERO_WIDTH.sub("", unicodedata.normalize("NFKC", text).lower()).translate(_LOOKALIKE)
+        text = _ZERO_WIDTH.sub("", _ACCENT.sub("", unicodedata.normalize("NFKD", text)).lower()).translate(_LOOKALIKE)
     else:
         text = text.lower()
-    return f" {_GAP.sub(' ', _MIXED.sub(_unmix, text)).strip()} "
+    text = _MIXED.sub(_unmix, text)
+    whole = [_MARK.sub("", p) for p in _PARTED.findall(text) if min(map(len, _MARK.split(p))) <= 2]
+    return f" {' '.join([_GAP.sub(' ', text).strip(), *whole]).strip()} "
 
 
 class Lexicon:
@@ -90,10 +97,22 @@ class Lexicon:
             elif weight > best.get(start, -math.inf):
                 best[start] = weight
         if spared:
-            best = {s: w for s, w in best.items() if not any(a <= s < b for a, b in spared)}
+            starts, ends = reach(spared)
+            best = {s: w for s, w in best.items() if not _within(s, starts, ends)}
         return sum(best.values()), max(best.values(), default=0.0), folded.count(" ") - 1 if folded != "  " else 0
 
 
+def reach(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts of spans in order, and the furthest end of each and all before it."""
+    spans = sorted(spans)
+    return [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
+
+
+def _within(place: int, starts: list[int], ends: list[int]) -> bool:
+    at = bisect_right(starts, place) - 1
+    return at >= 0 and place < ends[at]
+
+
 @dataclass
 class ToxicityModel:
     """Weights of the lexicon's entries, exception phrases, and the coefficients of the score."""
@@ -152,38 +171,35 @@ def _term_counts(rows: DataFrame) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> ToxicityModel:
-    """Entries, weights and score from labelled documents, on about `train_rows` of them, picked by a hash of the id.
-
-    Rows whose id has a CRC-32 (as text) divisible by 5 are held out here and nowhere used. The
-    weight of an entry is the log-odds of toxic against other documents that hold it, smoothed, and
-    it is kept if that stands LEAST_Z standard errors above 0; at most ENTRIES entries. The score
-    is a logistic regression on three figures of each text. Only entries and these figures, both
-    of bounded number, come to the driver. Null or contradictory labels are left out or counted
-    as they stand; with no toxic or no other row the built-in list and score remain.
+    """Entries, weights and score from labelled documents, on about `train_rows` of them.
+
+    Rows whose id has a CRC-32 (as text) divisible by 5 are held out here and nowhere used. Of the
+    labelled rows a share is picked by a hash of id and text, equal rows once, so an id with a third of all
+    rows is thinned like any other. The weight of an entry is the log-odds of toxic against other
+    documents that hold it, smoothed, and it is kept if that stands LEAST_Z standard errors above 0.
+    The score is a logistic regression on three figures of each text. Only entries and these
+    figures, both bounded by train_rows, come to the driver. Null labels are left out, as are ids with labels of both
+    kinds; with no toxic or no other row the built-in list and score remain.
     """
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).filter(~held_out(F.col("id")) & F.col("toxic").isin(0, 1))
-    share = hash_fraction(known.count(), train_rows)
-    known = known.filter(in_hash_sample(F.col("id"), share))
-    path = fresh_path(docs.sparkSession, "labelled")
-    docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, "id").select("text", "toxic").write.parquet(path)
-    rows = docs.sparkSession.read.schema("text string, toxic int").parquet(path)
-    sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    weights = {f" {w} ": SEED_WEIGHT for w in SEED}
-    if len(sizes) < 2:
-        return ToxicityModel(weights, EXCEPTIONS, DEFAULT)
-    odds = F.log((F.col("toxic") + 0.5) / (sizes[1] - F.col("toxic") + 0.5)) - F.log((F.col("clean") + 0.5) / (sizes[0] - F.col("clean") + 0.5))
-    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    best = (
-        _term_counts(rows)
-        .filter(F.col("toxic") >= LEAST_DOCS)
-        .withColumn("weight", odds)
-        .filter(F.col("weight") > LEAST_Z * error)
-        .orderBy(F.desc(F.col("weight") / error), "term")
-        .limit(ENTRIES)
-    )
-    weights |= {term: weight for term, (weight, _) in needed({r.term: (r.weight, r.toxic) for r in best.collect()}).items()}
-    model = ToxicityModel(weights, EXCEPTIONS, DEFAULT)
-    figures = with_features(rows, model, "text").select("toxic", "__dl_f.*").toPandas()
+    spark = docs.sparkSession
+    labelled = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).filter(~held_out(F.col("id")) & F.col("toxic").isin(0, 1))
+    known = labelled.groupBy("id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most").drop("most")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    share = hash_fraction(texts.select("id").join(known.select("id"), "id", "left_semi").count(), train_rows)
+    mark = F.xxhash64("id", "text")
+    with scratch(spark):
+        picked = texts.withColumn("mark", mark).filter(in_hash_sample(F.col("mark"), share)).join(known, "id")
+        rows = materialize(picked.dropDuplicates(["mark"]).select("text", "toxic"), "labelled")
+        sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+        weights = {f" {w} ": SEED_WEIGHT for w in SEED}
+        if len(sizes) < 2:
+            return ToxicityModel(weights, EXCEPTIONS, DEFAULT)
+        odds = F.log((F.col("toxic") + 0.5) / (sizes[1] - F.col("toxic") + 0.5)) - F.log((F.col("clean") + 0.5) / (sizes[0] - F.col("clean") + 0.5))
+        error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
+        best = _term_counts(rows).filter(F.col("toxic") >= LEAST_DOCS).withColumn("weight", odds).filter(F.col("weight") > LEAST_Z * error)
+        weights |= {term: weight for term, (weight, _) in needed({r.term: (r.weight, r.toxic) for r in best.collect()}).items()}
+        model = ToxicityModel(weights, EXCEPTIONS, DEFAULT)
+        figures = with_features(rows, model, "text").select("toxic", "__dl_f.*").toPandas().sort_values(["toxic", "total", "highest", "words"])
     x = np.array([inputs(*f) for f in figures[["total", "highest", "words"]].itertuples(index=False)])
     return ToxicityModel(weights, EXCEPTIONS, tuple(map(float, logistic(x, figures["toxic"].to_numpy(float)))))
 
@@ -261,7 +277,8 @@ def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The documents, all columns, whose score is under the threshold."""
+    """The documents, all columns, whose score is under the threshold. Null and empty texts have the score of
+    a text without an entry; ids aren't looked at, repeated rows stay as they are, an empty table stays empty. Narrow."""
     return docs.filter(score_column(docs.sparkSession, model, F.col(text_col)) < threshold)
 
 
