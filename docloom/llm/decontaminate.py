@@ -2,8 +2,9 @@
 
 A test item of m words may be found with up to k = floor(m * tolerance) word edits (insertions,
 deletions, replacements). Cut into k + 1 pieces, at least one piece must stand in the document
-unchanged; all pieces of all items are found at once by an Aho-Corasick automaton, and only the
-stretch of the document around a hit is checked, by Myers' bit-parallel edit distance.
+unchanged; all pieces of all items are found at once, by a hash of each run of words that is as long as
+some piece, and only the stretch of the document around a hit is checked, by Myers' bit-parallel edit
+distance over whole words, so that hashes decide nothing.
 """
 
 from __future__ import annotations
@@ -11,8 +12,9 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,19 +27,37 @@ from .tokens import kept
 #: Share of an item's words that may differ (a similarity of 0.8 or more), and bytes of item text that one pass over the documents takes.
 TOLERANCE, BLOCK_BYTES = 0.2, 16_000_000
 
+#: Bits of the map that tells whether some piece has such a hash, and items whose masks a worker keeps.
+MAP_BITS, MASKS = 22, 1024
+
 _NO_WORD = re.compile(r"[\W_]+")
+#: Letters of scripts that are written without spaces; each is a word. Thai to Lao, Burmese, Khmer, Kana, Han.
+_UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003134f])")
+_STEP, _LAST = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
+
 
+def words_of(text: str) -> list[str]:
+    """Lower-cased runs of letters and digits; in scripts without spaces each letter."""
+    low = text.lower()
+    if not low.isascii():
+        low = _UNSPACED.sub(r" \1 ", low)
+    return _NO_WORD.sub(" ", low).split()
 
-def words_of(text: str) -> str:
-    """Lower-cased words with a space before and after each."""
-    return f" {_NO_WORD.sub(' ', text.lower()).strip()} "
 
+def edges(n: int, budget: int) -> list[int]:
+    """Where the budget + 1 pieces of n words begin, and n: as even as can be."""
+    parts = budget + 1
+    return [n * i // parts for i in range(parts + 1)]
 
-def cut(words: list[str], budget: int) -> list[tuple[int, str]]:
-    """(offset in words, piece) of the budget + 1 pieces, as even as can be."""
-    n, parts = len(words), budget + 1
-    edges = [n * i // parts for i in range(parts + 1)]
-    return [(a, f" {' '.join(words[a:b])} ") for a, b in zip(edges, edges[1:], strict=False)]
+
+def grams(words: list[str], longest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, hash of each run of that many words) for lengths up to `longest`; hashes hold within one process."""
+    one = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+    run = one
+    for k in range(1, min(longest, len(words)) + 1):
+        if k > 1:
+            run = run[:-1] * _STEP + one[k - 1 :]
+        yield k, run * _LAST
 
 
 def best_place(masks: dict[str, int], m: int, window: list[str]) -> tuple[int, int]:
@@ -62,75 +82,88 @@ def best_place(masks: dict[str, int], m: int, window: list[str]) -> tuple[int, i
 
 
 class Matcher:
-    """The pieces of a block of items, ready to be looked for."""
+    """The pieces of a block of items, ready to be looked for: for each length in words sorted hashes with
+    items and offsets, a few bytes a word of the items."""
 
     def __init__(self, items: list[tuple[object, str]], tolerance: float) -> None:
-        import ahocorasick
-
-        self.items, pieces = [], defaultdict(list)
+        self.items, found = [], defaultdict(list)
         for number, text in items:
-            words = words_of(text or "").split()
+            words = words_of(text or "")
             if not words:
                 continue
             budget = int(len(words) * tolerance)
-            masks: dict[str, int] = defaultdict(int)
-            for i, w in enumerate(words):
-                masks[w] |= 1 << i
-            for offset, piece in cut(words, budget):
-                pieces[piece].append((len(self.items), offset))
-            self.items.append((number, len(words), budget, dict(masks)))
-        self.automaton = ahocorasick.Automaton()
-        for piece, places in pieces.items():
-            self.automaton.add_word(piece, (len(piece), places))
-        if pieces:
-            self.automaton.make_automaton()
-        self.empty = not pieces
+            at = np.array(edges(len(words), budget))
+            sizes = at[1:] - at[:-1]
+            for k, hashes in grams(words, int(sizes.max())):
+                starts = at[:-1][sizes == k]
+                if len(starts):
+                    found[k].append((hashes[starts], np.full(len(starts), len(self.items)), starts))
+            self.items.append((number, text, len(words), budget))
+        self.pieces = {}
+        for k, parts in found.items():
+            hashes, owner, offset = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(hashes, kind="stable")
+            there = np.zeros(1 << MAP_BITS, np.bool_)
+            there[hashes >> np.uint64(64 - MAP_BITS)] = True
+            self.pieces[k] = (there, hashes[order], owner[order].astype(np.int32), offset[order].astype(np.int32))
+        self.longest = max(self.pieces, default=0)
+        self.masks = lru_cache(MASKS)(self._masks)
+
+    def _masks(self, item: int) -> dict[str, int]:
+        """For each word of an item the places at which it stands, as bits."""
+        masks: dict[str, int] = defaultdict(int)
+        for i, w in enumerate(words_of(self.items[item][1])):
+            masks[w] |= 1 << i
+        return dict(masks)
+
+    def hits(self, words: list[str]) -> dict[int, np.ndarray]:
+        """For each item with a piece in the text, in order, where the item would begin."""
+        owners, begins = [], []
+        for k, run in grams(words, self.longest):
+            if k not in self.pieces:
+                continue
+            there, hashes, owner, offset = self.pieces[k]
+            at = np.flatnonzero(there[run >> np.uint64(64 - MAP_BITS)])
+            low, high = np.searchsorted(hashes, run[at]), np.searchsorted(hashes, run[at], "right")
+            n = high - low
+            if not n.sum():
+                continue
+            place = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+            owners.append(owner[place])
+            begins.append(np.repeat(at, n) - offset[place])
+        if not owners:
+            return {}
+        owner, begin = np.concatenate(owners), np.concatenate(begins)
+        order = np.lexsort((begin, owner))
+        owner, begin = owner[order], begin[order]
+        cuts = np.flatnonzero(owner[1:] != owner[:-1]) + 1
+        return {int(owner[a]): np.unique(begin[a:b]) for a, b in zip([0, *cuts], [*cuts, len(owner)], strict=True)}
 
     def find(self, text: str) -> list[tuple[object, int, int, int, int]]:
         """(item, distance, budget, first word of the stretch, item words) for each item found in the text, its best place only."""
-        if self.empty:
-            return []
-        joined = words_of(text)
-        hits = list(self.automaton.iter(joined))
-        if not hits:
+        if not self.pieces:
             return []
-        words, spans = joined.split(), defaultdict(list)
-        seen_at, seen_words = 0, 0
-        for end, (size, places) in hits:  # in order of their ends
-            start = end - size + 1
-            # Words before the hit: the count goes on from an earlier hit, so the text is passed over about once.
-            if start >= seen_at:
-                seen_words += joined.count(" ", seen_at, start)
-                seen_at, first = start, seen_words
-            else:
-                first = seen_words - joined.count(" ", start, seen_at)
-            for item, offset in places:
-                _, m, budget, _ = self.items[item]
-                spans[item].append((first - offset - budget, first - offset + m + budget))
+        words = words_of(text)
         found = []
-        for item, wide in spans.items():
-            number, m, budget, masks = self.items[item]
+        for item, begins in self.hits(words).items():
+            number, _, m, budget = self.items[item]
             best = None
-            for a, b in merged(wide):
-                distance, last = best_place(masks, m, words[max(a, 0) : b])
+            for a, b in merged(begins - budget, begins + m + budget):
+                a = max(a, 0)
+                distance, last = best_place(self.masks(item), m, words[a:b])
                 if distance <= budget and (best is None or distance < best[0]):
-                    best = (distance, max(a, 0) + max(last - m + 1, 0))
+                    best = (distance, a + max(last - m + 1, 0))
+                    if not distance:
+                        break
             if best:
                 found.append((number, best[0], budget, best[1], m))
         return found
 
 
-def merged(spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    """Overlapping spans as one."""
-    spans = sorted(spans)
-    a, b = spans[0]
-    for c, d in spans[1:]:
-        if c > b:
-            yield a, b
-            a, b = c, d
-        else:
-            b = max(b, d)
-    yield a, b
+def merged(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Overlapping spans, in order of their starts and of one length, as one."""
+    cuts = np.flatnonzero(starts[1:] > ends[:-1]) + 1
+    return zip(starts[np.concatenate([[0], cuts])].tolist(), ends[np.concatenate([cuts - 1, [len(ends) - 1]])].tolist(), strict=True)
 
 
 def blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[object, str]]]:
@@ -160,7 +193,7 @@ def _matchers(docs: DataFrame, items: DataFrame, item_id: str, item_text: str, t
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", tolerance: float = TOLERANCE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each document and test item found in it: (id, item_id, distance, budget, start_word, item_words).
 
-    Words are runs of letters and digits of the lower-cased text. Items of fewer than 1/tolerance
+    Words are runs of letters and digits of the lower-cased text, and single letters in scripts without spaces. Items of fewer than 1/tolerance
     words have no error budget and are looked for as they are; items without words match nothing.
     Of several places of an item in a document the closest, then the first, counts.
 

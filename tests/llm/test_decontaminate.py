@@ -57,3 +57,37 @@ def test_blocks_agree(spark, awkward):
     items = spark.createDataFrame([(str(i), f"one two three four five {i}") for i in range(20)], "item_id string, text string")
     whole = sorted(map(tuple, D.find_leaks(awkward, items).collect()))
     assert sorted(map(tuple, D.find_leaks(awkward, items, block_bytes=60).collect())) == whole and len(whole) == 60
+
+
+def test_scripts_without_spaces():
+    zh = "深度学习模型在大规模语料上进行预训练然后微调"
+    ja = "これはベンチマークの問題文です"
+    m = D.Matcher([(1, zh), (2, ja), (3, "短い"), (4, "plain words here")], 0.2)
+    got = {n: d for n, d, *_ in m.find("前面的文字" + zh[:5] + "好" + zh[6:] + "后面的文字。" + "前" + ja + "後")}
+    assert got == {1: 1, 2: 0}
+    assert m.find("some plain words here") == [(4, 0, 0, 1, 3)]
+
+
+def test_a_block_near_its_bound_stays_small():
+    import random
+    import tracemalloc
+
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(50_000)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(60))) for i in range(10_000)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    m = D.Matcher(items, 0.2)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert size > 3_000_000 and held < 12 * size
+    assert [h[0] for h in m.find("x y " + items[77][1] + " z")] == [77]
+
+
+def test_common_short_items_take_linear_time():
+    import time
+
+    m = D.Matcher([(1, "the"), (2, "of the")], 0.2)
+    began = time.process_time()
+    assert {n: d for n, d, *_ in m.find("of the " * 200_000)} == {1: 0, 2: 0}
+    assert time.process_time() - began < 5
