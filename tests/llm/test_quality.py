@@ -56,3 +56,14 @@ def test_sql(spark):
     con = duckdb.connect()
     con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
     assert sorted(map(tuple, Q.op6_quality(spark, "/root/testdata/sf0.001").collect())) == sorted(con.execute(Q.OP6_SQL).fetchall())
+
+
+def test_sql_where_host_verdicts_fire(spark, tmp_path):
+    good = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"{good} {i}", "fine") for i in range(60)] + [(100 + i, "too short", "poor") for i in range(40)] + [(200 + i, f"{good} {i}", "poor") for i in range(6)] + [(300 + i, good if i % 3 else None, None) for i in range(30)] + [(400, "one", "tiny"), (401, good, "tiny")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(map(tuple, Q.op6_quality(spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(Q.OP6_SQL).fetchall())
+    assert sum(not r[6] and not r[7] for r in got) == 6, "the host takes its fine documents with it"
