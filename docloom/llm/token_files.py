@@ -48,7 +48,11 @@ class TokenFiles:
 
 
 def train_dictionary(docs: DataFrame, definition: str, width: int, id_col: str, text_col: str) -> bytes:
-    """A shared dictionary from the serialised ids of a bounded sample; empty if there is too little to train on."""
+    """A shared dictionary from the serialised ids of a bounded sample; empty if there is too little to train on.
+
+    The sample is the SAMPLE_DOCS different (id, text) with the lowest hashes, of which an equal row is one, so it is the
+    same on every run and no id can fill it.
+    """
     import zstandard
 
     key = ("encode", width, hashlib.sha256(definition.encode()).hexdigest())
@@ -60,9 +64,11 @@ def train_dictionary(docs: DataFrame, definition: str, width: int, id_col: str,
             texts = [t or "" for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([encoder.text(t)[:SAMPLE_BYTES] for t in texts], pa.binary())], ["ids"])
 
-    share = hash_fraction(docs.count(), SAMPLE_DOCS)
-    sample = docs.filter(in_hash_sample(F.col(id_col), share)).select(text_col).mapInArrow(run, "ids binary")
-    found = sorted(bytes(r.ids) for r in sample.limit(2 * SAMPLE_DOCS).collect() if r.ids)
+    # Twice the share that is wanted is hashed below the mark, so that the lowest are among them.
+    share = hash_fraction(docs.count(), 2 * SAMPLE_DOCS)
+    marked = docs.select(F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("mark")).filter(in_hash_sample(F.col("mark"), share))
+    sample = marked.dropDuplicates(["mark"]).orderBy(F.xxhash64("mark"), "mark").limit(SAMPLE_DOCS).select("text").mapInArrow(run, "ids binary")
+    found = sorted(bytes(r.ids) for r in sample.collect() if r.ids)
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, found).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -72,8 +78,8 @@ def train_dictionary(docs: DataFrame, definition: str, width: int, id_col: str,
 def write_token_files(docs: DataFrame, definition: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0) -> TokenFiles:
     """Encode every whole text and write its ids to files in `folder`, in ascending order of the ids.
 
-    Documents are range-partitioned by (id, hash of the text), so even one id that holds a third
-    of all rows is spread over tasks; each task encodes its range and writes one file. `end_id` is
+    Documents are range-partitioned by id, hash of the text and row, so even one id, or one row repeated,
+    that holds a third of all rows is spread over tasks; each task encodes its range and writes one file. `end_id` is
     appended to each document (None: nothing is). A null text is empty: it holds the end id alone.
     A null id comes before all others. Repeated ids are kept, each row as a document. Other columns
     are ignored. An empty table gives no files. A task holds one document at a time, its
@@ -120,9 +126,9 @@ def write_token_files(docs: DataFrame, definition: str, folder: str, id_col: str
 
     ordered = (
         docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        .withColumn("tie", F.xxhash64("text"))
-        .repartitionByRange("id", "tie")
-        .sortWithinPartitions("id", "tie")
+        .withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+        .repartitionByRange("id", "tie", "row")
+        .sortWithinPartitions("id", "tie", "row")
         .select("id", "text")
     )
     ordered.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
@@ -202,7 +208,9 @@ def read_token_files(files: TokenFiles, with_ids: bool = False) -> DataFrame:
 
 
 def encode_and_read(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Write the documents' ids under the 50k byte-level vocabulary to fresh files and read them back."""
+    """Write the documents' ids under the 50k byte-level vocabulary to fresh files and read them back: (doc_id,
+    start, n_tokens, ids_crc32). Null and empty texts hold the end id alone, null ids come first, repeated rows are
+    documents each, an empty table gives no row; other columns are ignored."""
     import public_tokenizers
 
     definition = read_definition(public_tokenizers.path("byte_bpe_50k.json"))

@@ -11,12 +11,14 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Entries that a worker's table of pieces holds before it starts anew.
-PIECES = 800_000
+#: Bytes that a worker's table of pieces takes before it starts anew (the older generation stays beside it),
+#: and characters of the longest piece that it keeps; longer ones hardly ever come back.
+TABLE_BYTES, LONGEST = 112 << 20, 48
 
 _AFTER_SPACE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
@@ -74,21 +76,35 @@ def proven_whole(tokenizer) -> frozenset[str]:
     return frozenset(token for (token, number, _), e in zip(found, encoded, strict=True) if e.ids == [number])
 
 
+@lru_cache(2)
+def proven(definition: str) -> frozenset[str]:
+    """proven_whole() of a definition, worked out once in the life of a driver."""
+    return proven_whole(load_tokenizer(definition))
+
+
 class Bounded(dict):
-    """piece -> value, computed when missing. When full it becomes the older generation and starts
-    anew; what is still used is carried over."""
+    """piece -> value, computed when missing. When it takes `most` bytes it becomes the older generation and
+    starts anew; what is still used is carried over. Long pieces, and those of several lines, are computed each time."""
 
-    def __init__(self, compute, most: int = PIECES) -> None:
+    def __init__(self, compute, most: int) -> None:
         super().__init__()
-        self.compute, self.most, self.old = compute, most, {}
+        self.compute, self.most, self.taken, self.old = compute, most, 0, {}
 
     def __missing__(self, key: str):
+        if len(key) > LONGEST:
+            return self.compute(key)
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
-        if len(self) >= self.most:
+        if "\n" in key and len(key) > 2:
+            return value  # made of lines, which are kept
+        # Key, value and the dictionary's own slot: ids take 2 to 4 bytes for at most one a byte, long letters 2.
+        size = 160 + 4 * len(key)
+        if self.taken + size > self.most:
             self.old = dict(self)
             self.clear()
+            self.taken = 0
+        self.taken += size
         self[key] = value
         return value
 
@@ -113,6 +129,7 @@ class Splitter:
         self.pre_tokenizer, self.find = tokenizer.pre_tokenizer, regex.compile(_RULE).findall
         self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.table = {b: c for c, b in byte_alphabet().items()}
+        self.space = self.table[ord(" ")]
 
     def words(self, piece: str) -> list[str] | None:
         """The pre-tokens; None if the piece holds a special token."""
@@ -124,6 +141,8 @@ class Splitter:
         return self.find(piece)
 
     def spelled(self, word: str) -> str:
+        if word.isascii() and word.isprintable():
+            return word.replace(" ", self.space)
         return word.encode().decode("latin-1").translate(self.table)
 
 
@@ -136,20 +155,38 @@ class Worker:
         self.tokenize = self.tokenizer.model.tokenize
         # Whether no special token can be made of letters and those signs.
         self.plain = not any(all(c.isalpha() or c in _SIGNS for c in s) for s in self.splitter.special)
-        self.spaced = Bounded(self.after_space)
-        self.bare = Bounded(self.word, PIECES // 8)
+        self.spaced = Bounded(self.after_space, TABLE_BYTES)
+        self.bare = Bounded(self.without_space, TABLE_BYTES // 4)
 
     def after_space(self, rest: str):
-        """The piece that is a space and `rest`. Most are ASCII letters, perhaps with signs behind them:
-        one pre-token, or two."""
-        if self.plain and rest.isascii():
+        """The piece that is a space and `rest`. Most are letters, perhaps with signs behind them: one
+        pre-token, or two. A lone line break between other characters is a pre-token of its own."""
+        if "\n" in rest:
+            lines = rest.split("\n")
+            if all(lines) and not self.space_at_ends(lines):
+                first, *others = lines
+                return self.add([self.spaced[first], *(x for line in others for x in (self.bare["\n"], self.bare[line]))])
+        elif self.plain and not _OTHER.search(rest):
             if rest.isalpha():
-                return self.word(" " + rest, "Ġ" + rest)
+                return self.word(" " + rest)
             word = rest.rstrip(_SIGNS)
             if word.isalpha():
                 return self.add([self.spaced[word], self.bare[rest[len(word) :]]])
         return self.piece(" " + rest)
 
+    @staticmethod
+    def space_at_ends(lines: list[str]) -> bool:
+        """Whether some line begins or ends with white space, which the line break would then join."""
+        return any(line[0].isspace() or line[-1].isspace() for line in lines)
+
+    def without_space(self, piece: str):
+        """A piece as it stands: a pre-token, or a line of several."""
+        if self.plain and not _OTHER.search(piece):
+            word = piece.rstrip(_SIGNS)
+            if word.isalpha():
+                return self.add([self.bare[word], self.bare[piece[len(word) :]]]) if len(word) < len(piece) else self.word(piece)
+        return self.piece(piece)
+
     def piece(self, piece: str):
         words = self.splitter.words(piece)
         if words is None:
@@ -160,7 +197,7 @@ class Worker:
 
     def text(self, text: str):
         first, *rest = pieces(text)
-        return self.add([self.piece(first), *map(self.spaced.__getitem__, rest)])
+        return self.add([self.bare[first], *map(self.spaced.__getitem__, rest)])
 
 
 class Counter(Worker):
@@ -173,8 +210,8 @@ class Counter(Worker):
         alphabet = byte_alphabet()
         self.whole = frozenset(bytes(alphabet[c] for c in token).decode() for token in whole)
 
-    def word(self, word: str, spelled: str = "") -> int:
-        return 1 if word in self.whole else len(self.tokenize(spelled or self.splitter.spelled(word)))
+    def word(self, word: str) -> int:
+        return 1 if word in self.whole else len(self.tokenize(self.splitter.spelled(word)))
 
 
 class Encoder(Worker):
@@ -187,12 +224,13 @@ class Encoder(Worker):
 
         super().__init__(definition)
         self.dtype, self.code = np.dtype(f"<u{width}"), "H" if width == 2 else "I"
+        self.packs = [struct.Struct(f"<{n}{self.code}").pack for n in range(32)]
 
     def whole_piece(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+        return self.packs[len(ids)](*ids) if len(ids) < 32 else struct.pack(f"<{len(ids)}{self.code}", *ids)
 
-    def word(self, word: str, spelled: str = "") -> bytes:
-        return self.whole_piece([t.id for t in self.tokenize(spelled or self.splitter.spelled(word))])
+    def word(self, word: str) -> bytes:
+        return self.whole_piece([t.id for t in self.tokenize(self.splitter.spelled(word))])
 
 
 #: What a Python worker keeps between its tasks, by the tokenizer's hash; one entry.
@@ -219,7 +257,7 @@ def count_tokens(docs: DataFrame, definition: str, id_col: str = "doc_id", text_
     """
     import hashlib
 
-    sent = docs.sparkSession.sparkContext.broadcast((definition, proven_whole(load_tokenizer(definition))))
+    sent = docs.sparkSession.sparkContext.broadcast((definition, proven(definition)))
     key = ("count", hashlib.sha256(definition.encode()).hexdigest())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

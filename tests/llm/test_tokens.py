@@ -80,3 +80,31 @@ def test_single_document_by_index(spark, definition, library):
     assert found == [[*library.encode("document 123 " * 124, add_special_tokens=False).ids, 0]]
     with pytest.raises(ValueError):
         token_files.read_document(files.manifest.first().path, 123, b"another")
+
+
+def test_table_of_pieces_is_bound_in_bytes(definition, library, monkeypatch):
+    import random as r
+
+    monkeypatch.setattr(tokens, "TABLE_BYTES", 200_000)
+    counter = tokens.Counter(definition, tokens.proven(definition))
+    rng = r.Random(3)
+    han = "".join(chr(0x4E00 + rng.randrange(20_000)) for _ in range(50_000))
+    parts = [han[i : i + rng.randint(1, 400)] for i in range(0, 40_000, 40)] + ["QUJD" * rng.randint(1, 300) + str(i) for i in range(300)]
+    for text in (" ".join(parts[:400]), " ".join(parts[400:])):
+        assert counter.text(text) == len(library.encode(text, add_special_tokens=False).ids)
+    for table in (counter.spaced, counter.bare):
+        assert table.taken <= table.most and max(map(len, [*table, *table.old, ""])) <= tokens.LONGEST
+
+
+def test_repeated_rows_and_hot_ids(spark, definition, library):
+    rows = [(5, "the very same row")] * 3000 + [(5, f"row {i}") for i in range(50)] + [(i, "x") for i in range(50)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), definition, fresh_path(spark, "test"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = token_files.read_token_files(files).orderBy("start").collect()
+    assert len(got) == len(rows) and [r.doc_id for r in got] == sorted(i for i, _ in rows)
+    assert max(r.n_docs for r in files.manifest.collect()) < 2500, "equal rows are spread"
+    again = token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), definition, fresh_path(spark, "test"))
+    assert again.dictionary == files.dictionary
