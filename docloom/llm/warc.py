@@ -1,7 +1,7 @@
 """WARC archives with revisits: equal payloads are stored once.
 
-Headers are shuffled by payload digest; the smallest page id of a digest is the response, the others
-become revisit records that refer to it. Archives are gzip files of one member a record; every
+Headers are shuffled by payload digest, payloads are not; the smallest page id of a digest is the response, the
+others become revisit records that refer to it. Archives are gzip files of one member a record; every
 header is written anew, nothing is copied from an earlier archive. A manifest names the files.
 """
 
@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize, open_input, open_output, task_file
+from .common import fresh_path, materialize, open_input, open_output, scratch, task_file
 
 #: Name space of record ids; the capture date that records carry where the table has none.
 RECORDS, DATE = uuid.UUID("6f1d3a52-5b0e-5c6e-9a0a-0f5d7f0f8c11"), "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "part int, path string, n_records long, bytes long"
-#: Bytes read from an archive at once.
-READ = 1 << 20
+#: Bytes read from an archive at once, and of originals that are broadcast at most.
+READ, BROADCAST = 1 << 20, 32 << 20
 
 
 def digest_of(payload: bytes) -> str:
@@ -106,34 +106,57 @@ def digests(pages: DataFrame, id_col: str, uri_col: str, html_col: str) -> DataF
     return chosen.mapInArrow(run, "page_id long, uri string, html string, digest string, size long")
 
 
-def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", uri_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
-    """Write all pages to WARC files in `folder` and return the manifest (part, path, n_records, bytes).
-
-    Of pages with equal payloads of at least `least_bytes` bytes, the one with the smallest id is
-    the response and the others revisit it; pages with smaller payloads are all responses. Rows
-    that share that smallest id are all responses. Rows with a null id never are originals of
-    others, and are responses where no row with an id has their payload. A null html is an empty
-    payload, a null url an empty one. Other columns are ignored. An empty table writes no file.
+def deal(pages: DataFrame, id_col: str, uri_col: str, html_col: str, least_bytes: int, broadcast_bytes: int) -> DataFrame:
+    """(page_id, uri, html, size, digest, of_id, of_uri) of each record; of_id is null for responses, and html for revisits.
 
-    Headers (id, digest, url) are shuffled by digest and reduced to one original a digest with
-    map-side minima, so a payload that a third of all pages share is one row; revisits are then
-    joined to their originals without their payloads, which only responses carry on.
+    Headers (id, url, digest, size) are shuffled by digest and reduced to one original for each that several
+    have, with map-side minima, so a payload that a third of all pages share is one row. Revisits are made of
+    headers alone. Pages whose payload is theirs alone pass by: the table of originals is broadcast if it takes
+    `broadcast_bytes` at most; beyond that pages are joined by digest and id, so that a payload of
+    many pages is spread. Only where rows repeat an original whole are originals shuffled, to keep one of each.
     """
     hashed = digests(pages, id_col, uri_col, html_col)
-    headers = materialize(hashed.select("page_id", "uri", "digest").filter(F.col("size") >= least_bytes), "headers")
-    known = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "uri"))
-    # Most payloads stand alone and need no original, so what is joined to the pages is small.
-    shared = headers.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(known).alias("original")).filter("n > 1").select("digest", "original")
-    other = (F.col("size") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("original.page_id"))
-    dealt = hashed.join(shared, "digest", "left").select(
-        "page_id",
-        "uri",
-        F.when(~F.coalesce(other & F.col("original").isNotNull(), F.lit(False)), F.col("html")).alias("html"),
-        "size",
-        "digest",
-        F.when(other, F.col("original.page_id")).alias("of_id"),
-        F.when(other, F.col("original.uri")).alias("of_uri"),
-    )
+    headers = materialize(hashed.select("page_id", "uri", "digest", "size").filter(F.col("size") >= least_bytes).withColumn("row", F.monotonically_increasing_id()), "headers")
+    equal = headers.groupBy("digest", "page_id", "uri").agg(F.count(F.lit(1)).alias("m"), F.min("row").alias("row"))
+    known = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "uri", "row", "m"))
+    shared = materialize(equal.groupBy("digest").agg(F.sum("m").alias("n"), F.min(known).alias("original")).filter("n > 1 and original is not null").select("digest", "original"), "originals")
+    taken, repeated = shared.agg(F.sum(F.coalesce(F.octet_length("original.uri"), F.lit(0)) + 100), F.max("original.m")).first()
+    if (taken or 0) <= broadcast_bytes:
+        met = hashed.join(F.broadcast(shared), "digest", "left")
+        copies = headers.join(F.broadcast(shared), "digest")
+    else:
+        copies = headers.join(shared, "digest")
+        marks = copies.select(F.col("digest").alias("d"), F.col("page_id").alias("p"), "original").distinct()
+        met = hashed.join(marks, (F.col("digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("p")), "left").drop("d", "p")
+    alone = F.col("original").isNull() | (F.col("size") < least_bytes)
+    first = ~alone & F.col("page_id").eqNullSafe(F.col("original.page_id")) & F.col("uri").eqNullSafe(F.col("original.uri"))
+    whole = met.filter(alone | first)
+    if (repeated or 0) > 1:
+        once = met.filter(first & (F.col("original.m") > 1)).dropDuplicates(["digest"])
+        whole = met.filter(alone | (first & (F.col("original.m") == 1))).union(once)
+    none = F.lit(None)
+    whole = whole.select("page_id", "uri", "html", "size", "digest", none.cast("long").alias("of_id"), none.cast("string").alias("of_uri"))
+    again = copies.filter("row != original.row")
+    return whole.union(again.select("page_id", "uri", none.cast("string").alias("html"), "size", "digest", F.col("original.page_id").alias("of_id"), F.col("original.uri").alias("of_uri")))
+
+
+def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", uri_col: str = "url", html_col: str = "html", least_bytes: int = 0, broadcast_bytes: int = BROADCAST) -> DataFrame:
+    """Write all pages to WARC files in `folder` and return the manifest (part, path, n_records, bytes).
+
+    Of pages with equal payloads of at least `least_bytes` bytes, the one with the smallest id (then url) is
+    the response and the others revisit it, rows that repeat it too; pages with smaller payloads are all
+    responses. Rows with a null id never are originals of others, and are responses where no row with
+    an id has their payload. A null html is an empty payload, a null url an empty one. Other columns are
+    ignored. An empty table writes no file. Pages are read twice, for their headers and for the records.
+    """
+    with scratch(pages.sparkSession):
+        dealt = deal(pages, id_col, uri_col, html_col, least_bytes, broadcast_bytes)
+        _write(dealt, folder)
+    return pages.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
+
+
+def _write(dealt: DataFrame, folder: str) -> None:
+    """Each task writes its records to one file and gives a row of the manifest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, n, size = None, 0, 0
@@ -151,7 +174,6 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", uri_c
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([path]), pa.array([n]), pa.array([size])], ["part", "path", "n_records", "bytes"])
 
     dealt.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
-    return pages.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
@@ -197,11 +219,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
-h AS (SELECT *, sha1(t) AS x, min(page_id) OVER (PARTITION BY t) AS first FROM p),
+h AS (SELECT *, sha1(t) AS x, min(page_id) OVER (PARTITION BY t) AS first, row_number() OVER (PARTITION BY t ORDER BY page_id NULLS LAST) AS k FROM p),
 n AS (SELECT *, list_transform(range(41), lambda i: greatest(strpos('0123456789abcdef', substr(x || '0', i + 1, 1)) - 1, 0)) AS d FROM h)
 SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes,
        array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (((d[i * 5 // 4 + 1] * 16 + d[i * 5 // 4 + 2]) >> (3 - i * 5 % 4)) & 31) AS BIGINT), 1)), '') AS payload_digest,
-       CASE WHEN page_id IS NOT DISTINCT FROM coalesce(first, page_id) THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id IS NOT DISTINCT FROM coalesce(first, page_id) THEN NULL ELSE first END AS refers_to
+       CASE WHEN first IS NULL OR k = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN k > 1 THEN first END AS refers_to
 FROM n
 """
