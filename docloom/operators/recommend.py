@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from ..functions import rules as R
@@ -16,10 +18,10 @@ QUERY_BLOCK = 2_000
 
 
 def fit_scaler(hist: DataFrame, num_cols: list[str]) -> DataFrame:
-    """One row: mean and population deviation of each numeric column (c_mean, c_std; 0 acts as 1)."""
+    """One row: mean and population deviation of each numeric column (c_mean, c_std; 0 acts as 1, and a mean of nothing is 0)."""
     stats = [x for c in num_cols for x in (F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_std"))]
     row = hist.agg(*stats)
-    return row.select(*[x for c in num_cols for x in (f"{c}_mean", F.when(F.col(f"{c}_std") > 0, F.col(f"{c}_std")).otherwise(1.0).alias(f"{c}_std"))])
+    return row.select(*[x for c in num_cols for x in (F.coalesce(f"{c}_mean", F.lit(0.0)).alias(f"{c}_mean"), F.when(F.col(f"{c}_std") > 0, F.col(f"{c}_std")).otherwise(1.0).alias(f"{c}_std"))])
 
 
 def fit_categories(hist: DataFrame, cat_cols: list[str]) -> DataFrame:
@@ -55,8 +57,6 @@ def similarity(queries: DataFrame, hist: DataFrame, cat_cols: list[str], num_col
     """
     scaler = fit_scaler(hist, num_cols).first()
     known = _known(queries, hist, cat_cols)
-    made = []
-    held: list = []
 
     def z(c: str, value: float) -> float:
         return (float(value) - scaler[f"{c}_mean"]) / scaler[f"{c}_std"]
@@ -71,13 +71,7 @@ def similarity(queries: DataFrame, hist: DataFrame, cat_cols: list[str], num_col
         packed = queries.sparkSession.createDataFrame(rows, f"q {kind}, cats array<string>, nums array<double>, norm double")
         return _against(F.broadcast(packed), hist, cat_cols, num_cols, id_col, query_id, scaler)
 
-    for r in known.toLocalIterator():
-        held.append(r)
-        if len(held) == QUERY_BLOCK:
-            made.append(scan(held))
-            held = []
-    if held or not made:
-        made.append(scan(held))
+    made = [scan(block) for block in _blocks(known)] or [scan([])]
     return reduce(DataFrame.union, made)
 
 
@@ -107,6 +101,87 @@ def top_similar(scored: DataFrame, n: int = 5, id_col: str = "id", query_id: str
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n)
 
 
+def nearest(queries: DataFrame, hist: DataFrame, cat_cols: list[str], num_cols: list[str], id_col: str = "id", query_id: str = "query_id", n: int = 5) -> DataFrame:
+    """(query_id, id, similarity, rank): top_similar() of similarity(), without a row for each query and history row.
+
+    A block of queries is sent to the tasks, each of which keeps the n best of its part of the history for each
+    query; these few meet in the window that ranks them. History rows without some number are left out.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    spark, scaler = queries.sparkSession, fit_scaler(hist, num_cols).first()
+    key, number = queries.schema[query_id].dataType.simpleString(), hist.schema[id_col].dataType.simpleString()
+    kinds = to_arrow_type(queries.schema[query_id].dataType), to_arrow_type(hist.schema[id_col].dataType)
+    rows = hist.select(F.col(id_col).alias("id"), *[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(cat_cols)], *[((F.col(c) - F.lit(scaler[f"{c}_mean"])) / F.lit(scaler[f"{c}_std"])).cast("double").alias(f"z{i}") for i, c in enumerate(num_cols)]).dropna(subset=[f"z{i}" for i in range(len(num_cols))] or ["id"])
+
+    def scan(block: list) -> DataFrame:
+        asked = []
+        for r in block:
+            cats = [None if r[c] is None else str(r[c]) for c in cat_cols]
+            zs = [(float(r[c]) - scaler[f"{c}_mean"]) / scaler[f"{c}_std"] for c in num_cols]
+            asked.append((r[query_id], cats, zs, (sum(r[f"__k_{c}"] for c in cat_cols) + sum(v * v for v in zs)) ** 0.5))
+        sent = spark.sparkContext.broadcast(asked)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: list[tuple[np.ndarray, np.ndarray]] = []
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                ids = np.array(batch.column(0).to_pylist(), dtype=object if pa.types.is_string(batch.column(0).type) else None)
+                cats = [np.array(batch.column(1 + i).to_pylist(), dtype=object) for i in range(len(cat_cols))]
+                zs = [batch.column(1 + len(cat_cols) + i).to_numpy(zero_copy_only=False) for i in range(len(num_cols))]
+                norm = np.sqrt(float(len(cat_cols)) + sum(z * z for z in zs))
+                equal: dict[tuple[int, str], np.ndarray] = {}
+                for q, (_, mine, own, size) in enumerate(sent.value):
+                    dot = np.zeros(len(ids))
+                    for i, c in enumerate(mine):
+                        if c is not None:
+                            if (i, c) not in equal:
+                                equal[i, c] = (cats[i] == c).astype(float)
+                            dot = dot + equal[i, c]
+                    near = sum((z * v for z, v in zip(zs, own, strict=True)), np.zeros(len(ids)))
+                    base = norm * size
+                    score = np.divide(dot + near, base, out=np.zeros(len(ids)), where=base > 0)
+                    best = best or [(ids[:0], score[:0])] * len(sent.value)
+                    best[q] = _best(np.concatenate([best[q][0], ids]), np.concatenate([best[q][1], score]), n)
+            if best:
+                names = [q[0] for q, (found, _) in zip(sent.value, best, strict=True) for _ in found]
+                columns = [pa.array(names, kinds[0]), pa.array(np.concatenate([found for found, _ in best]), kinds[1]), pa.array(np.concatenate([score for _, score in best]))]
+                yield pa.RecordBatch.from_arrays(columns, ["q", "id", "similarity"])
+
+        return rows.mapInArrow(run, f"q {key}, id {number}, similarity double")
+
+    made = [scan(block) for block in _blocks(_known(queries, hist, cat_cols))]
+    if not made:
+        made = [spark.createDataFrame([], f"q {key}, id {number}, similarity double")]
+    return top_similar(reduce(DataFrame.union, made).select(F.col("q").alias(query_id), F.col("id").alias(id_col), "similarity"), n, id_col, query_id)
+
+
+def _best(ids, score, n: int):
+    """The n highest scores, of equal ones those with the highest ids."""
+    import numpy as np
+
+    if len(score) <= n:
+        return ids, score
+    least = np.partition(score, len(score) - n)[len(score) - n]
+    sure, level = np.flatnonzero(score > least), np.flatnonzero(score == least)
+    chosen = np.concatenate([sure, level[np.argsort(ids[level])[len(level) - (n - len(sure)) :]]])
+    return ids[chosen], score[chosen]
+
+
+def _blocks(queries: DataFrame) -> Iterator[list]:
+    """Queries in lists of QUERY_BLOCK; the driver holds one partition and one list at a time."""
+    held = []
+    for r in queries.toLocalIterator():
+        held.append(r)
+        if len(held) == QUERY_BLOCK:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
 def weighted_vote(top: DataFrame, label_col: str, query_id: str = "query_id") -> DataFrame:
     """(query_id, predicted, confidence): the label with the highest sum of similarities, ties by best rank."""
     votes = top.groupBy(query_id, label_col).agg(F.sum("similarity").alias("s"), F.min("rank").alias("r"))
@@ -115,13 +190,22 @@ def weighted_vote(top: DataFrame, label_col: str, query_id: str = "query_id") ->
 
 
 def recommend(queries: DataFrame, hist: DataFrame, cat_cols: list[str], num_cols: list[str], label_col: str, id_col: str = "id", query_id: str = "query_id", n: int = 5) -> DataFrame:
-    """(query_id, predicted, confidence, top, message): top is the n best rows, an array of structs in rank order."""
-    best = top_similar(similarity(queries, hist, cat_cols, num_cols, id_col, query_id), n, id_col, query_id)
+    """(query_id, predicted, confidence, top, message): top is the n best rows, an array of structs in rank order.
+    The vote is that of weighted_vote(), taken inside the row over those few."""
+    best = nearest(queries, hist, cat_cols, num_cols, id_col, query_id, n)
     shown = [c for c in dict.fromkeys([*cat_cols, *num_cols, label_col]) if c != id_col]
-    rows = best.join(hist.select(id_col, *shown), id_col)
     record = F.struct("rank", id_col, *shown, "similarity")
-    tops = rows.groupBy(query_id).agg(F.sort_array(F.collect_list(record)).alias("top"))
-    return weighted_vote(rows, label_col, query_id).join(tops, query_id).withColumn("message", F.lit(R.RECOMMENDATION))
+    tops = best.join(hist.select(id_col, *shown), id_col).groupBy(query_id).agg(F.sort_array(F.collect_list(record)).alias("top"))
+
+    def total(rows: Column) -> Column:
+        return F.aggregate(rows, F.lit(0.0), lambda s, r: s + r["similarity"])
+
+    def vote(top: Column, r: Column) -> Column:
+        return F.struct(total(F.filter(top, lambda x: x[label_col].eqNullSafe(r[label_col]))).alias("s"), (-r["rank"]).alias("r"), r[label_col].alias("label"))
+
+    voted = tops.withColumn("__v", F.array_max(F.transform("top", lambda r: vote(F.col("top"), r)))).withColumn("__t", total(F.col("top")))
+    confidence = F.col("__v.s") / F.when(F.col("__t") == 0, 1.0).otherwise(F.col("__t"))
+    return voted.select(query_id, F.col("__v.label").alias("predicted"), confidence.alias("confidence"), "top", F.lit(R.RECOMMENDATION).alias("message"))
 
 
 def knn_classify(queries: DataFrame, vectors: DataFrame, n: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:

@@ -442,8 +442,14 @@ _ADVICE = S.VOTED + ", t AS (SELECT query_id, string_agg(CAST(id AS VARCHAR), '
 
 @query("r4_top_similar", S.RECOMMENDED + " SELECT query_id, id, round(similarity, 6) AS similarity, rank FROM best")
 def _(spark, sf_dir):
+    return recommend.nearest(_asked(spark, sf_dir), _orders(spark, sf_dir), ["status", "month"], ["price"]).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("r3_similarity", S.RECOMMENDED + " SELECT query_id, count(*) AS n, round(sum(similarity), 4) AS total FROM sc GROUP BY query_id")
+def _(spark, sf_dir):
+    """Similarities of every query with every order, summed."""
     scored = recommend.similarity(_asked(spark, sf_dir), _orders(spark, sf_dir), ["status", "month"], ["price"], "id")
-    return recommend.top_similar(scored).withColumn("similarity", F.round("similarity", 6))
+    return scored.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("similarity"), 4).alias("total"))
 
 
 @query("r6_recommend", S.RECOMMENDED + _ADVICE)
