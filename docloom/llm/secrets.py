@@ -1,11 +1,13 @@
 """Secret scan: fixed patterns, and an assignment-aware lexer over source and configuration syntax.
 
-The lexer reads a text into (name, literal) pairs: `name = literal`, `name: literal`,
-`"name" => literal`, `<name>literal</name>`, `--name literal` and `#define name literal`, with
-quoted or bare literals, and quoted ones joined by +. A bare word on the right that is the name of an
-earlier constant stands for that constant, through any number of steps. A literal is reported when a
-name that it reaches, the one it is bound to or one that it is passed on to, is sensitive, and the
-name's weight and the literal's own look together reach a threshold.
+The lexer reads a text into (name, literal) pairs. Names are bound by `name = literal`, `name: literal`,
+`"name" => literal`, `name["key"] = literal`, `name.set("key", literal)`, `name(literal)`, `"name", literal`,
+`<name>literal</name>`, `--name literal`, `#define name literal` and YAML blocks and lists (`name: |`).
+Literals are quoted, also three times, bare, or lines of a block; quoted ones may be joined by +, a dot or
+nothing at all. A bare word on the right that is the name of a constant, an earlier one or else the first
+later one, stands for that constant, through any number of steps. A value, its parts joined, is
+reported part by part when a name that it reaches, the one it is bound to or one that it is passed on
+to, is sensitive, and the name's weight and the value's own look together reach a threshold.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
-#: A run of this many hex digits or more; the same matches as HEX with the shorter ones dropped.
+#: A run of that many hex digits or more; the same matches as HEX with the shorter ones dropped.
 _LONG_HEX = re.compile(r"[0-9a-f]{16,}")
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
@@ -36,25 +38,33 @@ SENSITIVE = {"password": 3.0, "passwd": 3.0, "pwd": 2.5, "passphrase": 3.0, "sec
 MILD = {"public": -2.0, "example": -2.0, "sample": -2.0, "placeholder": -3.0, "hash": -0.5, "id": -0.5, "name": -1.5, "url": -1.0, "path": -1.5, "file": -1.5, "length": -3.0, "type": -2.0, "count": -3.0}
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s|(?:your|my|the|some)[-_ ].*|change[-_]?me.*|(?:todo|none|null|nil|true|false|undefined|example|placeholder|password|secret|token|test|dummy|redacted)\d*)$")
 
-_NAME = r"[A-Za-z_$][\w$.-]{0,127}"
+# Names and other runs are taken whole (possessive), so no text makes the lexer go back over it.
+_NAME = r"[A-Za-z_$][\w$.-]*+"
 _BIND = re.compile(
     rf"""
     (?P<define>\#define[ \t]+)(?P<n1>{_NAME})[ \t]+(?=\S)
-  | (?P<flag>(?<![\w-])--)(?P<n2>[A-Za-z][\w-]{{0,127}})(?:[ \t]+|=)(?=["'A-Za-z0-9+/_])
-  | <(?P<n3>[A-Za-z_][\w.-]{{0,127}})>(?=[^<>\s])
-  | (?P<quote>["']?)(?<![\w$.-])(?P<n4>{_NAME})(?P=quote)(?:[ \t]*\])?[ \t]*(?::[ \t]*[\w.\[\]<>, ]{{1,40}}=|:=|=>|:|=)(?![=>:/])[ \t]*
+  | (?P<flag>(?<![\w-])--)(?P<n2>[A-Za-z][\w-]*+)(?:[ \t]+|=)(?=["'A-Za-z0-9+/_])
+  | <(?P<n3>[A-Za-z_][\w.-]*+)>(?=[^<>\s])
+  | (?P<quote>["']?)(?<![\w$.-])(?P<n4>{_NAME})(?P=quote)(?:[ \t]*\])?+(?:\[[^\[\]\n"']*+\])*+[ \t]*+
+    (?: (?: :[ \t]*+[\w.\[\]<>,\ ]++= | := | => | : | = )(?![=>:/])[ \t]*+(?:\([ \t]*+\n?[ \t]*+(?=["']))?+
+      | [(,][ \t]*+(?=["']) )
     """,
     re.ASCII | re.VERBOSE,
 )
-_QUOTED = re.compile(r"""(?:[rbuf]{0,2})("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)""", re.ASCII)
+_TRIPLE = re.compile(r"""(?:[rbuf]{0,2})(\"{3}|'{3})""", re.ASCII)
+_QUOTED = re.compile(r"""(?:[rbuf]{0,2})("(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`[^`\n]*+`)""", re.ASCII)
 #: A bare literal; = only as padding at its end, so that chains of assignments give short literals.
-_BARE = re.compile(r"[A-Za-z0-9+/_.@%~^&*!?$-]+={0,2}", re.ASCII)
-_PLUS = re.compile(r"[ \t]*\+[ \t]*(?=[rbuf]{0,2}[\"'])")
+_BARE = re.compile(r"[A-Za-z0-9+/_.@%~^&*!?$-]++={0,2}", re.ASCII)
+#: What may stand between the parts of one value: an operator, a line's end behind a backslash, or nothing but space.
+_JOIN = re.compile(r"(?:[ \t]*+(?:\+|\.)|[ \t]*+\\)?[ \t]*+(?:\n[ \t]*+)?(?=[rbuf]{0,2}[\"'])")
+#: The head of a YAML block (|, >, with signs), and of a list or block below a name with nothing behind it.
+_BLOCK = re.compile(r"[|>][+\-0-9]*+[ \t]*+(?=\n)")
+_LINE = re.compile(r"\n(?:[ \t]*+\n)*+([ \t]*+)(-[ \t]++)?([^\n]*+)")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _IDENTIFIER = re.compile(rf"{_NAME}$", re.ASCII)
 #: A literal is reported from this score on.
 THRESHOLD, LEAST_LITERAL = 4.0, 8
-_OPERATOR = re.compile(r"[=:]|--[A-Za-z]|#define|</")
+_OPERATOR = re.compile(r"""[=:]|--[A-Za-z]|#define|</|[(,][ \t]*+["']""")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -72,6 +82,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def name_weight(name: str) -> float:
     """How sensitive a name is: the sum over its parts, camel case and separators apart."""
     parts = [p.lower() for p in _PARTS.findall(name)]
+    parts = [p[:-1] if p[:-1] in SENSITIVE and p not in SENSITIVE else p for p in parts]  # tokens, keys
     pairs = [a + b for a, b in zip(parts, parts[1:], strict=False)]
     strong = sum(SENSITIVE.get(p, 0.0) for p in parts) + sum(SENSITIVE.get(p, 0.0) for p in pairs if p not in parts)
     return strong + (sum(MILD.get(p, 0.0) for p in parts) if strong else 0.0)
@@ -89,40 +100,127 @@ def literal_weight(value: str) -> float:
     return max(0.0, entropy - 2.0) + 0.5 * (kinds - 1) + (0.5 if len(value) >= 20 else 0.0)
 
 
-def bindings(text: str) -> Iterator[tuple[str, list[tuple[int, int, str]], str | None]]:
-    """(name, literals as (start, end, value), name on the right) of each assignment, in order."""
+Part = tuple[int, int, str]
+
+
+def _quoted(text: str, at: int) -> tuple[list[Part], int]:
+    """Quoted literals from there on that make one value, and where they end."""
+    parts: list[Part] = []
+    while True:
+        if t := _TRIPLE.match(text, at):
+            end = text.find(t[1], t.end())
+            if end < 0:
+                return parts, at
+            parts.append((t.end(), end, text[t.end() : end]))
+            at = end + 3
+        elif q := _QUOTED.match(text, at):
+            parts.append((q.start(1) + 1, q.end(1) - 1, q[1][1:-1]))
+            at = q.end()
+        else:
+            return parts, at
+        if not (more := _JOIN.match(text, at)):
+            return parts, at
+        at = more.end()
+
+
+def _indent(text: str, at: int) -> int:
+    """White space before the line that holds `at`."""
+    start = text.rfind("\n", 0, at) + 1
+    return len(text[start:at]) - len(text[start:at].lstrip(" \t"))
+
+
+def _block(text: str, at: int, base: int, listed: bool) -> list[list[Part]]:
+    """Values of the lines below that are indented further than `base`: one of all lines, or, of a list, one a line."""
+    values: list[list[Part]] = [] if listed else [[]]
+    while line := _LINE.match(text, at):
+        value = line[3].strip()
+        if not value or (listed and not line[2]) or len(line[1]) < base + (0 if listed else 1):
+            break
+        a = line.start(3) + line[3].index(value)
+        if listed:
+            quoted = _QUOTED.match(text, a)
+            values.append([(a + 1, quoted.end(1) - 1, quoted[1][1:-1])] if quoted and quoted.start(1) == a else [(a, a + len(value), value)])
+        else:
+            values[0].append((a, a + len(value), value))
+        at = line.end()
+    return [v for v in values if v]
+
+
+def bindings(text: str) -> Iterator[tuple[str, list[Part], str | None]]:
+    """(name, parts of its value as (start, end, text), name on the right) of each assignment, in order."""
     for m in _BIND.finditer(text):
         name, at = m["n1"] or m["n2"] or m["n3"] or m["n4"], m.end()
-        literals = []
-        while q := _QUOTED.match(text, at):
-            literals.append((q.start(1) + 1, q.end(1) - 1, q[1][1:-1]))
-            if not (plus := _PLUS.match(text, q.end())):
-                break
-            at = plus.end()
-        if literals:
-            yield name, literals, None
+        parts, _ = _quoted(text, at)
+        if parts:
+            yield name, parts, None
+        elif text[at - 1] in ",(":
+            continue
+        elif m["n4"] and text[at - 1 : at] in ":\t " and (head := _BLOCK.match(text, at)):
+            for value in _block(text, head.end(), _indent(text, m.start()), False):
+                yield name, value, None
+        elif m["n4"] and text[at : at + 1] == "\n" and ":" in m[0]:
+            for value in _block(text, at, _indent(text, m.start()), True):
+                yield name, value, None
         elif bare := _BARE.match(text, at):
             value = bare[0].rstrip(".!?")
             if value:
                 yield name, [(bare.start(), bare.start() + len(value), value)], value if _IDENTIFIER.match(value) else None
 
 
+class _Values:
+    """Values and the names that they reach: a name that stands for another's value joins it (union-find),
+    and a value keeps the heaviest weight of its names, however many there are."""
+
+    def __init__(self) -> None:
+        self.up: list[int] = []
+        self.weight: list[float] = []
+
+    def new(self, weight: float) -> int:
+        self.up.append(len(self.up))
+        self.weight.append(weight)
+        return len(self.up) - 1
+
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = i = self.up[self.up[i]]
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        i, j = self.root(i), self.root(j)
+        if i != j:
+            self.up[i] = j
+            self.weight[j] = max(self.weight[i], self.weight[j])
+
+
 def literal_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, str]]:
-    """(start, end, "literal") of literals that reach a sensitive name."""
+    """(start, end, "literal") of the parts of values that reach a sensitive name."""
     if not _OPERATOR.search(text):
         return []
-    constants: dict[str, dict[tuple[int, int], str]] = {}
-    reached: dict[tuple[int, int], tuple[str, float]] = {}
-    for name, literals, right in bindings(text):
-        passed = constants.get(right) if right is not None else None
-        held = passed if passed is not None else {(a, b): v for a, b, v in literals}
-        weight = name_weight(name)
-        constants[name] = held
-        for place, value in held.items():
-            if weight > reached.get(place, ("", -math.inf))[1]:
-                reached[place] = (value, weight)
-    # A value joined from several literals looks as its parts do; each is judged by itself.
-    return sorted((a, b, "literal") for (a, b), (value, weight) in reached.items() if weight > 0 and weight + literal_weight(value) >= threshold)
+    values, held = _Values(), []
+    now: dict[str, int] = {}
+    first: dict[str, int] = {}
+    waiting: list[tuple[int, str]] = []
+    for name, parts, right in bindings(text):
+        i = values.new(name_weight(name))
+        if right is not None and right in now:
+            values.join(i, now[right])
+        else:
+            held.append((i, parts))
+            if right is not None:
+                waiting.append((i, right))
+        now[name] = i
+        first.setdefault(name, i)
+    names = set()
+    for i, right in waiting:
+        if right in first and values.root(first[right]) != values.root(i):
+            values.join(i, first[right])
+            names.add(i)
+    found = set()
+    for i, parts in held:
+        weight = values.weight[values.root(i)]
+        if i not in names and weight > 0 and weight + literal_weight("".join(v for _, _, v in parts)) >= threshold:
+            found.update((a, b, "literal") for a, b, _ in parts if b > a)
+    return sorted(found)
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
