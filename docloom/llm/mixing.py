@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import WORD, global_rank, materialize
+from .common import WORD, global_rank, materialize, scratch
 
 #: Weights of the sources in order, repeating; share of all sizes that the mix has; most copies of a document.
 WEIGHTS, TOTAL, MOST = (5, 2, 1), 1.5, 2.0
@@ -169,10 +169,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     input gives equal results, whatever the partitioning.
 
     Text is read once; what is shuffled are ids, sizes and sources. Sources meet in one row each,
-    joined back by source; no task holds more than a bucket of documents.
+    joined back by source; no task holds more than a bucket of documents. The tables of the rounds go
+    when the result, a table too, is written.
     """
-    sized = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sized")
-    return _mixed(sized, weights, total, most, seed).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", F.col("taken_copies").alias("copies"))
+    with scratch(docs.sparkSession):
+        sized = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sized")
+        found = _mixed(sized, weights, total, most, seed).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", F.col("taken_copies").alias("copies"))
+        return materialize(found, "mixed", keep=True)
 
 
 def _mixed(sized: DataFrame, weights: Sequence[float], total: float, most: float, seed: int) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, scratch
 from .components import connected_components
 from .gray_index import gray_rank, link_all
 
@@ -160,13 +160,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null texts count as empty. Null ids never name a component unless it has no other; repeated
     ids are separate rows of equal standing. Other columns are ignored; an empty table gives an
-    empty result. Fingerprints and links stay in tables; the driver sees counts only.
+    empty result. Fingerprints and links stay in tables, which go when the result, a table too, is
+    written; the driver sees counts only.
     """
-    prints = materialize(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    rooted = _grouped(prints, limit)
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return prints.join(of, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    with scratch(docs.sparkSession):
+        prints = materialize(fingerprints(docs, id_col, text_col, size), "fingerprints")
+        rooted = _grouped(prints, limit)
+        named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+        of = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
+        found = prints.join(of, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        return materialize(found, "groups", keep=True)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, limit: int = 4) -> DataFrame:
