@@ -123,6 +123,15 @@ def nearest(queries: DataFrame, hist: DataFrame, cat_cols: list[str], num_cols:
             asked.append((r[query_id], cats, zs, (sum(r[f"__k_{c}"] for c in cat_cols) + sum(v * v for v in zs)) ** 0.5))
         sent = spark.sparkContext.broadcast(asked)
 
+        def highest(ids: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The n highest scores, of equal ones those with the highest ids."""
+            if len(score) <= n:
+                return ids, score
+            least = np.partition(score, len(score) - n)[len(score) - n]
+            sure, level = np.flatnonzero(score > least), np.flatnonzero(score == least)
+            chosen = np.concatenate([sure, level[np.argsort(ids[level])[len(level) - (n - len(sure)) :]]])
+            return ids[chosen], score[chosen]
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best: list[tuple[np.ndarray, np.ndarray]] = []
             for batch in batches:
@@ -144,7 +153,7 @@ def nearest(queries: DataFrame, hist: DataFrame, cat_cols: list[str], num_cols:
                     base = norm * size
                     score = np.divide(dot + near, base, out=np.zeros(len(ids)), where=base > 0)
                     best = best or [(ids[:0], score[:0])] * len(sent.value)
-                    best[q] = _best(np.concatenate([best[q][0], ids]), np.concatenate([best[q][1], score]), n)
+                    best[q] = highest(np.concatenate([best[q][0], ids]), np.concatenate([best[q][1], score]))
             if best:
                 names = [q[0] for q, (found, _) in zip(sent.value, best, strict=True) for _ in found]
                 columns = [pa.array(names, kinds[0]), pa.array(np.concatenate([found for found, _ in best]), kinds[1]), pa.array(np.concatenate([score for _, score in best]))]
@@ -158,18 +167,6 @@ def nearest(queries: DataFrame, hist: DataFrame, cat_cols: list[str], num_cols:
     return top_similar(reduce(DataFrame.union, made).select(F.col("q").alias(query_id), F.col("id").alias(id_col), "similarity"), n, id_col, query_id)
 
 
-def _best(ids, score, n: int):
-    """The n highest scores, of equal ones those with the highest ids."""
-    import numpy as np
-
-    if len(score) <= n:
-        return ids, score
-    least = np.partition(score, len(score) - n)[len(score) - n]
-    sure, level = np.flatnonzero(score > least), np.flatnonzero(score == least)
-    chosen = np.concatenate([sure, level[np.argsort(ids[level])[len(level) - (n - len(sure)) :]]])
-    return ids[chosen], score[chosen]
-
-
 def _blocks(queries: DataFrame) -> Iterator[list]:
     """Queries in lists of QUERY_BLOCK; the driver holds one partition and one list at a time."""
     held = []
