@@ -74,6 +74,8 @@ def tidy(body: str) -> str:
 def _parse(text: str) -> tuple[list[tuple[str, list[int]]], list[tuple[int, str]], list[list[str]]]:
     """(segments, quotes, pieces of each quote). Segments are runs of lines as they stand, with the places in the list of
     quotes that a run of quoted lines has: it goes if one of them has an origin. Own lines have none."""
+    if ">" not in text:
+        return [(text, [])], [], []
     segments: list[tuple[str, list[int]]] = []
     quotes: list[tuple[int, str]] = []
     parts: list[list[str]] = []
