@@ -1,68 +1,20 @@
-"""Shared folder, materialised tables, files in any store, and global ranks."""
+"""Materialised tables, files in any store, and global ranks."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import fresh_path
+from ..scratch import delete, discard, materialize, scratch  # noqa: F401
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Paths of the tables that materialize() wrote inside each open scratch(), outermost first.
-_SCRATCH: list[list[str]] = []
-
-
-def materialize(df: DataFrame, name: str, keep: bool = False, instead_of: DataFrame | None = None) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends there.
-
-    Unlike cached or locally checkpointed data the files outlive any executor. The table goes when
-    the innermost scratch() ends, or, if it is to be kept, the one around that; `instead_of` is an earlier such table
-    that nothing needs once this one is written: it goes at once.
-    """
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    if len(_SCRATCH) > keep:
-        _SCRATCH[-1 - keep].append(path)
-    if instead_of is not None:
-        discard(instead_of)
-    made = spark.read.schema(df.schema).parquet(path)
-    made._docloom_path = path
-    return made
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table of materialize()."""
-    delete(df.sparkSession, df._docloom_path)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Delete a folder in whatever store it is."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables that are materialised inside and not kept are deleted at the end: what is made of them must be
-    written, or have come to the driver, by then."""
-    made: list[str] = []
-    _SCRATCH.append(made)
-    try:
-        yield
-    finally:
-        _SCRATCH.pop()
-        for path in made:
-            delete(spark, path)
-
-
 def hash_fraction(total: int, wanted: int) -> float:
     """The share of rows that gives about `wanted` of `total` rows, 1 at most."""
     return 1.0 if total <= wanted else wanted / total

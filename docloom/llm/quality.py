@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize, scratch
+
 #: ASCII white space, as a class of Java's regular expressions.
 SPACE = r"\x20\x09-\x0D"
 #: Least words of a document, most of its words (in hundredths) in repeated windows, symbols that are counted.
@@ -99,13 +101,13 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     Measuring is narrow. By host there are only map-side sums; verdicts, one row a host, are
     joined back to the measures, without texts.
     """
-    from .common import materialize
-
-    measured = materialize(measures(docs, id_col, text_col, host_col), "measures")
-    rates = host_rates(measured)
-    bad = rates.filter(F.col("rate") >= host_rate).select(F.col("host").alias("bad_host"), F.lit(True).alias("bad"))
-    judged = measured.join(bad, F.col("host").eqNullSafe(F.col("bad_host")), "left")
-    return judged.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("bad").isNull()).alias("kept"))
+    with scratch(docs.sparkSession):
+        measured = materialize(measures(docs, id_col, text_col, host_col), "measures")
+        rates = host_rates(measured)
+        bad = rates.filter(F.col("rate") >= host_rate).select(F.col("host").alias("bad_host"), F.lit(True).alias("bad"))
+        judged = measured.join(bad, F.col("host").eqNullSafe(F.col("bad_host")), "left")
+        found = judged.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("bad").isNull()).alias("kept"))
+        return materialize(found, "judged", keep=True)
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
