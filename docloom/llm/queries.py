@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .chat import op4_chat
 from .decontaminate import op1_decontaminate
+from .merkle import op11_merkle_manifest
 from .mixing import op10_mixing
 from .quality import OP6_SQL, op6_quality
 from .secrets import op9_secrets
+from .shards import op13_sharding
 from .simhash import op7_simhash
 from .token_files import op3_token_files
 from .tokens import op2_token_counts
@@ -24,5 +26,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_secrets": op9_secrets,
     "op10_mixing": op10_mixing,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_sharding": op13_sharding,
 }
 ORACLE: dict[str, str] = {"op6_quality": OP6_SQL, "op8_warc": OP8_SQL}
