@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import op4_chat
 from .decontaminate import op1_decontaminate
+from .divergence import OP12_SQL, op12_source_divergence
 from .merkle import op11_merkle_manifest
 from .mixing import op10_mixing
 from .quality import OP6_SQL, op6_quality
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_mixing": op10_mixing,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_source_divergence": op12_source_divergence,
     "op13_sharding": op13_sharding,
 }
-ORACLE: dict[str, str] = {"op6_quality": OP6_SQL, "op8_warc": OP8_SQL}
+ORACLE: dict[str, str] = {"op6_quality": OP6_SQL, "op8_warc": OP8_SQL, "op12_source_divergence": OP12_SQL}
