@@ -181,3 +181,32 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = manifest(docs, altered={"text": F.when(changed, lowered).otherwise(F.col("text"))})
     # The fold and the proof's digest are worked out once a row, however often the result names them.
     return made.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", proof_digest(F.col("steps")).alias("proof_sha256"), folded(F.col("altered"), F.col("steps")).alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE f AS (SELECT row_number() OVER () AS r, doc_id, source, lang, n_chars, text, CAST(doc_id AS VARCHAR) AS k FROM documents),
+d AS (SELECT r, doc_id, source, k,
+  '' || CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(k) || ':' || k END || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END
+     || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars END AS head,
+  CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS body, translate(CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+  CASE WHEN k IS NULL THEN false ELSE xor(list_reduce(list_transform(range(1, length(k) + 1), lambda i: CAST(ascii(substr(k, CAST(i AS INTEGER), 1)) AS BIGINT)),
+    lambda c, b: list_reduce(range(8), lambda x, j: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, xor(c, b)), CAST(4294967295 AS BIGINT)), 4294967295) % 5 = 0 END AS changed FROM f),
+h AS (SELECT r, doc_id, source, sha256(head || body) AS leaf, CASE WHEN changed THEN sha256(head || low) ELSE sha256(head || body) END AS other FROM d),
+a AS (SELECT *, CAST(dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS BIGINT) AS tree, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS BIGINT) AS i, CAST(count(*) OVER (PARTITION BY source) AS BIGINT) AS n FROM h),
+lv AS (SELECT tree, 0 AS l, i, leaf AS h, n FROM a
+  UNION ALL SELECT tree, l + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)), (n + 15) // 16 FROM lv WHERE n > 1 GROUP BY tree, l, n, i // 16),
+tp AS (SELECT CAST(-1 AS BIGINT) AS tree, 0 AS l, tree AS i, h, CAST((SELECT count(DISTINCT tree) FROM a) AS BIGINT) AS n FROM lv WHERE n = 1
+  UNION ALL SELECT tree, l + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)), (n + 15) // 16 FROM tp WHERE n > 1 GROUP BY tree, l, n, i // 16),
+nodes AS (SELECT * FROM lv UNION ALL SELECT * FROM tp),
+s AS (SELECT tree, l, i, n, h,
+  CASE WHEN n > 1 THEN coalesce(string_agg(h, '') OVER (PARTITION BY tree, l, i // 16 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') ELSE '' END AS b,
+  CASE WHEN n > 1 THEN coalesce(string_agg(h, '') OVER (PARTITION BY tree, l, i // 16 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') ELSE '' END AS e FROM nodes),
+w AS (SELECT r, tree, 0 AS l, i, other AS made, '' AS proof FROM a
+  UNION ALL SELECT w.r, CASE WHEN s.n > 1 THEN w.tree ELSE -1 END, CASE WHEN s.n > 1 THEN w.l + 1 ELSE 0 END, CASE WHEN s.n > 1 THEN w.i // 16 ELSE w.tree END,
+    CASE WHEN s.n > 1 THEN sha256(s.b || w.made || s.e) ELSE w.made END, w.proof || s.b || s.e
+  FROM w JOIN s ON w.tree = s.tree AND w.l = s.l AND w.i = s.i WHERE s.n > 1 OR w.tree >= 0),
+root AS (SELECT h AS root FROM tp WHERE n = 1),
+fin AS (SELECT w.r, w.made, w.proof FROM w JOIN tp ON w.tree = -1 AND tp.l = w.l AND tp.i = w.i AND tp.n = 1)
+SELECT a.doc_id, a.leaf, lv.h AS subroot, root.root, sha256(fin.proof) AS proof_sha256, fin.made AS folded_root, fin.made = root.root AS verified
+FROM a JOIN fin ON a.r = fin.r JOIN lv ON lv.tree = a.tree AND lv.n = 1 CROSS JOIN root
+"""

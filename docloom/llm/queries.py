@@ -5,7 +5,7 @@ from __future__ import annotations
 from .chat import op4_chat
 from .decontaminate import op1_decontaminate
 from .divergence import OP12_SQL, op12_source_divergence
-from .merkle import op11_merkle_manifest
+from .merkle import OP11_SQL, op11_merkle_manifest
 from .mixing import op10_mixing
 from .quality import OP6_SQL, op6_quality
 from .secrets import op9_secrets
@@ -31,4 +31,4 @@ QUERIES = {
     "op12_source_divergence": op12_source_divergence,
     "op13_sharding": op13_sharding,
 }
-ORACLE: dict[str, str] = {"op6_quality": OP6_SQL, "op8_warc": OP8_SQL, "op12_source_divergence": OP12_SQL}
+ORACLE: dict[str, str] = {"op6_quality": OP6_SQL, "op8_warc": OP8_SQL, "op11_merkle_manifest": OP11_SQL, "op12_source_divergence": OP12_SQL}
