@@ -19,8 +19,8 @@ from ..functions.text import SPACES
 from .common import global_rank, materialize, scratch
 
 _QUOTE = re.compile(r"[ \t]{0,3}((?:>[ \t]?)+)(.*)", re.DOTALL)
-#: A line that introduces a quote, as mail programs write it: dropped if a quote follows.
-_SAID = re.compile(r"(?i)\s*+(?:on\b.*\bwrote|am\b.*\bschrieb\b.*|le\b.*\ba écrit|el\b.*\bescribió|.+\b(?:wrote|said|writes))\s*+:\s*+$")
+#: A line that introduces a quote, as mail programs write it, without its colon: dropped if a quote follows.
+_SAID = re.compile(r"(?i)on\b.*\bwrote$|am\b.*?\bschrieb\b|le\b.*\ba écrit$|el\b.*\bescribió$|.+\b(?:wrote|said|writes)$")
 _SPACE = re.compile(r"\s+")
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -28,6 +28,12 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 PARSED = "conv_id long, turn long, role string, n_quotes int, segments array<struct<text:string,places:array<int>>>, own array<long>, pieces array<struct<level:int,place:int,hash:long,length:int>>"
 
 
+def introduces(line: str) -> bool:
+    """True for a line that ends with a colon and says who wrote what follows."""
+    line = line.strip()
+    return line.endswith(":") and bool(_SAID.match(line[:-1].rstrip()))
+
+
 def normal(text: str) -> str:
     """What survives re-wrapping and re-typing: case-folded words with single spaces."""
     return _SPACE.sub(" ", text).strip().casefold()
@@ -101,7 +107,7 @@ def _parse(text: str) -> tuple[list[tuple[str, list[int]]], list[tuple[int, str]
         end = len(own)
         while end and not own[end - 1].strip():
             end -= 1
-        said = own[end - 1 :] if end and runs and _SAID.match(own[end - 1]) else []
+        said = own[end - 1 :] if end and runs and introduces(own[end - 1]) else []
         del own[len(own) - len(said) :]
         close_own()
         if said:

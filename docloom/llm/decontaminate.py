@@ -10,8 +10,9 @@ distance over whole words, so that hashes decide nothing.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
 
 import numpy as np
@@ -22,10 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .tokens import kept
+from .common import materialize
 
 #: Share of an item's words that may differ (a similarity of 0.8 or more), and bytes of item text that one pass over the documents takes.
 TOLERANCE, BLOCK_BYTES = 0.2, 16_000_000
+#: Blocks whose matchers (about 63 MB each) a worker keeps at once.
+TOGETHER = 3
 
 #: Bits of the map that tells whether some piece has such a hash, and items whose masks a worker keeps.
 MAP_BITS, MASKS = 22, 1024
@@ -116,38 +119,40 @@ class Matcher:
             masks[w] |= 1 << i
         return dict(masks)
 
-    def hits(self, words: list[str]) -> dict[int, np.ndarray]:
-        """For each item with a piece in the text, in order, where the item would begin."""
-        owners, begins = [], []
+    def hits(self, words: list[str]) -> dict[int, list[tuple[np.ndarray, int]]]:
+        """For each item with a piece in the text the places of its pieces there, with the piece's offset in the item.
+
+        Equal pieces of many items share one array of places, so memory grows with the places and the items, not with their product.
+        """
+        found: dict[int, list[tuple[np.ndarray, int]]] = defaultdict(list)
         for k, run in grams(words, self.longest):
             if k not in self.pieces:
                 continue
             there, hashes, owner, offset = self.pieces[k]
             at = np.flatnonzero(there[run >> np.uint64(64 - MAP_BITS)])
             low, high = np.searchsorted(hashes, run[at]), np.searchsorted(hashes, run[at], "right")
-            n = high - low
-            if not n.sum():
-                continue
-            place = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-            owners.append(owner[place])
-            begins.append(np.repeat(at, n) - offset[place])
-        if not owners:
-            return {}
-        owner, begin = np.concatenate(owners), np.concatenate(begins)
-        order = np.lexsort((begin, owner))
-        owner, begin = owner[order], begin[order]
-        cuts = np.flatnonzero(owner[1:] != owner[:-1]) + 1
-        return {int(owner[a]): np.unique(begin[a:b]) for a, b in zip([0, *cuts], [*cuts, len(owner)], strict=True)}
+            at, low, high = at[high > low], low[high > low], high[high > low]
+            order = np.argsort(low, kind="stable")
+            at, low, high = at[order], low[order], high[order]
+            cuts = np.flatnonzero(np.diff(low, prepend=-1))
+            for a, b in zip(cuts, [*cuts[1:], len(at)], strict=True):
+                for i in range(low[a], high[a]):
+                    found[int(owner[i])].append((at[a:b], int(offset[i])))
+        return found
 
     def find(self, text: str) -> list[tuple[object, int, int, int, int]]:
         """(item, distance, budget, first word of the stretch, item words) for each item found in the text, its best place only."""
         if not self.pieces:
             return []
         words = words_of(text)
-        found = []
-        for item, begins in self.hits(words).items():
+        found, there = [], None
+        for item, pieces in sorted(self.hits(words).items()):
             number, _, m, budget = self.items[item]
-            best = None
+            there = set(words) if there is None else there
+            # Each word of the item that the text doesn't have at all is an edit.
+            if sum(bits.bit_count() for w, bits in self.masks(item).items() if w not in there) > budget:
+                continue
+            begins, best = np.unique(np.concatenate([at - offset for at, offset in pieces])), None
             for a, b in merged(begins - budget, begins + m + budget):
                 a = max(a, 0)
                 distance, last = best_place(self.masks(item), m, words[a:b])
@@ -170,26 +175,40 @@ def blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> It
     """The test items in lists of bounded size; the driver holds one partition and one list at a time."""
     held, size = [], 0
     for number, text in items.select(id_col, text_col).toLocalIterator():
-        if held and size + len(text or "") > block_bytes:
+        more = len((text or "").encode())
+        if held and size + more > block_bytes:
             yield held
             held, size = [], 0
         held.append((number, text))
-        size += len(text or "")
+        size += more
     if held:
         yield held
 
 
 def _matchers(docs: DataFrame, items: DataFrame, item_id: str, item_text: str, tolerance: float, block_bytes: int) -> list:
     """For each block of items, a function that gives a worker's matcher. The block is sent as a broadcast of bounded size."""
-    import uuid
-
     made = []
     for block in blocks(items, item_id, item_text, block_bytes):
-        sent, key = docs.sparkSession.sparkContext.broadcast(block), ("match", uuid.uuid4().hex)
-        made.append(lambda sent=sent, key=key: kept(key, lambda: Matcher(sent.value, tolerance)))
+        sent, key = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
+        made.append(lambda sent=sent, key=key: _held(key, lambda: Matcher(sent.value, tolerance)))
     return made
 
 
+#: Matchers that a worker keeps, the latest used last.
+_MATCHERS: dict[str, Matcher] = {}
+
+
+def _held(key: str, make: Callable[[], Matcher]) -> Matcher:
+    """A worker's matcher of a block; it keeps those of TOGETHER blocks."""
+    found = _MATCHERS.pop(key, None)
+    if found is None:
+        while len(_MATCHERS) >= TOGETHER:
+            del _MATCHERS[next(iter(_MATCHERS))]
+        found = make()
+    _MATCHERS[key] = found
+    return found
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", tolerance: float = TOLERANCE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each document and test item found in it: (id, item_id, distance, budget, start_word, item_words).
 
@@ -224,17 +243,25 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", tolerance: float = TOLERANCE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents, all columns, in which no test item is found; null and empty texts stay. One narrow filter for each block of items."""
-    def clean(matcher):
+    """The documents, all columns, in which no test item is found; null and empty texts stay.
+
+    One narrow filter for each TOGETHER blocks of items; between such filters the documents left are a table, so a
+    worker never holds more matchers at once.
+    """
+    def clean(matchers):
         @F.pandas_udf("boolean")
         def holds(texts: pd.Series) -> pd.Series:
-            match = matcher()
-            return pd.Series([not match.find(t or "") for t in texts], dtype="bool")
+            fine = np.ones(len(texts), np.bool_)
+            for matcher in matchers:
+                match = matcher()
+                fine[fine] = [not match.find(t or "") for t in texts[fine]]
+            return pd.Series(fine)
 
         return holds(F.col(text_col))
 
-    for m in _matchers(docs, items, item_id, item_text, tolerance, block_bytes):
-        docs = docs.filter(clean(m))
+    made = _matchers(docs, items, item_id, item_text, tolerance, block_bytes)
+    for i in range(0, len(made), TOGETHER):
+        docs = (materialize(docs, "without-leaks") if i else docs).filter(clean(made[i : i + TOGETHER]))
     return docs
 
 

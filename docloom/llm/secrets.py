@@ -57,9 +57,10 @@ _QUOTED = re.compile(r"""(?:[rbuf]{0,2})("(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*
 _BARE = re.compile(r"[A-Za-z0-9+/_.@%~^&*!?$-]++={0,2}", re.ASCII)
 #: What may stand between the parts of one value: an operator, a line's end behind a backslash, or nothing but space.
 _JOIN = re.compile(r"(?:[ \t]*+(?:\+|\.)|[ \t]*+\\)?[ \t]*+(?:\n[ \t]*+)?(?=[rbuf]{0,2}[\"'])")
-#: The head of a YAML block (|, >, with signs), and of a list or block below a name with nothing behind it.
+#: The head of a YAML block (|, >, with signs); how lines end that have a block, or a list, below; the dashes of a list's lines.
 _BLOCK = re.compile(r"[|>][+\-0-9]*+[ \t]*+(?=\n)")
-_LINE = re.compile(r"\n(?:[ \t]*+\n)*+([ \t]*+)(-[ \t]++)?([^\n]*+)")
+_HEADS_BLOCK = re.compile(r"(?::[ \t]*+|=[ \t]++)[|>][+\-0-9]*+$")
+_DASHES = re.compile(r"(?:-[ \t]++)*+")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _IDENTIFIER = re.compile(rf"{_NAME}$", re.ASCII)
 #: A literal is reported from this score on.
@@ -123,31 +124,50 @@ def _quoted(text: str, at: int) -> tuple[list[Part], int]:
         at = more.end()
 
 
-def _indent(text: str, at: int) -> int:
-    """White space before the line that holds `at`."""
-    start = text.rfind("\n", 0, at) + 1
-    return len(text[start:at]) - len(text[start:at].lstrip(" \t"))
+def _blocks(text: str) -> dict[int, list[list[Part]]]:
+    """Values of the lines below a key, by the end of the key's line: one of all lines of a block, or of a list one a line.
 
-
-def _block(text: str, at: int, base: int, listed: bool) -> list[list[Part]]:
-    """Values of the lines below that are indented further than `base`: one of all lines, or, of a list, one a line."""
-    values: list[list[Part]] = [] if listed else [[]]
-    while line := _LINE.match(text, at):
-        value = line[3].strip()
-        if not value or (listed and not line[2]) or len(line[1]) < base + (0 if listed else 1):
-            break
-        a = line.start(3) + line[3].index(value)
-        if listed:
-            quoted = _QUOTED.match(text, a)
-            values.append([(a + 1, quoted.end(1) - 1, quoted[1][1:-1])] if quoted and quoted.start(1) == a else [(a, a + len(value), value)])
-        else:
-            values[0].append((a, a + len(value), value))
-        at = line.end()
-    return [v for v in values if v]
+    Lines are walked once, with the lists that are open above them in a stack. A line of a block is indented further
+    than its key and belongs to nothing else; a line of a list belongs to the innermost key that isn't indented
+    further, a key behind a dash being as far in as its name. Every other line ends the lists.
+    """
+    found: dict[int, list[list[Part]]] = {}
+    lists: list[tuple[int, int]] = []
+    block: tuple[int, int] | None = None
+    start = 0
+    for line in text.split("\n"):
+        end = start + len(line)
+        body = line.strip()
+        if body:
+            at = start + line.index(body)
+            indent = len(line) - len(line.lstrip(" \t"))
+            if block and indent > block[0]:
+                found[block[1]][0].append((at, at + len(body), body))
+            else:
+                block = None
+                dashes = _DASHES.match(line, indent).end() - indent
+                value = line[indent + dashes :].strip()
+                if not dashes or not value:
+                    lists = []
+                while lists and indent < lists[-1][0]:
+                    lists.pop()
+                if lists:
+                    at = start + line.index(value, indent + dashes)
+                    quoted = _QUOTED.match(text, at)
+                    found[lists[-1][1]].append([(at + 1, quoted.end(1) - 1, quoted[1][1:-1])] if quoted and quoted.start(1) == at else [(at, at + len(value), value)])
+                if body.endswith(":"):
+                    lists.append((indent + dashes, end))
+                    found[end] = []
+                elif _HEADS_BLOCK.search(body[-12:]):
+                    block = (indent + dashes, end)
+                    found[end] = [[]]
+        start = end + 1
+    return found
 
 
 def bindings(text: str) -> Iterator[tuple[str, list[Part], str | None]]:
     """(name, parts of its value as (start, end, text), name on the right) of each assignment, in order."""
+    blocks: dict[int, list[list[Part]]] | None = None
     for m in _BIND.finditer(text):
         name, at = m["n1"] or m["n2"] or m["n3"] or m["n4"], m.end()
         parts, _ = _quoted(text, at)
@@ -155,12 +175,11 @@ def bindings(text: str) -> Iterator[tuple[str, list[Part], str | None]]:
             yield name, parts, None
         elif text[at - 1] in ",(":
             continue
-        elif m["n4"] and text[at - 1 : at] in ":\t " and (head := _BLOCK.match(text, at)):
-            for value in _block(text, head.end(), _indent(text, m.start()), False):
-                yield name, value, None
-        elif m["n4"] and text[at : at + 1] == "\n" and ":" in m[0]:
-            for value in _block(text, at, _indent(text, m.start()), True):
-                yield name, value, None
+        elif m["n4"] and ((head := _BLOCK.match(text, at)) and text[at - 1 : at] in ":\t " or text[at : at + 1] == "\n" and ":" in m[0]):
+            blocks = _blocks(text) if blocks is None else blocks
+            for value in blocks.get(head.end() if head else at, []):
+                if value:
+                    yield name, value, None
         elif bare := _BARE.match(text, at):
             value = bare[0].rstrip(".!?")
             if value:

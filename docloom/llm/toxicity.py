@@ -41,20 +41,19 @@ _LOOKALIKE = str.maketrans(LOOKALIKES)
 _SIGN = str.maketrans(SIGNS)
 #: A stretch of letters, digits and letter-like signs that holds both a letter and a sign in letter's place.
 _MIXED = re.compile(r"(?<![\w@$!|€])(?=[\w@$!|€]*[^\W\d_])[\w@$!|€]*[0134578@$!|€][\w@$!|€]*")
-_END_SIGNS = re.compile(r"[!|]+$")
 _GAP = re.compile(r"[\W\d_]+")
 _ZERO_WIDTH = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]")
 _ACCENT = re.compile("[\u0300-\u036f]+")
-#: Letters with single marks between them, among them a run of one or two letters, as in i.d.iot.
-_PARTED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_]++[.\-_*·])++[^\W\d_]++")
+#: Letters with single marks between them, among them a run of one or two letters, as in i.d.iot; a run is taken
+#: whole, also one that ends in a mark, which doesn't count, so that nothing is looked at twice.
+_PARTED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_]++[.\-_*·])++[^\W\d_]*+")
 _MARK = re.compile(r"[.\-_*·]")
 
 
 def _unmix(found: re.Match) -> str:
     """Signs in letters' places as letters; signs at the end, as in 'no!!', stay."""
     word = found[0]
-    end = _END_SIGNS.search(word)
-    body = word[: end.start()] if end else word
+    body = word.rstrip("!|")
     return body.translate(_SIGN) + word[len(body) :]
 
 
@@ -66,7 +65,7 @@ def fold(text: str) -> str:
     else:
         text = text.lower()
     text = _MIXED.sub(_unmix, text)
-    whole = [_MARK.sub("", p) for p in _PARTED.findall(text) if min(map(len, _MARK.split(p))) <= 2]
+    whole = [_MARK.sub("", p) for p in _PARTED.findall(text) if p[-1] not in ".-_*·" and min(map(len, _MARK.split(p))) <= 2]
     return f" {' '.join([_GAP.sub(' ', text).strip(), *whole]).strip()} "
 
 
