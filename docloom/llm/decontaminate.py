@@ -132,6 +132,8 @@ class Matcher:
             at = np.flatnonzero(there[run >> np.uint64(64 - MAP_BITS)])
             low, high = np.searchsorted(hashes, run[at]), np.searchsorted(hashes, run[at], "right")
             at, low, high = at[high > low], low[high > low], high[high > low]
+            if not len(at):
+                continue
             order = np.argsort(low, kind="stable")
             at, low, high = at[order], low[order], high[order]
             cuts = np.flatnonzero(np.diff(low, prepend=-1))
