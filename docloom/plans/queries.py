@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
-from ..operators import classify, compare, entities, explode, recommend, stats
+from ..operators import classify, compare, entities, explode, minhash, recommend, stats
 from ..session import fresh_path, table
 from ..sources import documents as docs
 from ..streaming import ingest
@@ -359,11 +359,19 @@ def _(spark, sf_dir):
     return compare.word_set_classes(documents(spark, sf_dir))
 
 
-@query("j5_pairs_by_token", f"WITH {_CLASSES}, k AS (SELECT id, len(s) AS size, unnest(s) AS term FROM c) SELECT a.id AS id_a, b.id AS id_b, count(*) AS n FROM k a JOIN k b ON a.term = b.term AND a.id < b.id GROUP BY a.id, b.id HAVING count(*) * 9 >= 4 * (min(a.size) + min(b.size))")
+_NEAR = f"WITH {_CLASSES}, k AS (SELECT id, len(s) AS size, unnest(s) AS term FROM c) SELECT a.id AS id_a, b.id AS id_b, count(*) AS n FROM k a JOIN k b ON a.term = b.term AND a.id < b.id GROUP BY a.id, b.id HAVING count(*) * 9 >= 4 * (min(a.size) + min(b.size))"
+
+
+@query("j5_pairs_by_token", _NEAR)
 def _(spark, sf_dir):
     return compare.pairs_by_token(documents(spark, sf_dir))
 
 
+@query("j5_pairs_by_minhash", _NEAR)
+def _(spark, sf_dir):
+    return minhash.near_pairs(documents(spark, sf_dir))
+
+
 @query("j5_pairs_by_all_tokens", f"WITH {_CLASSES}, k AS (SELECT id, unnest(s) AS term FROM c) SELECT a.id AS id_a, b.id AS id_b, count(*) AS n FROM k a JOIN k b ON a.term = b.term AND a.id < b.id GROUP BY ALL HAVING count(*) >= 20")
 def _(spark, sf_dir):
     return compare.pairs_by_all_tokens(documents(spark, sf_dir), 20)
