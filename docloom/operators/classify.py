@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..scratch import materialize, scratch
+from .automaton import BLOCK, TOGETHER, found_by, shards
 from .explode import contains_any, split_sentences
 
 
@@ -22,40 +24,24 @@ def classify_sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return split.select(id_col, F.explode(categories_of(F.col("sentence"), whole_word)).alias("category"), "pos", "sentence")
 
 
-def classify_by_rules(df: DataFrame, rules: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 500, blocks: int = 20) -> DataFrame:
+def classify_by_rules(df: DataFrame, rules: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, blocks: int = TOGETHER) -> DataFrame:
     """(id, category, pos, sentence) by a table of (category, keyword): the keyword is in the lower-cased sentence.
 
-    The rule table is a query set: its keywords, `block` of them in a constant array, are looked for in
-    every sentence, and what a block finds is added to the row, so a sentence is one row of each of its
-    categories however many keywords there are; repeated rows of df stay. After `blocks` arrays
-    the rows go through a table in the shared folder, so a plan holds no more. Null keywords match nothing.
+    The rule table becomes automata of bounded size, which a sentence is walked through once, so its time doesn't
+    grow with the keywords; a sentence is one row of each of its categories, and repeated rows of df stay. An automaton
+    has at most `block` keywords, and `blocks` of them go to the tasks at once, TOGETHER at most; if there are more, the
+    sentences pass through a table in between. Null
+    keywords and categories match nothing; an empty keyword is in every sentence.
     """
-    from ..session import fresh_path
-
-    lower = F.lower("sentence")
-
-    def scan(rows: DataFrame, held: dict[str, list[str]]) -> DataFrame:
-        def test(category: str, words: list[str]) -> Column:
-            return F.when(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.col("__low"), w)), F.lit(category))
-
-        found = F.filter(F.array(*[test(c, words) for c, words in held.items()]), lambda c: c.isNotNull())
-        return rows.withColumn("__c", F.array_union("__c", found))
-
-    rows = split_sentences(df, id_col, text_col).withColumns({"__low": lower, "__c": F.array().cast("array<string>")})
-    held: dict[str, list[str]] = {}
-    size = scanned = 0
-    for category, keyword in rules.select("category", "keyword").filter("keyword is not null").distinct().orderBy("category", "keyword").toLocalIterator():
-        if size == block:
-            rows, held, size, scanned = scan(rows, held), {}, 0, scanned + 1
-            if scanned % blocks == 0:
-                path = fresh_path(df.sparkSession, "classified")
-                rows.write.parquet(path)
-                rows = df.sparkSession.read.schema(rows.schema).parquet(path)
-        held.setdefault(category, []).append(keyword)
-        size += 1
-    if held:
-        rows = scan(rows, held)
-    return rows.select(id_col, F.explode(F.array_sort("__c")).alias("category"), "pos", "sentence")
+    spark = df.sparkSession
+    blocks = min(blocks, TOGETHER)
+    sent = [spark.sparkContext.broadcast(shard) for shard in shards(rules, block)]
+    rows = split_sentences(df, id_col, text_col).withColumn("__c", F.array().cast("array<string>"))
+    with scratch(spark):
+        for i in range(0, len(sent), blocks):
+            rows = (materialize(rows, "classified") if i else rows).withColumn("__c", F.array_union("__c", found_by(sent[i : i + blocks], F.lower("sentence"))))
+        found = rows.select(id_col, F.explode(F.array_sort("__c")).alias("category"), "pos", "sentence")
+        return materialize(found, "classified", keep=True) if len(sent) > blocks else found
 
 
 def policy_analysis(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
