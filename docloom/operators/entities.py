@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import rules as R
 from ..functions import text as T
+from ..scratch import materialize, scratch
 
 _MONTH = "(?:" + "|".join(R.MONTHS) + ")"
 #: Label -> pattern; at one place the first label wins.
@@ -54,33 +55,105 @@ def pattern_entities(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return found.select(id_col, F.col("e.text").alias("text"), _label(F.col("e.text")).alias("label"), F.col("e.start").cast("long").alias("start"), F.col("e.end").cast("long").alias("end"))
 
 
-def name_entities(df: DataFrame, gazetteer: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, label, start, end) of the gazetteer's names (name, label), in any case and of any number of
-    words; a name inside a longer one is given too. Signs at the ends of a name don't count.
+#: Words that a place carries along; longer names go on from the place where they end.
+AHEAD = 4
+
 
-    A word that begins some name is found by an equi-join with the names' first words; the runs of words from
-    there, of the lengths that such names have, are joined to the names. Spark broadcasts either table if
-    its size allows and shuffles otherwise. Each word is a row with the words that follow it, as many
-    as the longest name has; texts aren't carried along.
+def name_trie(gazetteer: DataFrame) -> DataFrame:
+    """(node, piece, child, label, more, words): the names (name, label) as a trie. A step takes the first word, or what stands
+    before the next word with it, in lower case; label is set where a name ends, more where a longer one goes on, and
+    words is the number of words of the longest name through the step. Signs at the ends of a name don't count.
+
+    A node is the MD5 of the steps to it, so the table is made row by row from the names, and a step that many names
+    share is one row.
     """
     key = F.regexp_replace(F.lower("name"), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    parts = gazetteer.select(key.alias("__key"), "label").withColumn("__w", F.regexp_extract_all("__key", F.lit(f"({_TOKEN})"), F.lit(1))).filter(F.size("__w") > 0)
-    names = parts.groupBy("__key").agg(F.min("label").alias("label"))
-    begins = parts.groupBy(F.get("__w", F.lit(0)).alias("__first")).agg(F.collect_set(F.size("__w")).alias("__sizes"))
-    longest = parts.agg(F.max(F.size("__w"))).first()[0] or 0
+    steps = gazetteer.select(_pieces(key).alias("p"), "label").filter(F.size("p") > 0)
+    made = F.aggregate("p", F.array(F.lit("")), lambda nodes, x: F.concat(nodes, F.array(F.md5(F.concat(F.element_at(nodes, -1), x)))))
+    rows = steps.withColumn("n", made).select("label", F.size("p").alias("words"), F.posexplode(F.arrays_zip(F.slice("n", 1, F.size("p")).alias("node"), F.col("p").alias("piece"), F.slice("n", 2, F.size("p")).alias("child"))).alias("at", "e"))
+    last = F.col("at") == F.col("words") - 1
+    return rows.groupBy("e.node", "e.piece", "e.child").agg(F.min(F.when(last, F.col("label"))).alias("label"), F.max(~last).alias("more"), F.max("words").alias("words"))
+
+
+def _pieces(text: Column) -> Column:
+    """The first word of a text, and each other one with what stands before it."""
+    return T.once(_matches(text, _TOKEN), lambda x: F.transform(F.zip_with(x["g"], x["m"], lambda g, m: F.struct(g.alias("g"), m.alias("m"))), lambda p, i: F.when(i == 0, p["m"]).otherwise(F.concat(p["g"], p["m"]))))
+
+
+def _places(df: DataFrame, id_col: str, text_col: str, ahead: int) -> DataFrame:
+    """(id, mark, pos, begin, pieces): each word of a text as a row, with the pieces of the `ahead` words from there on."""
 
     def words(x: Column) -> Column:
-        """(start, next) of each word: next is the word, what follows it, the next word, and so on."""
-        row = F.flatten(F.zip_with(x["g"], x["m"], lambda g, m: F.array(g, m)))
-        both = F.struct(_ends(x).alias("e"), row.alias("r"))
-        return T.once(both, lambda b: F.transform(x["m"], lambda m, i: F.struct((F.get(b["e"], i) - F.length(m)).alias("start"), F.slice(b["r"], 2 * i + 2, max(2 * longest - 1, 1)).alias("next"))))
-
-    tokens = df.select(id_col, F.explode(T.once(_matches(F.col(text_col), _TOKEN), words)).alias("__t")).select(id_col, "__t.*")
-    begun = tokens.withColumn("__first", F.lower(F.get("next", F.lit(0)))).join(begins, "__first")
-    sized = begun.select(id_col, "start", "next", F.explode("__sizes").alias("__k")).filter(F.size("next") >= 2 * F.col("__k") - 1)
-    runs = sized.select(id_col, "start", F.array_join(F.slice("next", F.lit(1), 2 * F.col("__k") - 1), "").alias("text"))
-    found = runs.withColumn("__key", F.lower("text")).join(names, "__key")
-    return found.select(id_col, "text", "label", F.col("start").cast("long").alias("start"), (F.col("start") + F.length("text")).cast("long").alias("end"))
+        pieces = F.zip_with(x["g"], x["m"], lambda g, m: F.concat(g, m))
+        both = F.struct(_ends(x).alias("e"), pieces.alias("r"))
+        return T.once(both, lambda b: F.transform(x["m"], lambda m, i: F.struct(i.alias("pos"), (F.get(b["e"], i) - F.length(m)).alias("begin"), F.concat(F.array(m), F.slice(b["r"], i + 2, ahead - 1)).alias("pieces"))))
+
+    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.explode(T.once(_matches(F.col(text_col), _TOKEN), words)).alias("t"))
+    return rows.select("id", "mark", "t.*")
+
+
+def _walk(places: DataFrame, trie: DataFrame, ahead: int) -> DataFrame:
+    """(id, mark, pos, begin, found, before, node, words): the places at which a name begins, with the (text, label) of names
+    that end within their pieces. Where a longer name goes on, node is where, before the text so far, words the longest's.
+
+    Levels are joined one after another; a place that no name begins at is gone after the first.
+    """
+    none = F.array().cast("array<struct<text:string,label:string>>")
+    rows = places.withColumns({"node": F.lit(""), "found": none})
+    step = trie.select(*[F.col(c).alias(f"__{c}") for c in ("node", "piece", "child", "label", "more", "words")])
+    for k in range(ahead):
+        level = step.filter("__node = ''") if k == 0 else step.filter("__node != ''")
+        met = rows.join(level, (F.col("node") == F.col("__node")) & (F.lower(F.get("pieces", F.lit(k))) == F.col("__piece")), "inner" if k == 0 else "left")
+        ended = F.struct(F.array_join(F.slice("pieces", 1, k + 1), "").alias("text"), F.col("__label").alias("label"))
+        found = F.when(F.col("__label").isNotNull(), F.concat("found", F.array(ended))).otherwise(F.col("found"))
+        rows = met.select("id", "mark", "pos", "begin", "pieces", found.alias("found"), F.when(F.col("__more"), F.col("__child")).alias("node"), F.col("__words").alias("words"))
+    return rows.select("id", "mark", "pos", "begin", "found", F.array_join("pieces", "").alias("before"), "node", "words")
+
+
+def _longer(df: DataFrame, on: DataFrame, trie: DataFrame, id_col: str, text_col: str, ahead: int) -> DataFrame:
+    """(id, begin, text, label) of names of more than `ahead` words; `on` has the places that are on the way to one.
+
+    Only texts with such places are looked at again, and of these only as many words as the longest name that begins
+    like that has. What the trie calls the nodes there follows from the words.
+    """
+    held = on.groupBy("id", "mark").agg(F.collect_set(F.struct("pos", "begin", "before", "node", "words")).alias("at")).withColumnsRenamed({"id": "__id", "mark": "__mark"})
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(held, F.col("id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__mark")))
+
+    def rest(x: Column) -> Column:
+        pieces = F.zip_with(x["g"], x["m"], lambda g, m: F.concat(g, m))
+        return T.once(pieces, lambda r: F.transform("at", lambda p: F.struct(p["begin"].alias("begin"), p["before"].alias("before"), p["node"].alias("node"), F.slice(r, p["pos"] + ahead + 1, p["words"] - ahead).alias("rest"))))
+
+    rows = texts.select("id", F.explode(T.once(_matches(F.col("text"), _TOKEN), rest)).alias("p")).select("id", "p.*")
+    made = F.aggregate("rest", F.array("node"), lambda nodes, x: F.concat(nodes, F.array(F.md5(F.concat(F.element_at(nodes, -1), F.lower(x))))))
+    ways = rows.withColumn("n", made).select("id", "begin", "before", "rest", F.posexplode("n").alias("k", "child")).filter("k > 0")
+    names = trie.filter("label is not null").select("child", "label")
+    met = ways.join(names, "child")
+    return met.select("id", "begin", F.concat("before", F.array_join(F.slice("rest", F.lit(1), F.col("k")), "")).alias("text"), "label")
+
+
+def name_entities(df: DataFrame, gazetteer: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, label, start, end) of the gazetteer's names (name, label), in any case and of any number of
+    words; a name inside a longer one is given too. Signs at the ends of a name don't count. Equal names have their least label.
+
+    The names' trie is joined level by level, and a word's place moves on only while its prefix is a node. A place
+    carries AHEAD words along; only texts with a place that is then still on the way to a longer name are looked at
+    again, so names of hundreds of words cost no more than their own beginnings. Spark broadcasts the trie if its
+    size allows and shuffles otherwise; texts aren't carried along. Repeated rows each have their names.
+    """
+    with scratch(df.sparkSession):
+        trie = name_trie(gazetteer)
+        longest = trie.agg(F.max("words")).first()[0] or 0
+        trie = materialize(trie, "names") if longest > AHEAD else trie
+        ahead = max(1, min(longest, AHEAD))
+        walked = _walk(_places(df, id_col, text_col, ahead), trie, ahead)
+        if longest > AHEAD:
+            walked = materialize(walked, "places")
+        found = walked.select("id", "begin", F.inline("found"))
+        on = walked.filter("node is not null")
+        if longest > AHEAD and not on.isEmpty():
+            found = found.unionByName(_longer(df, on, trie, id_col, text_col, ahead))
+        found = found.select(F.col("id").alias(id_col), "text", "label", F.col("begin").cast("long").alias("start"), (F.col("begin") + F.length("text")).cast("long").alias("end"))
+        return materialize(found, "named", keep=True) if longest > AHEAD else found
 
 
 def extract_entities(df: DataFrame, gazetteer: DataFrame, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False) -> DataFrame:
