@@ -4,14 +4,16 @@ Texts are read once: a task turns each document into its different terms in byte
 each has in common with the one before it. A term brings its document to a prefix for the first time if it
 shares less than the prefix with its predecessor, so documents of a prefix are a plain sum, and rows of
 equal terms can be added up before anything is shuffled. Prefixes are then extended level by level, and terms
-whose prefix has too few documents go at each, so the long tail of rare terms is never grouped whole.
+whose prefix has too few documents go at each, so the long tail of rare terms is never grouped whole. The counts of
+sources lie beside these sums and are looked at for complete kept terms only.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,111 +30,131 @@ FIRST = 4
 LEAST_DOCUMENTS, MOST_TERMS = 30, 50
 #: Parts of a probability, and what is added to each count.
 SCALE, ADDED = 1_000_000_000, 5
-#: Rows of sums, and terms of documents, that a task holds at once; cells of a matrix of terms and sources.
-HELD, CHUNK, CELLS = 200_000, 100_000, 2_000_000
-#: Prefixes up to this number are sent to all tasks (some 64 MB); beyond it they are joined by a shuffle.
-SENT = 1_000_000
+#: Terms of documents that a task adds up at once; cells of a matrix of terms and sources.
+CHUNK, CELLS = 2_500_000, 2_000_000
+#: Prefixes or terms up to this number are sent to all tasks (some 30 MB); beyond it they are joined by a shuffle.
+SENT = 200_000
+#: More levels than any term has.
+LEVELS = 32
 
 
-def shared_levels(terms: list[bytes]) -> np.ndarray:
-    """The longest level's prefix that each term shares with the one before it in the list, 0 if none."""
-    packed = np.array(terms, f"S{4 * FIRST}").view(f"S{FIRST}").reshape(len(terms), 4)
+def shared_levels(terms: list[bytes], order: np.ndarray) -> np.ndarray:
+    """For places in a sequence of terms, given as their numbers, how many levels' prefixes each shares with the one before it."""
+    packed = np.array(terms, f"S{4 * FIRST}").view(f"S{FIRST}").reshape(len(terms), 4)[order]
     same = packed[1:] == packed[:-1]
-    first = same[:, 0]
-    second = first & same[:, 1]
+    second = same[:, 0] & same[:, 1]
     all_four = second & same[:, 2] & same[:, 3]
-    shared = np.zeros(len(terms), np.int64)
-    shared[1:] = np.where(all_four, 4 * FIRST, np.where(second, 2 * FIRST, np.where(first, FIRST, 0)))
+    shared = np.zeros(len(order), np.int64)
+    shared[1:] = same[:, 0].astype(np.int64) + second + all_four
     for i in np.flatnonzero(all_four) + 1:
-        level, (a, b) = 8 * FIRST, terms[i - 1 : i + 1]
+        level, a, b = 8 * FIRST, terms[order[i - 1]], terms[order[i]]
         while len(a) >= level and len(b) >= level and a[level // 2 : level] == b[level // 2 : level]:
-            shared[i], level = level, 2 * level
+            shared[i], level = shared[i] + 1, 2 * level
     return shared
 
 
-def term_sums(df: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(lang, source, term, shared, docs, n) in binary terms: sums of a task's documents over equal rows, several a term.
+class _Chunk:
+    """Different terms of documents, numbered within their language, until they are added up."""
 
-    Each group of documents has a row with an empty term too, which no text holds.
-    """
+    def __init__(self) -> None:
+        self.number = count()
+        self.langs: dict[str, dict[bytes, int]] = {}
+        self.terms: list[int] = []
+        self.counts: list[int] = []
+        self.starts: list[int] = []
+        self.groups: list[int] = []
 
-    def run(batches: Iterator) -> Iterator:
+    def add(self, lang: str, group: int, found: Counter) -> None:
+        known = self.langs.setdefault(lang, defaultdict(self.number.__next__))
+        ordered = sorted(found)
+        self.starts.append(len(self.terms))
+        self.groups.append(group)
+        self.terms += map(known.__getitem__, ordered)
+        self.counts += map(found.__getitem__, ordered)
+
+    def sums(self) -> dict[str, object]:
+        """Columns of term_sums(): one row for each language, term and number of shared levels."""
         import pyarrow as pa
 
-        groups: dict[tuple[str, str], int] = {}
-        sums: dict[tuple[int, int, bytes], list[int]] = {}
-
-        def flushed() -> pa.RecordBatch:
-            names, keys = list(groups), list(sums)
-            columns = [pa.array([names[g][0] for g, _, _ in keys], pa.string()), pa.array([names[g][1] for g, _, _ in keys], pa.string()), pa.array([t for _, _, t in keys], pa.binary()), pa.array([s for _, s, _ in keys], pa.int32())]
-            columns += [pa.array([v[i] for v in sums.values()], pa.int64()) for i in (0, 1)]
-            sums.clear()
-            return pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "shared", "docs", "n"])
-
-        def add(terms: list[bytes], counts: list[int], starts: list[int], owners: list[int]) -> None:
-            shared = shared_levels(terms)
-            shared[starts] = 0
-            of = np.repeat(owners, np.diff([*starts, len(terms)]))
-            for key, n in zip(zip(of.tolist(), shared.tolist(), terms), counts):
-                held = sums.get(key)
-                if held is None:
-                    sums[key] = [1, n]
-                else:
-                    held[0] += 1
-                    held[1] += n
+        names = [b""] * next(self.number)
+        for known in self.langs.values():
+            for term, i in known.items():
+                names[i] = term
+        owner = np.zeros(len(names), np.int32)
+        for k, known in enumerate(self.langs.values()):
+            owner[np.fromiter(known.values(), np.int64, len(known))] = k
+        terms = np.array(self.terms, np.int64)
+        shared = shared_levels(names, terms)
+        shared[self.starts] = 0
+        of = np.repeat(self.groups, np.diff([*self.starts, len(terms)]))
+        wide = int(of.max()) + 1
+        met, place = np.unique((terms * LEVELS + shared) * wide + of, return_inverse=True)
+        docs, n = np.bincount(place), np.bincount(place, self.counts).astype(np.int64)
+        first = np.flatnonzero(np.diff(met // wide, prepend=-1))
+        term = met[first] // wide // LEVELS
+        offsets = pa.array(np.append(first, len(met)), pa.int32())
+        return {
+            "lang": pa.DictionaryArray.from_arrays(pa.array(owner[term]), pa.array(list(self.langs), pa.string())).cast(pa.string()),
+            "term": pa.array(names, pa.binary()).take(pa.array(term)),
+            "shared": pa.array(met[first] // wide % LEVELS, pa.int32()),
+            "docs": pa.array(np.add.reduceat(docs, first), pa.int64()),
+            "groups": pa.ListArray.from_arrays(offsets, pa.array(met % wide, pa.int32())),
+            "counts": pa.ListArray.from_arrays(offsets, pa.array(n, pa.int64())),
+        }
+
+
+def term_sums(rows: DataFrame, groups: list[tuple[str, str]]) -> DataFrame:
+    """(lang, term, shared, docs, groups, counts) in binary terms, of rows (lang, source, text): a task's documents of each
+    term that shares so many levels with its predecessor, and its counts in groups, by their places in the list."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
+        places, held = {g: i for i, g in enumerate(groups)}, _Chunk()
         for batch in batches:
-            terms, counts, starts, owners = [], [], [], []
-            for lang, source, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                group = groups.setdefault((lang, source), len(groups))
-                sums.setdefault((group, 0, b""), [0, 0])[0] += 1
+            for lang, source, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 found = Counter(TERM.findall(text.lower()))
-                if not found:
-                    continue
-                ordered = sorted(found)
-                starts.append(len(terms))
-                owners.append(group)
-                terms += ordered
-                counts += [found[t] for t in ordered]
-                if len(terms) >= CHUNK:
-                    add(terms, counts, starts, owners)
-                    terms, counts, starts, owners = [], [], [], []
-                if len(sums) >= HELD:
-                    yield flushed()
-            if terms:
-                add(terms, counts, starts, owners)
-            if len(sums) >= HELD:
-                yield flushed()
-        yield flushed()
+                if found:
+                    held.add(lang, places[lang, source], found)
+                if len(held.terms) >= CHUNK:
+                    made, held = held.sums(), _Chunk()
+                    yield pa.RecordBatch.from_pydict(made)
+        if held.terms:
+            yield pa.RecordBatch.from_pydict(held.sums())
 
-    def text(c: str) -> Column:
-        return F.coalesce(F.col(c).cast("string"), F.lit(""))
-
-    rows = df.select(text(lang_col).alias("lang"), text(source_col).alias("source"), text(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "lang string, source string, term binary, shared int, docs long, n long")
+    return rows.withColumn("text", F.col("text").cast("binary")).mapInArrow(run, "lang string, term binary, shared int, docs long, groups array<int>, counts array<long>")
 
 
 def frequent_terms(sums: DataFrame, least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
-    """Those rows of term_sums() whose term is in `least_documents` documents of its language.
+    """(lang, term) of the terms in `least_documents` documents of their language or more; `sums` as of term_sums().
 
     At each level, prefixes that are long enough are counted, and shorter terms, which are complete there, with
     them; whatever lies below the threshold takes its terms along. The last level is the one that no kept term exceeds.
     """
-    now, level, before = sums.filter("length(term) > 0"), FIRST, 0
+    now, level, number = sums.select("lang", "term", "shared", "docs"), FIRST, 0
     while True:
         size = F.length("term")
-        key = [F.col("lang"), F.substring("term", 1, level).alias("prefix"), (size < level).alias("complete")]
-        active = now.filter(size >= before).filter((F.col("shared") < level) | (size < level))
-        counted = active.groupBy(*key).agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least_documents)
-        kept = materialize(counted.drop("docs"), "prefixes")
-        few = kept.count() <= SENT
-        rows = now.select("*", F.when(size >= before, F.substring("term", 1, level)).alias("prefix"), (size < level).alias("complete"))
-        met = rows.filter("prefix is not null").join(F.broadcast(kept) if few else kept, ["lang", "prefix", "complete"], "left_semi")
-        left = met.unionByName(rows.filter("prefix is null")).select(*now.columns)
-        now = materialize(left, "terms", instead_of=now if before else None)
-        if (now.agg(F.max(F.length("term"))).first()[0] or 0) < level:
-            return now
-        level, before = 2 * level, level
+        rows = now.select("*", F.substring("term", 1, level).alias("prefix"), (size < level).alias("complete"))
+        # Terms that were complete on the level before have been counted there.
+        active = rows if not number else rows.filter(size >= level // 2)
+        counted = active.filter((F.col("shared") <= number) | F.col("complete")).groupBy("lang", "prefix", "complete").agg(F.sum("docs").alias("docs"))
+        kept = materialize(counted.filter(F.col("docs") >= least_documents).drop("docs"), "prefixes")
+        left = active.join(_sent(kept), ["lang", "prefix", "complete"], "left_semi")
+        if number:
+            left = left.unionByName(rows.filter(size < level // 2))
+            # Rows of equal terms from many tasks are added up once the rare ones are gone; later levels read a row each.
+            left = left.groupBy("lang", "term", "shared").agg(F.sum("docs").alias("docs")) if number == 1 else left
+            now = materialize(left.select("lang", "term", "shared", "docs"), "terms", instead_of=now if number > 1 else None)
+            if (now.agg(F.max(F.length("term"))).first()[0] or 0) < level:
+                return now.select("lang", "term").distinct()
+        else:
+            now = left.select("lang", "term", "shared", "docs")
+        level, number = 2 * level, number + 1
+
+
+def _sent(table: DataFrame) -> DataFrame:
+    """A written table, to be sent to all tasks if it is small enough."""
+    return F.broadcast(table) if table.count() <= SENT else table
 
 
 def probability(count: Column, total: Column, terms: Column) -> Column:
@@ -140,45 +162,44 @@ def probability(count: Column, total: Column, terms: Column) -> Column:
     return 1 + F.call_function("div", (count + ADDED).cast("decimal(20,0)") * F.lit(SCALE).cast("decimal(10,0)"), (total + ADDED * terms).cast("decimal(20,0)")).cast("long")
 
 
-def _distances(by_term: DataFrame, groups: list) -> DataFrame:
-    """(lang, source, item, value): sums over terms of how far two sources' probabilities lie apart, a row a task and pair."""
-    langs: dict[str, tuple[list[str], list[int]]] = {}
-    for lang, source, absent in groups:
-        names, ps = langs.setdefault(lang, ([], []))
-        names.append(source)
-        ps.append(absent)
+def _distances(by_term: DataFrame, groups: list[tuple[str, str]], absent: list[int]) -> DataFrame:
+    """(a, b, value): sums over terms of how far the probabilities of two groups of a language lie apart, a row a task and
+    pair; `absent` has the groups' probability of a term that they don't have."""
+    members: dict[str, list[int]] = defaultdict(list)
+    for i, (lang, _) in enumerate(groups):
+        members[lang].append(i)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        places = {lang: {s: i for i, s in enumerate(names)} for lang, (names, _) in langs.items()}
-        sums = {lang: np.zeros((len(names), len(names)), np.int64) for lang, (names, _) in langs.items()}
+        place = {i: k for own in members.values() for k, i in enumerate(own)}
+        sums = {lang: np.zeros((len(own), len(own)), np.int64) for lang, own in members.items()}
+        basis = {lang: np.array([absent[i] for i in own], np.int64) for lang, own in members.items()}
 
         def add(lang: str, rows: list) -> None:
-            cells = np.tile(np.array(langs[lang][1], np.int64), (len(rows), 1))
+            cells = np.tile(basis[lang], (len(rows), 1))
             for i, held in enumerate(rows):
                 for h in held:
-                    cells[i, places[lang][h["source"]]] = h["p"]
+                    cells[i, place[h["group"]]] = h["p"]
             for i in range(cells.shape[1]):
                 sums[lang][i] += np.abs(cells - cells[:, i : i + 1]).sum(axis=0)
 
         for batch in batches:
-            waiting: dict[str, list] = {}
-            for lang, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = waiting.setdefault(lang, [])
-                rows.append(held)
-                if len(rows) * len(places[lang]) >= CELLS:
+            waiting: dict[str, list] = defaultdict(list)
+            for lang, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                waiting[lang].append(held)
+                if len(waiting[lang]) * len(members[lang]) >= CELLS:
                     add(lang, waiting.pop(lang))
             for lang, rows in waiting.items():
                 add(lang, rows)
         for lang, made in sums.items():
-            names = langs[lang][0]
-            for i, row in enumerate(made):
+            own = np.array(members[lang], np.int32)
+            for i, row in zip(own, made, strict=True):
                 met = np.flatnonzero(row)
                 if len(met):
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(met)), pa.array([names[i]] * len(met)), pa.array([names[j] for j in met]), pa.array(row[met])], ["lang", "source", "item", "value"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(met), i)), pa.array(own[met]), pa.array(row[met])], ["a", "b", "value"])
 
-    return by_term.select("lang", F.transform("held", lambda h: F.struct(h["source"].alias("source"), h["p"].alias("p"))).alias("held")).mapInArrow(run, "lang string, source string, item string, value long")
+    return by_term.select("lang", "held").mapInArrow(run, "a int, b int, value long")
 
 
 def audit(df: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", least_documents: int = LEAST_DOCUMENTS, most_terms: int = MOST_TERMS) -> DataFrame:
@@ -189,31 +210,38 @@ def audit(df: DataFrame, lang_col: str = "lang", source_col: str = "source", tex
     ones. Each row is a document, repeated rows and rows without id too; a language without kept terms has
     distances of 0; an empty table gives an empty result. Other columns are ignored.
 
-    Nothing but sums moves; the result's pairs are all that grows with the square of the sources, whose names
-    and totals alone (one row a group) come to the driver.
+    Nothing but sums moves. Names and totals of the groups of language and source come to the driver: one row a
+    group, where the result has one for each two groups of a language.
     """
-    with scratch(df.sparkSession):
-        sums = materialize(term_sums(df, lang_col, source_col, text_col), "term-sums")
-        counts = materialize(frequent_terms(sums, least_documents).groupBy("lang", "source", "term").agg(F.sum("n").alias("count")), "counts")
-        groups = sums.filter("length(term) = 0").select("lang", "source").distinct()
-        vocabulary = counts.groupBy("lang", "term").agg(F.sum("count").alias("n")).groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("n").alias("all"))
-        own = counts.groupBy("lang", "source").agg(F.sum("count").alias("own"))
-        known = groups.join(vocabulary, "lang").join(own, ["lang", "source"], "left").na.fill(0, ["own"])
-        known = materialize(known, "groups")
-        p = probability(F.col("count"), F.col("own"), F.col("terms"))
-        held = counts.join(known, ["lang", "source"]).select("lang", "source", "term", "count", "terms", "all", p.alias("p"))
-        by_term = held.groupBy("lang", "term", "terms", "all").agg(F.collect_list(F.struct("source", "p")).alias("held"), F.sum("count").alias("n"))
+    def text(c: str) -> Column:
+        return F.coalesce(F.col(c).cast("string"), F.lit(""))
+
+    spark = df.sparkSession
+    with scratch(spark):
+        rows = df.select(text(lang_col).alias("lang"), text(source_col).alias("source"), text(text_col).alias("text"))
+        groups = sorted(tuple(r) for r in rows.select("lang", "source").distinct().collect())
+        names = spark.createDataFrame([(i, *g) for i, g in enumerate(groups)], "group int, lang string, source string")
+        sums = materialize(term_sums(rows, groups), "term-sums")
+        terms = materialize(frequent_terms(sums, least_documents), "kept-terms")
+        counted = sums.select("lang", "term", "groups", "counts").join(_sent(terms), ["lang", "term"], "left_semi")
+        pairs = counted.select("lang", "term", F.explode(F.arrays_zip("groups", "counts")).alias("c")).select("lang", "term", F.col("c.groups").alias("group"), F.col("c.counts").alias("n"))
+        counts = materialize(pairs.groupBy("lang", "term", "group").agg(F.sum("n").alias("n")), "counts")
+        kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("n").alias("all"))
+        known = names.join(kept, "lang", "left").join(counts.groupBy("group").agg(F.sum("n").alias("own")), "group", "left").na.fill(0, ["terms", "all", "own"])
+        known = materialize(known.withColumn("absent", F.when(F.col("terms") > 0, probability(F.lit(0), F.col("own"), F.col("terms"))).otherwise(0)), "groups")
+        absent = [r[0] for r in known.orderBy("group").select("absent").collect()]
+        held = counts.join(known.select("group", "own", "terms", "all"), "group").withColumn("p", probability(F.col("n"), F.col("own"), F.col("terms")))
+        by_term = held.groupBy("lang", "term", "terms", "all").agg(F.collect_list(F.struct("group", "p")).alias("held"), F.sum("n").alias("n"))
         by_term = materialize(by_term.withColumn("q", probability(F.col("n"), F.col("all"), F.col("terms"))), "by-term")
-        absent = known.select("lang", "source", probability(F.lit(0), F.col("own"), F.col("terms"))).orderBy("lang", "source").collect()
-        met = _distances(by_term, [tuple(r) for r in absent]).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
-        others = groups.join(groups.withColumnRenamed("source", "item"), "lang").filter("source != item")
-        pairs = others.join(met, ["lang", "source", "item"], "left").na.fill(0, ["value"])
-        terms = by_term.select("lang", F.explode("held").alias("h"), F.col("term").cast("string").alias("item"), "q").select("lang", "h.source", "item", (F.col("h.p") - F.col("q")).alias("value")).filter("value > 0")
-        order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-        ranked = F.row_number().over(order)
-        found = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value", ranked.alias("rank"))
-        best = terms.select("lang", "source", F.lit("term").alias("part"), "item", "value", ranked.alias("rank")).filter(F.col("rank") <= most_terms)
-        return materialize(found.unionByName(best), "audit", keep=True)
+        met = _distances(by_term, groups, absent).groupBy("a", "b").agg(F.sum("value").alias("value"))
+        other = names.select(F.col("group").alias("b"), "lang", F.col("source").alias("item"))
+        pairs = names.withColumnRenamed("group", "a").join(other, "lang").filter("a != b").join(met, ["a", "b"], "left").na.fill(0, ["value"])
+        likely = by_term.select(F.explode("held").alias("h"), F.col("term").cast("string").alias("item"), "q").select("h.group", "item", (F.col("h.p") - F.col("q")).alias("value")).filter("value > 0")
+        best = likely.withColumn("rank", F.row_number().over(Window.partitionBy("group").orderBy(F.desc("value"), "item"))).filter(F.col("rank") <= most_terms)
+        near = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("value"), "item")))
+        found = near.select("lang", "source", F.lit("pair").alias("part"), "item", "value", "rank")
+        found = found.unionByName(best.join(names, "group").select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank"))
+        return materialize(found, "audit", keep=True)
 
 
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

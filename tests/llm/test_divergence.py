@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from docloom.llm import divergence
@@ -69,8 +70,9 @@ def test_long_terms_and_shared_prefixes(spark):
         same(df, divergence.audit(df, least_documents=least), least=least)
 
 
-def test_sums_are_flushed(spark, monkeypatch):
+def test_small_chunks_and_shuffled_prefixes(spark, monkeypatch):
     monkeypatch.setattr(divergence, "SENT", 3)
+    monkeypatch.setattr(divergence, "CHUNK", 40)
     rows = [("en", f"s{i % 3}", " ".join(f"word{chr(97 + j)}{'x' * (i * j % 9)}" for j in range(20))) for i in range(90)]
     df = spark.createDataFrame(rows, "lang string, source string, text string")
     same(df, divergence.audit(df, least_documents=7, most_terms=4), least=7, top=4)
@@ -79,11 +81,13 @@ def test_sums_are_flushed(spark, monkeypatch):
 def test_shared_levels():
     rng = random.Random(2)
     terms = sorted({"".join(rng.choice("ab") for _ in range(rng.choice([1, 3, 4, 5, 8, 12, 16, 17, 40, 70]))).encode() for _ in range(400)} | {b"a" * n for n in range(1, 150)})
-    for i, shared in enumerate(divergence.shared_levels(terms)):
+    rng.shuffle(names := list(terms))
+    order = np.array([names.index(t) for t in terms])
+    for i, shared in enumerate(divergence.shared_levels(names, order)):
         if i:
             a, b = terms[i - 1 : i + 1]
             same = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-            assert shared == max([0] + [4 << k for k in range(8) if 4 << k <= same])
+            assert shared == sum(4 << k <= same for k in range(8))
 
 
 def test_sql(spark, sf):
