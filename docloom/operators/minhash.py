@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import materialize, scratch
@@ -21,14 +23,20 @@ def recall(share: float, bands: int = BANDS, rows: int = ROWS, hot: bool = False
 
 
 def _banded(sets: DataFrame, id_col: str, bands: int, rows: int, seed: int) -> DataFrame:
-    """(band, key, id, size): the bands of each set; a set's minima are map-side aggregates over its words."""
-    words = sets.select(id_col, F.size("s").alias("size"), F.explode("s").alias("word"))
-    least = words.groupBy(id_col, "size").agg(*[F.min(F.xxhash64(F.col("word"), F.lit(seed + i))).alias(f"m{i}") for i in range(bands * rows)])
+    """(band, key, id, size): the bands of each set; a set's minima are map-side aggregates over its words.
+
+    Some bands at a time, as one aggregate of all minima would be too long a method for the JVM to compile.
+    """
+    words = sets.select(F.col(id_col).alias("id"), F.size("s").alias("size"), F.explode("s").alias("word"))
+    together = max(1, 20 // rows)
 
-    def band(b: int) -> Column:
-        return F.struct(F.lit(b).alias("band"), F.xxhash64(*[f"m{b * rows + i}" for i in range(rows)]).alias("key"))
+    def some(first: int) -> DataFrame:
+        chosen = range(first, min(first + together, bands))
+        least = words.groupBy("id", "size").agg(*[F.min(F.xxhash64(F.col("word"), F.lit(seed + b * rows + i))).alias(f"m{b}_{i}") for b in chosen for i in range(rows)])
+        keys = [F.struct(F.lit(b).alias("band"), F.xxhash64(*[f"m{b}_{i}" for i in range(rows)]).alias("key")) for b in chosen]
+        return least.select("id", "size", F.inline(F.array(*keys))).select("band", "key", "id", "size")
 
-    return least.select(F.col(id_col).alias("id"), "size", F.inline(F.array(*map(band, range(bands))))).select("band", "key", "id", "size")
+    return reduce(DataFrame.union, map(some, range(0, bands, together)))
 
 
 def near_pairs(df: DataFrame, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -7,11 +7,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from ..functions import rules as R
-from .compare import vector_cosine
+from .search import nearest_rows
 
 #: Queries that one pass over the history takes.
 QUERY_BLOCK = 2_000
@@ -52,14 +51,14 @@ def similarity(queries: DataFrame, hist: DataFrame, cat_cols: list[str], num_col
 
     The one-hot and standardised vectors are never made: their dot product is the number of equal
     categories plus the products of z-values, and their norms are as plain; a value that the
-    history doesn't have is all zeros. Queries are a stated set that goes over the history in
+    history doesn't have is all zeros, and so is a query's null number, as if it were the mean. Queries are a stated set that goes over the history in
     blocks of bounded size; each block is packed into one array column, so the history isn't shuffled.
     """
     scaler = fit_scaler(hist, num_cols).first()
     known = _known(queries, hist, cat_cols)
 
-    def z(c: str, value: float) -> float:
-        return (float(value) - scaler[f"{c}_mean"]) / scaler[f"{c}_std"]
+    def z(c: str, value: float | None) -> float:
+        return 0.0 if value is None else (float(value) - scaler[f"{c}_mean"]) / scaler[f"{c}_std"]
 
     def scan(block: list) -> DataFrame:
         rows = []
@@ -104,67 +103,22 @@ def top_similar(scored: DataFrame, n: int = 5, id_col: str = "id", query_id: str
 def nearest(queries: DataFrame, hist: DataFrame, cat_cols: list[str], num_cols: list[str], id_col: str = "id", query_id: str = "query_id", n: int = 5) -> DataFrame:
     """(query_id, id, similarity, rank): top_similar() of similarity(), without a row for each query and history row.
 
-    A block of queries is sent to the tasks, each of which keeps the n best of its part of the history for each
-    query; these few meet in the window that ranks them. History rows without some number are left out.
+    Queries are a table like any other and meet only the cells of the history that may hold one of their n best (see
+    search.py). History rows without some number are left out; a query's null number is the mean, its null category
+    is like none; equal similarities go by descending id, null last.
     """
-    import numpy as np
-    import pyarrow as pa
+    scaler = fit_scaler(hist, num_cols).first()
 
-    spark, scaler = queries.sparkSession, fit_scaler(hist, num_cols).first()
-    key, number = queries.schema[query_id].dataType.simpleString(), hist.schema[id_col].dataType.simpleString()
-    kinds = to_arrow_type(queries.schema[query_id].dataType), to_arrow_type(hist.schema[id_col].dataType)
-    rows = hist.select(F.col(id_col).alias("id"), *[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(cat_cols)], *[((F.col(c) - F.lit(scaler[f"{c}_mean"])) / F.lit(scaler[f"{c}_std"])).cast("double").alias(f"z{i}") for i, c in enumerate(num_cols)]).dropna(subset=[f"z{i}" for i in range(len(num_cols))] or ["id"])
+    def prepared(df: DataFrame, key: str, name: str, known: Column) -> DataFrame:
+        zs = [((F.col(f"`{c}`") - F.lit(scaler[f"{c}_mean"])) / F.lit(scaler[f"{c}_std"])).cast("double") for c in num_cols]
+        made = df.select(F.col(f"`{key}`").alias(name), F.array(*[F.col(f"`{c}`").cast("string") for c in cat_cols]).cast("array<string>").alias("cats"), F.array(*zs).cast("array<double>").alias("nums"), known.cast("double").alias("__known"))
+        made = made.withColumn("nums", F.transform("nums", lambda x: F.coalesce(x, F.lit(0.0)))) if name == "query_id" else made.filter(~F.exists("nums", lambda x: x.isNull()))
+        return made.withColumn("norm", F.sqrt(F.aggregate("nums", F.col("__known"), lambda s, x: s + x * x))).drop("__known")
 
-    def scan(block: list) -> DataFrame:
-        asked = []
-        for r in block:
-            cats = [None if r[c] is None else str(r[c]) for c in cat_cols]
-            zs = [(float(r[c]) - scaler[f"{c}_mean"]) / scaler[f"{c}_std"] for c in num_cols]
-            asked.append((r[query_id], cats, zs, (sum(r[f"__k_{c}"] for c in cat_cols) + sum(v * v for v in zs)) ** 0.5))
-        sent = spark.sparkContext.broadcast(asked)
-
-        def highest(ids: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """The n highest scores, of equal ones those with the highest ids."""
-            if len(score) <= n:
-                return ids, score
-            least = np.partition(score, len(score) - n)[len(score) - n]
-            sure, level = np.flatnonzero(score > least), np.flatnonzero(score == least)
-            chosen = np.concatenate([sure, level[np.argsort(ids[level])[len(level) - (n - len(sure)) :]]])
-            return ids[chosen], score[chosen]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best: list[tuple[np.ndarray, np.ndarray]] = []
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                ids = np.array(batch.column(0).to_pylist(), dtype=object if pa.types.is_string(batch.column(0).type) else None)
-                cats = [np.array(batch.column(1 + i).to_pylist(), dtype=object) for i in range(len(cat_cols))]
-                zs = [batch.column(1 + len(cat_cols) + i).to_numpy(zero_copy_only=False) for i in range(len(num_cols))]
-                norm = np.sqrt(float(len(cat_cols)) + sum(z * z for z in zs))
-                equal: dict[tuple[int, str], np.ndarray] = {}
-                for q, (_, mine, own, size) in enumerate(sent.value):
-                    dot = np.zeros(len(ids))
-                    for i, c in enumerate(mine):
-                        if c is not None:
-                            if (i, c) not in equal:
-                                equal[i, c] = (cats[i] == c).astype(float)
-                            dot = dot + equal[i, c]
-                    near = sum((z * v for z, v in zip(zs, own, strict=True)), np.zeros(len(ids)))
-                    base = norm * size
-                    score = np.divide(dot + near, base, out=np.zeros(len(ids)), where=base > 0)
-                    best = best or [(ids[:0], score[:0])] * len(sent.value)
-                    best[q] = highest(np.concatenate([best[q][0], ids]), np.concatenate([best[q][1], score]))
-            if best:
-                names = [q[0] for q, (found, _) in zip(sent.value, best, strict=True) for _ in found]
-                columns = [pa.array(names, kinds[0]), pa.array(np.concatenate([found for found, _ in best]), kinds[1]), pa.array(np.concatenate([score for _, score in best]))]
-                yield pa.RecordBatch.from_arrays(columns, ["q", "id", "similarity"])
-
-        return rows.mapInArrow(run, f"q {key}, id {number}, similarity double")
-
-    made = [scan(block) for block in _blocks(_known(queries, hist, cat_cols))]
-    if not made:
-        made = [spark.createDataFrame([], f"q {key}, id {number}, similarity double")]
-    return top_similar(reduce(DataFrame.union, made).select(F.col("q").alias(query_id), F.col("id").alias(id_col), "similarity"), n, id_col, query_id)
+    known = sum((F.col(f"__k_{c}") for c in cat_cols), F.lit(0))
+    asked = prepared(_known(queries, hist, cat_cols), query_id, "query_id", known).withColumn("own", F.lit(None).cast(hist.schema[id_col].dataType))
+    found = nearest_rows(asked, prepared(hist, id_col, "id", F.lit(len(cat_cols))), n)
+    return found.select(F.col("query_id").alias(query_id), F.col("id").alias(id_col), "similarity", "rank")
 
 
 def _blocks(queries: DataFrame) -> Iterator[list]:
@@ -206,23 +160,17 @@ def recommend(queries: DataFrame, hist: DataFrame, cat_cols: list[str], num_cols
 
 
 def knn_classify(queries: DataFrame, vectors: DataFrame, n: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """(query_id, predicted, confidence) of each query vector against all others, in blocks of queries."""
-    made, held = [], []
-    kind = queries.schema[id_col].dataType.simpleString()
+    """(query_id, predicted, confidence) of each query vector against all others, in the cells that may hold one of its n
+    nearest. Null vectors are left out; null numbers in one are 0; vectors are of one length."""
 
-    def scan(block: list) -> DataFrame:
-        packed = queries.sparkSession.createDataFrame([(r[0], [float(x) for x in r[1]]) for r in block], f"query_id {kind}, __q array<double>")
-        met = vectors.select(id_col, vector_col, label_col).crossJoin(F.broadcast(packed)).filter(F.col(id_col) != F.col("query_id"))
-        return met.select("query_id", id_col, label_col, vector_cosine(F.col("__q"), F.col(vector_col)).alias("similarity"))
+    def prepared(df: DataFrame, name: str) -> DataFrame:
+        nums = F.transform(vector_col, lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))
+        made = df.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).alias(name), F.array().cast("array<string>").alias("cats"), nums.alias("nums"))
+        return made.withColumn("norm", F.sqrt(F.aggregate("nums", F.lit(0.0), lambda s, x: s + x * x)))
 
-    for r in queries.select(id_col, vector_col).toLocalIterator():
-        held.append(r)
-        if len(held) == QUERY_BLOCK:
-            made.append(scan(held))
-            held = []
-    if held or not made:
-        made.append(scan(held))
-    return weighted_vote(top_similar(reduce(DataFrame.union, made), n, id_col), label_col)
+    found = nearest_rows(prepared(queries, "query_id").withColumn("own", F.col("query_id")), prepared(vectors, "id"), n)
+    top = found.join(vectors.select(F.col(id_col).alias("id"), label_col), "id")
+    return weighted_vote(top, label_col)
 
 
 def valid_query(df: DataFrame) -> Column:
