@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,10 +77,10 @@ def summarize_job(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return entities.summarize(cleaned(df, id_col, text_col), id_col, min_words=LEAST_WORDS)
 
 
-def ingest_columns(df: DataFrame, id_col: str = "doc_id", name_col: str = "filename", text_col: str = "text", mode: str = "structured") -> DataFrame:
-    """(id, filename, original_text, processed_text, original_length, processed_length, preview): stateless,
-    for batches and streams alike."""
-    done = df.select(F.col(id_col).alias("id"), F.col(name_col).alias("filename"), F.coalesce(F.col(text_col), F.lit("")).alias("original_text"))
+def ingest_columns(df: DataFrame, id_col: str = "doc_id", name_col: str = "filename", text_col: str = "text", mode: str = "structured", kept: Sequence[str] = ()) -> DataFrame:
+    """(id, filename, original_text, processed_text, original_length, processed_length, preview) and the columns `kept`:
+    stateless, for batches and streams alike."""
+    done = df.select(*kept, F.col(id_col).alias("id"), F.col(name_col).alias("filename"), F.coalesce(F.col(text_col), F.lit("")).alias("original_text"))
     done = done.withColumn("processed_text", T.clean_document(F.col("original_text"), mode))
     return done.select("*", F.length("original_text").alias("original_length"), F.length("processed_text").alias("processed_length"), T.preview_chars(F.col("processed_text")).alias("preview"))
 

@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..operators import classify, compare, entities, explode, minhash, recommend, stats
 from ..session import fresh_path, table
 from ..sources import documents as docs
-from ..streaming import ingest
+from ..streaming import ingest, upserts
 from . import jobs
 from . import sql as S
 from .policy_docs import CTE, gazetteer, policy_docs
@@ -113,6 +113,26 @@ def _(spark, sf_dir):
     return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("s2_scan_mixed", "SELECT 'doc-' || doc_id AS filename, text FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 'a .txt file', coalesce(text, '') || chr(10) FROM documents WHERE doc_id % 2 <> 0 UNION ALL SELECT 'rejected', 'csv'")
+def _(spark, sf_dir):
+    """A folder with a table of half of the documents, a text file for each of the others, and a file that can't be read."""
+    path, d = fresh_path(spark, "mixed"), documents(spark, sf_dir)
+    d.filter("doc_id % 2 = 0").select(F.concat(F.lit("doc-"), "doc_id").alias("filename"), "text").write.parquet(f"{path}/a")
+    d.filter("doc_id % 2 <> 0").select(F.coalesce("text", F.lit("")).alias("value")).write.option("maxRecordsPerFile", 1).text(f"{path}/b")
+    table(spark, sf_dir, "region").limit(1).coalesce(1).write.csv(f"{path}/c")
+    found, rejected = docs.scan_mixed(spark, path)
+    named = F.when(F.col("filename").endswith(".txt"), "a .txt file").otherwise(F.col("filename"))
+    return found.select(named.alias("filename"), "text").union(rejected.select(F.lit("rejected"), "suffix"))
+
+
+@query("s10_export_documents", "SELECT doc_id AS id, text FROM documents")
+def _(spark, sf_dir):
+    """Documents exported with ids and borders, and read back."""
+    path = fresh_path(spark, "export")
+    docs.export_documents(documents(spark, sf_dir), path)
+    return docs.read_exported(spark, path)
+
+
 @query("s11_load_or_fit_model", "SELECT 'status' AS feature, o_orderstatus AS value, CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS std FROM orders GROUP BY o_orderstatus UNION ALL SELECT 'price', NULL, round(avg(o_totalprice), 4), round(stddev_pop(o_totalprice), 4) FROM orders")
 def _(spark, sf_dir):
     """A model fitted and saved on first use, then loaded again: what it knows."""
@@ -160,6 +180,16 @@ def _(spark, sf_dir):
     return docs.get_documents(docs.read_store(spark, path), wanted).select("id", "original_text", "metadata.original_length")
 
 
+@query("s5_find_documents", "WITH " + CTE + " SELECT CAST(doc_id AS VARCHAR) AS id, text AS original_text, CAST(length(text) AS INTEGER) AS original_length FROM policy_docs WHERE doc_id IN (SELECT s_suppkey FROM supplier)")
+def _(spark, sf_dir):
+    """The same lookups in a store arranged by id."""
+    path = fresh_path(spark, "arranged")
+    rows = policy_docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.lit("x").alias("filename"), F.col("text").alias("original_text"), F.col("text").alias("processed_text"))
+    docs.arrange_store(docs.stored_form(rows, F.col("id")), path)
+    wanted = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("id"))
+    return docs.find_documents(docs.read_arranged(spark, path), wanted).select("id", "original_text", "metadata.original_length")
+
+
 @query("s7_preview_lines", "SELECT doc_id, array_to_string(string_split(text, chr(10))[1:3], chr(10)) AS preview, least(len(string_split(text, chr(10))), 3) AS preview_lines, len(string_split(text, chr(10))) AS total_lines FROM documents")
 def _(spark, sf_dir):
     return docs.preview_lines(documents(spark, sf_dir), 3)
@@ -535,3 +565,19 @@ def _(spark, sf_dir):
     _uploads(spark, sf_dir).write.parquet(landed)
     ingest.start_ingest(ingest.read_uploads(spark, landed), path, state).awaitTermination()
     return docs.list_documents(docs.read_store(spark, path)).select("id", "filename", "metadata.original_length", "metadata.processed_length")
+
+
+#: The texts, with another one for every third document, as its second upload.
+_SECOND = CTE.replace("policy_docs AS (SELECT", "first_docs AS (SELECT") + ", policy_docs AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || ' It was amended in May 2032 by 5 percent.' ELSE text END AS text FROM first_docs)"
+
+
+@query("f7_upsert_stream", S.ingested("doc_id", _SECOND))
+def _(spark, sf_dir):
+    """Two uploads of every third document in two runs of the stream; the second arrives twice, and an older one late."""
+    landed, path, state = (fresh_path(spark, n) for n in ("landed", "versions", "state"))
+    first = _uploads(spark, sf_dir)
+    second = first.filter("doc_id % 3 = 0").withColumns({"text": F.concat("text", F.lit(" It was amended in May 2032 by 5 percent.")), "uploaded_at": F.timestamp_seconds(F.lit(90000))})
+    for uploads in (first.filter("doc_id % 2 = 0"), second, second.union(first.filter("doc_id % 2 = 1"))):
+        uploads.write.mode("append").parquet(landed)
+        upserts.start_upserts(ingest.read_uploads(spark, landed), path, state).awaitTermination()
+    return docs.list_documents(upserts.read_latest(spark, path)).select("id", "filename", "metadata.original_length", "metadata.processed_length")

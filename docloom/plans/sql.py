@@ -286,8 +286,8 @@ vt AS (SELECT query_id, label, sum(similarity) AS s, min(rank) AS r FROM best GR
 SELECT query_id, label AS predicted, round(s / CASE WHEN total = 0 THEN 1 ELSE total END, 6) AS confidence FROM (SELECT *, sum(s) OVER (PARTITION BY query_id) AS total, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, r) AS k FROM vt) WHERE k = 1"""
 
 
-def ingested(key_col: str) -> str:
-    return f"WITH {CTE}, {steps_ctes(STRUCTURED, 'policy_docs', 'done')} SELECT CAST(p.{key_col} AS VARCHAR) AS id, 'doc-' || p.{key_col} AS filename, CAST(length(p.text) AS INTEGER) AS original_length, CAST(length(done.text) AS INTEGER) AS processed_length FROM policy_docs p JOIN done USING (doc_id)"
+def ingested(key_col: str, cte: str = CTE) -> str:
+    return f"WITH {cte}, {steps_ctes(STRUCTURED, 'policy_docs', 'done')} SELECT CAST(p.{key_col} AS VARCHAR) AS id, 'doc-' || p.{key_col} AS filename, CAST(length(p.text) AS INTEGER) AS original_length, CAST(length(done.text) AS INTEGER) AS processed_length FROM policy_docs p JOIN done USING (doc_id)"
 
 
 # ---- reports ---------------------------------------------------------------------------------
