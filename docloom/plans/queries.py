@@ -77,6 +77,16 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.supported_file(F.col("url")).alias("supported"), T.supported_file(F.col("url"), True).alias("pdf"))
 
 
+_NAMED = "concat(p_name, CASE p_partkey % 7 WHEN 0 THEN '.pdf' WHEN 1 THEN '.PDF' WHEN 2 THEN '.docx' WHEN 3 THEN '.Doc' WHEN 4 THEN '.doc.txt' WHEN 5 THEN '.pdfx' ELSE '' END)"
+
+
+@query("p2_supported_suffixes", rf"SELECT p_partkey, regexp_matches(lower(name), '\.(pdf|docx|doc)$') AS supported, ends_with(name, '.pdf') AS pdf FROM (SELECT p_partkey, {_NAMED} AS name FROM part)")
+def _(spark, sf_dir):
+    """Names of parts with suffixes of all kinds."""
+    name = F.expr(_NAMED)
+    return table(spark, sf_dir, "part").select("p_partkey", T.supported_file(name).alias("supported"), T.supported_file(name, pdf_only=True).alias("pdf"))
+
+
 @query("p4_valid_query", "SELECT event_id, coalesce(month(ts) BETWEEN 1 AND 12 AND value BETWEEN 0 AND 100 AND value - 10 >= 0 AND event_type IS NOT NULL, false) AS valid FROM events")
 def _(spark, sf_dir):
     e = table(spark, sf_dir, "events")
@@ -301,7 +311,7 @@ def _(spark, sf_dir):
 
 @query("a4_overlap_counts", S.COMPARED + " SELECT id_a, id_b, part, n FROM (SELECT id_a, id_b, unnest(['Overlap', 'Unique A', 'Unique B']) AS part, unnest([len(overlap), len(unique_a), len(unique_b)]) AS n FROM compared)")
 def _(spark, sf_dir):
-    return compare.overlap_counts(compare.compare_tokens(_text_pairs(spark, sf_dir), ["id_a", "id_b"]), ["id_a", "id_b"])
+    return compare.overlap_counts(compare.compare_documents(documents(spark, sf_dir), _pairs(spark, sf_dir)), ["id_a", "id_b"])
 
 
 @query("a5_corpus_statistics", S.STATS + " SELECT lang, source, count(*) AS documents, sum(word_count) AS words, sum(sentence_count) AS sentences, round(avg(word_count), 6) AS average_words, grouping(lang, source) AS grouping FROM stats JOIN documents USING (doc_id) GROUP BY CUBE (lang, source)")
@@ -323,19 +333,13 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.neighbour_pairs(documents(spark, sf_dir), ["lang", "source"])
 
 
-def _text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = documents(spark, sf_dir).select("doc_id", "text")
-    sides = _pairs(spark, sf_dir).join(d.toDF("id_a", "text_a"), "id_a")
-    return sides.join(d.toDF("id_b", "text_b"), "id_b")
-
-
 def _joined(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.array_join(c, " ") for c in columns})
 
 
 @query("j1_compare_tokens", S.COMPARED + " SELECT id_a, id_b, array_to_string(overlap, ' ') AS overlap, array_to_string(unique_a, ' ') AS unique_a, array_to_string(unique_b, ' ') AS unique_b FROM compared")
 def _(spark, sf_dir):
-    return _joined(compare.compare_tokens(_text_pairs(spark, sf_dir), ["id_a", "id_b"]), ["overlap", "unique_a", "unique_b"])
+    return _joined(compare.compare_documents(documents(spark, sf_dir), _pairs(spark, sf_dir)), ["overlap", "unique_a", "unique_b"])
 
 
 @query("j2_text_similarity", S.PAIRS + ", " + S.tf_idf("documents") + " SELECT id_a, id_b, round(similarity, 6) AS similarity FROM alike")
