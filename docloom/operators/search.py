@@ -139,28 +139,30 @@ def _dealt(rows: DataFrame, cells: Cells) -> DataFrame:
 
 def _measure(celled: DataFrame, cells: Cells) -> None:
     """Fill in what cells has of its rows: sums, least and highest angles of tasks, RANGES of them a task at most, meet by cell and pivot."""
-    spark = celled.sparkSession
-    sizes = celled.groupBy("cell").agg(F.count(F.lit(1))).orderBy("cell").collect()
-    cells.number, cells.rows = (np.array([r[i] for r in sizes], np.int64) for i in (0, 1))
-    witnesses = max(1, min(len(cells.pivots), RANGES // len(sizes)))
-    sent = spark.sparkContext.broadcast(cells)
+    witnesses = max(1, min(len(cells.pivots), RANGES // (len(cells.pivots) * cells.rings + 1)))
+    sent = celled.sparkSession.sparkContext.broadcast(cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = {c: i for i, c in enumerate(sent.value.number.tolist())}
-        low, high = np.full((len(at), witnesses), np.inf), np.full((len(at), witnesses), -np.inf)
+        held: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
         for batch in batches:
             if batch.num_rows:
-                angle = sent.value.angles(batch, False)[0][:, :witnesses]
-                place = np.array([at[c] for c in batch.column("cell").to_pylist()])
-                np.minimum.at(low, place, angle)
-                np.maximum.at(high, place, angle)
-        met, pivot = np.nonzero(np.isfinite(low))
-        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(pivot), pa.array(low[met, pivot]), pa.array(high[met, pivot])], ["at", "pivot", "low", "high"])
-
-    found = celled.select(*VECTOR, "cell").mapInArrow(run, "at long, pivot long, low double, high double").groupBy("at", "pivot").agg(F.min("low"), F.max("high")).toPandas().to_numpy()
-    cells.low, cells.high = np.zeros((len(sizes), witnesses)), np.full((len(sizes), witnesses), np.pi)
-    where = found[:, 0].astype(int), found[:, 1].astype(int)
-    cells.low[where], cells.high[where] = found[:, 2], found[:, 3]
+                cell = batch.column("cell").to_numpy()
+                order = np.argsort(cell, kind="stable")
+                angle = sent.value.angles(batch, False)[0][order, :witnesses]
+                own, starts, n = np.unique(cell[order], return_index=True, return_counts=True)
+                low, high = np.minimum.reduceat(angle, starts), np.maximum.reduceat(angle, starts)
+                for i, c in enumerate(own.tolist()):
+                    had = held.get(c)
+                    held[c] = (int(n[i]), low[i], high[i]) if had is None else (had[0] + int(n[i]), np.minimum(had[1], low[i]), np.maximum(had[2], high[i]))
+        if held:
+            columns = [np.repeat(list(held), witnesses), np.tile(np.arange(witnesses), len(held)), np.repeat([h[0] for h in held.values()], witnesses), np.concatenate([h[1] for h in held.values()]), np.concatenate([h[2] for h in held.values()])]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["cell", "pivot", "n", "low", "high"])
+
+    found = celled.select(*VECTOR, "cell").mapInArrow(run, "cell long, pivot long, n long, low double, high double")
+    met = found.groupBy("cell", "pivot").agg(F.sum("n"), F.min("low"), F.max("high")).toPandas().sort_values(["cell", "pivot"]).to_numpy()
+    by = met.reshape(-1, witnesses, 5)
+    cells.number, cells.rows = by[:, 0, 0].astype(np.int64), by[:, 0, 2].astype(np.int64)
+    cells.low, cells.high = by[:, :, 3], by[:, :, 4]
 
 
 def _needed(queries: DataFrame, cells: Cells, n: int, again: bool) -> DataFrame:
