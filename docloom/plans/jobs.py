@@ -30,13 +30,13 @@ def cleaned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return df.select(id_col, T.sanitize_text(T.preprocess_text(F.col(text_col))).alias("text"))
 
 
-def full_analysis(df: DataFrame, gazetteer: DataFrame, hist: DataFrame, query: DataFrame, id_col: str = "doc_id", text_col: str = "text", cat_cols=("location", "month"), num_cols=("temperature_c", "humidity_pct", "wind_kmh"), label_col: str = "condition") -> DataFrame:
-    """One record a document: section comparison, summaries of both sections, entities, and the
-    recommendation for one fixed query (one row of `query`)."""
+def full_analysis(df: DataFrame, gazetteer: DataFrame, hist: DataFrame, query: DataFrame, id_col: str = "doc_id", text_col: str = "text", cat_cols=("location", "month"), num_cols=("temperature_c", "humidity_pct", "wind_kmh"), label_col: str = "condition", max_input: int | None = 4000) -> DataFrame:
+    """One record a document: section comparison, summaries of both sections (of their first max_input characters;
+    None: all), entities, and the recommendation for one fixed query (one row of `query`)."""
     text = cleaned(df, id_col, text_col)
     sections = explode.split_policy_sections(text, id_col)
     compared = compare.section_similarity(text, id_col)
-    summaries = sections.select(id_col, entities.summary_column(F.col("section1"), min_words=LEAST_WORDS).alias("summary1"), entities.summary_column(F.col("section2"), min_words=LEAST_WORDS).alias("summary2"))
+    summaries = sections.select(id_col, entities.summary_column(F.col("section1"), max_input, min_words=LEAST_WORDS).alias("summary1"), entities.summary_column(F.col("section2"), max_input, min_words=LEAST_WORDS).alias("summary2"))
     found = entities.extract_entities(text, gazetteer, id_col, offsets=True)
     named = found.groupBy(id_col).agg(F.transform(F.sort_array(F.collect_list(F.struct("start", "label", "text"))), lambda e: F.struct(e["text"].alias("text"), e["label"].alias("label"))).alias("entities"))
     advice = recommend.recommend(query, hist, list(cat_cols), list(num_cols), label_col).select(F.struct("predicted", "confidence", "top", "message").alias("recommendation"))
@@ -45,11 +45,11 @@ def full_analysis(df: DataFrame, gazetteer: DataFrame, hist: DataFrame, query: D
     return full.crossJoin(F.broadcast(advice.limit(1)))
 
 
-def policy_report(df: DataFrame, gazetteer: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, twelve lists, summary, word_count, entities) of raw texts."""
+def policy_report(df: DataFrame, gazetteer: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_input: int | None = 4000) -> DataFrame:
+    """(id, twelve lists, summary, word_count, entities) of raw texts; the summary reads max_input characters, None: all."""
     text = F.col(text_col)
     tagged = classify.policy_analysis(df, id_col, text_col)
-    plain = df.select(id_col, entities.summary_column(text, min_words=LEAST_WORDS).alias("summary"), stats.word_count(text).alias("word_count"))
+    plain = df.select(id_col, entities.summary_column(text, max_input, min_words=LEAST_WORDS).alias("summary"), stats.word_count(text).alias("word_count"))
     named = _entity_lists(entities.extract_entities(df, gazetteer, id_col, text_col, offsets=True), id_col)
     return tagged.join(plain, id_col).join(named, id_col, "left")
 
@@ -72,9 +72,9 @@ def ner_job(df: DataFrame, gazetteer: DataFrame, id_col: str = "doc_id", text_co
     return entities.extract_entities(cleaned(df, id_col, text_col), gazetteer, id_col)
 
 
-def summarize_job(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Summaries of the preprocessed and sanitised texts."""
-    return entities.summarize(cleaned(df, id_col, text_col), id_col, min_words=LEAST_WORDS)
+def summarize_job(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_input: int | None = 4000) -> DataFrame:
+    """Summaries of the preprocessed and sanitised texts, of their first max_input characters; None: all."""
+    return entities.summarize(cleaned(df, id_col, text_col), id_col, max_input=max_input, min_words=LEAST_WORDS)
 
 
 def ingest_columns(df: DataFrame, id_col: str = "doc_id", name_col: str = "filename", text_col: str = "text", mode: str = "structured", kept: Sequence[str] = ()) -> DataFrame:

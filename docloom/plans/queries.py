@@ -519,22 +519,42 @@ def _(spark, sf_dir):
     return jobs.preprocess_job(documents(spark, sf_dir)).select("doc_id", "text", "statistics.word_count", "statistics.sentence_count", F.col("statistics.average_words_per_sentence").alias("average"))
 
 
-@query("f2_full_analysis", S.full_analysis())
-def _(spark, sf_dir):
+def _full_analysis(spark: SparkSession, sf_dir: str, max_input: int | None) -> DataFrame:
     hist = _orders(spark, sf_dir)
-    found = jobs.full_analysis(policy_docs(spark, sf_dir), gazetteer(spark, sf_dir), hist, _fixed(spark, sf_dir), cat_cols=["status", "month"], num_cols=["price"], label_col="priority")
+    found = jobs.full_analysis(policy_docs(spark, sf_dir), gazetteer(spark, sf_dir), hist, _fixed(spark, sf_dir), cat_cols=["status", "month"], num_cols=["price"], label_col="priority", max_input=max_input)
     named = F.array_join(F.transform("entities", lambda e: F.concat(e["label"], F.lit(":"), e["text"])), "|")
     advice = F.col("recommendation")
     top = F.array_join(F.transform(advice["top"], lambda r: r["id"].cast("string")), " ")
     return found.select("doc_id", F.round("similarity", 6).alias("similarity"), F.array_join("overlap", " ").alias("overlap"), "summary1", "summary2", named.alias("entities"), advice["predicted"].alias("predicted"), F.round(advice["confidence"], 6).alias("confidence"), top.alias("top"))
 
 
-@query("f3_policy_report", S.POLICY_REPORT)
+@query("f2_full_analysis", S.full_analysis())
 def _(spark, sf_dir):
-    found = jobs.policy_report(policy_docs(spark, sf_dir), gazetteer(spark, sf_dir))
+    return _full_analysis(spark, sf_dir, 4000)
+
+
+@query("f2_full_analysis_whole", S.full_analysis(None))
+def _(spark, sf_dir):
+    """Summaries of whole sections."""
+    return _full_analysis(spark, sf_dir, None)
+
+
+def _policy_report(spark: SparkSession, sf_dir: str, max_input: int | None) -> DataFrame:
+    found = jobs.policy_report(policy_docs(spark, sf_dir), gazetteer(spark, sf_dir), max_input=max_input)
     return found.select("doc_id", *[F.size(c).alias(c) for c in R.CATEGORY_ORDER], "summary", "word_count", "entities")
 
 
+@query("f3_policy_report", S.policy_report())
+def _(spark, sf_dir):
+    return _policy_report(spark, sf_dir, 4000)
+
+
+@query("f3_policy_report_whole", S.policy_report(None))
+def _(spark, sf_dir):
+    """Summaries of whole texts."""
+    return _policy_report(spark, sf_dir, None)
+
+
 @query("f4_text_report", S.TEXT_REPORT)
 def _(spark, sf_dir):
     return jobs.text_report(policy_docs(spark, sf_dir), gazetteer(spark, sf_dir))
@@ -550,6 +570,12 @@ def _(spark, sf_dir):
     return jobs.summarize_job(policy_docs(spark, sf_dir))
 
 
+@query("f5_summarize_job_whole", S.summaries_of(["preprocess_text", "sanitize_text"], None))
+def _(spark, sf_dir):
+    """Summaries of whole texts."""
+    return jobs.summarize_job(policy_docs(spark, sf_dir), max_input=None)
+
+
 def _uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = policy_docs(spark, sf_dir)
     return d.select("doc_id", F.concat(F.lit("doc-"), "doc_id").alias("filename"), "text", F.timestamp_seconds(F.lit(86400)).alias("uploaded_at"))

@@ -262,8 +262,8 @@ SUMMARIES = f"WITH {_summary_ctes('documents')} SELECT doc_id, summary FROM summ
 WHOLE_SUMMARIES = f"WITH {_summary_ctes('documents', None)} SELECT doc_id, summary FROM summaries"
 
 
-def summaries_of(steps: list[str]) -> str:
-    return f"WITH {CTE}, {steps_ctes(steps, 'policy_docs', 'done')}, {_summary_ctes('done')} SELECT doc_id, summary FROM summaries"
+def summaries_of(steps: list[str], max_input: int | None = 4000) -> str:
+    return f"WITH {CTE}, {steps_ctes(steps, 'policy_docs', 'done')}, {_summary_ctes('done', max_input)} SELECT doc_id, summary FROM summaries"
 
 
 def recommended(asked: str) -> str:
@@ -309,7 +309,9 @@ phrases AS (SELECT doc_id, phrase, round(avg(mean), 6) AS score, max(n) AS n FRO
 
 PHRASES = f"WITH {CTE}, {phrases_of('policy_docs')} SELECT doc_id, phrase, score, n FROM phrases"
 
-POLICY_REPORT = f"""WITH {CTE}, {_entities('policy_docs')}, {_LISTED}, {_summary_ctes('policy_docs')}, l AS (SELECT doc_id, {sentences('text')} AS ss, len({words('text')}) AS word_count FROM policy_docs)
+def policy_report(max_input: int | None = 4000) -> str:
+    """Sentences of each category, the summary and the entities of raw texts."""
+    return f"""WITH {CTE}, {_entities('policy_docs')}, {_LISTED}, {_summary_ctes('policy_docs', max_input)}, l AS (SELECT doc_id, {sentences('text')} AS ss, len({words('text')}) AS word_count FROM policy_docs)
 SELECT doc_id, {', '.join(f"len(list_filter(ss, lambda s: {in_category('s', c)})) AS {c}" for c in R.CATEGORIES)}, summary, word_count, entities FROM l JOIN summaries USING (doc_id) LEFT JOIN listed USING (doc_id)"""
 
 NONPUNCT = "[\\p{L}\\p{N}]+(?:[''’-][\\p{L}\\p{N}]+)*"
@@ -324,12 +326,12 @@ wn AS (SELECT doc_id, len(regexp_extract_all(text, '{NONPUNCT}')) AS n FROM ther
 SELECT id_a, id_b, round(similarity, 6) AS similarity, coalesce(overlap, '') AS overlap, a.n AS word_count_a, b.n AS word_count_b FROM alike LEFT JOIN sh USING (id_a, id_b) JOIN wn a ON a.doc_id = id_a JOIN wn b ON b.doc_id = id_b"""
 
 
-def full_analysis() -> str:
+def full_analysis(max_input: int | None = 4000) -> str:
     """Sections, summaries and entities of the cleaned texts, and the recommendation for the fixed query."""
     sections = SECTIONS[len(f"WITH {CTE}, ") :].replace("FROM policy_docs", "FROM done")
     summaries = []
     for i in "12":
-        ctes = _summary_ctes(f"(SELECT doc_id, section{i} AS text FROM sections)")
+        ctes = _summary_ctes(f"(SELECT doc_id, section{i} AS text FROM sections)", max_input)
         for name in ("sh", "su", "sf", "sl", "ses", "sw", "sc", "sr", "sx", "summaries"):
             ctes = re.sub(rf"\b{name}\b", f"{name}{i}", ctes)
         summaries.append(ctes)
