@@ -528,14 +528,8 @@ def _full_analysis(spark: SparkSession, sf_dir: str, max_input: int | None) -> D
     return found.select("doc_id", F.round("similarity", 6).alias("similarity"), F.array_join("overlap", " ").alias("overlap"), "summary1", "summary2", named.alias("entities"), advice["predicted"].alias("predicted"), F.round(advice["confidence"], 6).alias("confidence"), top.alias("top"))
 
 
-@query("f2_full_analysis", S.full_analysis())
+@query("f2_full_analysis", S.full_analysis(None))
 def _(spark, sf_dir):
-    return _full_analysis(spark, sf_dir, 4000)
-
-
-@query("f2_full_analysis_whole", S.full_analysis(None))
-def _(spark, sf_dir):
-    """Summaries of whole sections."""
     return _full_analysis(spark, sf_dir, None)
 
 
@@ -544,14 +538,8 @@ def _policy_report(spark: SparkSession, sf_dir: str, max_input: int | None) -> D
     return found.select("doc_id", *[F.size(c).alias(c) for c in R.CATEGORY_ORDER], "summary", "word_count", "entities")
 
 
-@query("f3_policy_report", S.policy_report())
+@query("f3_policy_report", S.policy_report(None))
 def _(spark, sf_dir):
-    return _policy_report(spark, sf_dir, 4000)
-
-
-@query("f3_policy_report_whole", S.policy_report(None))
-def _(spark, sf_dir):
-    """Summaries of whole texts."""
     return _policy_report(spark, sf_dir, None)
 
 
@@ -565,14 +553,8 @@ def _(spark, sf_dir):
     return jobs.ner_job(policy_docs(spark, sf_dir), gazetteer(spark, sf_dir))
 
 
-@query("f5_summarize_job", S.summaries_of(["preprocess_text", "sanitize_text"]))
-def _(spark, sf_dir):
-    return jobs.summarize_job(policy_docs(spark, sf_dir))
-
-
-@query("f5_summarize_job_whole", S.summaries_of(["preprocess_text", "sanitize_text"], None))
+@query("f5_summarize_job", S.summaries_of(["preprocess_text", "sanitize_text"], None))
 def _(spark, sf_dir):
-    """Summaries of whole texts."""
     return jobs.summarize_job(policy_docs(spark, sf_dir), max_input=None)
 
 
