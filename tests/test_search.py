@@ -115,3 +115,29 @@ def test_nulls_in_queries_and_history(spark):
     scored = recommend.similarity(asks, hist.filter("v is not null"), ["c"], ["v"], "id")
     assert scored.count() == 20 and scored.filter("similarity is null").count() == 0
     assert recommend.recommend(asks, hist, ["c"], ["v"], "label").count() == 4
+
+
+def test_rings_hold_like_numbers_and_rows_are_sent_once(spark, monkeypatch):
+    """Rows on a short arc, many queries: cells are of about CELL rows each, and a bin goes to as many tasks as its own queries ask for."""
+    rng = random.Random(4)
+    rows = [(i, ["a"], [x], norm(["a"], [x], 1)) for i, x in enumerate(rng.uniform(0, 0.3) for _ in range(20_000))]
+    queries = [(i, *rows[i][1:], None) for i in range(0, 20_000, 20)]
+    monkeypatch.setattr(search, "CHUNK", 400)
+    cells, sent = [], []
+    measure, chunked = search._measure, search._chunked
+
+    def measured(celled, made):
+        measure(celled, made)
+        cells.append(made.rows)
+
+    def counted(needed, bins):
+        met = chunked(needed, bins)
+        sent.append(met.select("bin", "chunks").distinct().agg({"chunks": "max"}).first()[0])
+        return met
+
+    monkeypatch.setattr(search, "_measure", measured)
+    monkeypatch.setattr(search, "_chunked", counted)
+    q, r = tables(spark, queries, rows)
+    found = {x.query_id: x.similarity for x in search.nearest_rows(q, r, 5).collect() if x.rank == 1}
+    assert len(found) == 1000 and min(found.values()) > 1 - 1e-9
+    assert max(cells[0]) < 4 * search.CELL and len(sent) == 2 and sent[0] <= 2
